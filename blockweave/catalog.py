@@ -347,7 +347,7 @@ def random_blocks(spark, folder):
 
 
 def one_update(spark, folder, rank: int, side: str) -> DataFrame:
-    layout = nmf.Ratings(rating_rows(spark, folder))
+    layout = nmf.Ratings(rating_rows(spark, folder), reuse=False)
     try:
         w = start_w(positions(layout.cells, "i"), rank)
         h = start_h(positions(layout.cells, "j"), rank)
@@ -391,8 +391,8 @@ def nmf_objective(spark, folder):
     """Squared error of the start factors."""
     layout = nmf.Ratings(supply_rows(spark, folder))
     try:
-        rows, cols = layout.shape()
-        w, h = start_w(spark.range(rows), SMALL_RANK), start_h(spark.range(cols), SMALL_RANK)
+        w = start_w(spark.range(layout.rows), SMALL_RANK)
+        h = start_h(spark.range(layout.cols), SMALL_RANK)
         value = nmf.objective(layout, w, h, SMALL_RANK)
     finally:
         layout.release()

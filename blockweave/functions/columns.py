@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +18,8 @@ def divide_ieee(a: Column, b: Column) -> Column:
     return F.when(b == 0, at_zero).otherwise(F.try_divide(a, b))
 
 
-def update_ratio(factor: Column, numerator: Column, denominator: Column) -> Column:
-    """``factor * numerator / denominator``; zero whenever the product is zero."""
-    product = factor * numerator
+def zero_or_ratio(product: Column, denominator: Column) -> Column:
+    """``product / denominator``, but zero whenever the product is zero."""
     return F.when(product == 0, F.lit(0.0)).otherwise(divide_ieee(product, denominator))
 
 
@@ -51,6 +48,10 @@ def vector_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
+def vector_dot(left: Column, right: Column) -> Column:
+    return vector_sum(F.zip_with(left, right, lambda p, q: p * q))
+
+
 def vector_norm(values: Column) -> Column:
     return F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + x * x))
 
@@ -88,8 +89,3 @@ def softmax(scores: Column) -> Column:
     """Softmax of an array of raw scores."""
     shifted = F.transform(scores, lambda u: F.exp(u - F.array_max(scores)))
     return F.transform(shifted, lambda e: e / vector_sum(shifted))
-
-
-def dot(left: list[Column], right: list[Column]) -> Column:
-    """Sum of products of two equally long column lists, as one code-generated expression."""
-    return reduce(lambda s, x: s + x, [a * b for a, b in zip(left, right, strict=True)])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockweave.functions import arrow
-from blockweave.functions.columns import divide_ieee
+from blockweave.functions.columns import divide_ieee, zero_or_ratio
 from blockweave.operators import entry
 from blockweave.session import BROADCAST_BYTES, MAX_BLOCK_CELLS, shuffle_partitions
 
@@ -322,9 +322,7 @@ def multiply_divide(a: BlockMatrix, b: BlockMatrix, c: BlockMatrix) -> BlockMatr
     """A∘B⊘C in one pass; a zero product gives zero whatever the denominator is."""
     grid = _same_grid(a, b, c)
     product = F.zip_with("d0", "d1", lambda x, y: x * y)
-    ratio = F.zip_with(
-        product, "d2", lambda p, y: F.when(p == 0, F.lit(0.0)).otherwise(divide_ieee(p, y))
-    )
+    ratio = F.zip_with(product, "d2", zero_or_ratio)
     return _combined(_aligned(a, b, c), ratio, grid)
 
 

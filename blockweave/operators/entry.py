@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.functions.columns import divide_ieee
+from blockweave.functions.columns import divide_ieee, zero_or_ratio
 from blockweave.session import BROADCAST_BYTES, ENTRY_BYTES, HOT_ENTRIES, MAX_HOT_KEYS
 
 #: A hot key is spread over at most this many salts on each side.
@@ -167,9 +167,7 @@ def multiply_divide(a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
     b = b.select("i", "j", F.col("v").alias("bv"))
     c = c.select("i", "j", F.col("v").alias("cv"))
     product = F.col("v") * F.coalesce("bv", F.lit(0.0))
-    ratio = F.when(product == 0, F.lit(0.0)).otherwise(
-        divide_ieee(product, F.coalesce("cv", F.lit(0.0)))
-    )
+    ratio = zero_or_ratio(product, F.coalesce("cv", F.lit(0.0)))
     return (
         a.join(b, ["i", "j"], "left").join(c, ["i", "j"], "left").select("i", "j", ratio.alias("v"))
     )

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from blockweave.functions import arrow
-from blockweave.functions.columns import dot, hash_uniform, update_ratio
+from blockweave.functions.columns import hash_uniform, vector_dot, zero_or_ratio
 from blockweave.operators.reduce import tree_sum
 from blockweave.session import shuffle_partitions
 
-#: Ranks up to this one are written out as generated column expressions, larger ones use numpy.
-UNROLLED_RANK = 12
+#: Ranks up to this one stay in column expressions, larger ones use numpy on Arrow batches.
+SMALL_RANK = 12
 #: Vector elements summed in one generated aggregate; longer vectors are cut into pieces.
 CHUNK = 32
 
@@ -52,8 +52,7 @@ def from_entries(entries: DataFrame, rank: int) -> DataFrame:
         "v",
     )
     sums = [
-        F.coalesce(F.sum(F.when(F.col("k") == k, F.col("v"))), F.lit(0.0)).alias(f"s{k}")
-        for k in range(min(CHUNK, rank))
+        F.expr(f"coalesce(sum(v) filter (where k = {k}), 0D) as s{k}") for k in range(min(CHUNK, rank))
     ]
     return _gather(pieces.groupBy("id", "piece").agg(*sums), rank)
 
@@ -61,7 +60,7 @@ def from_entries(entries: DataFrame, rank: int) -> DataFrame:
 def _gather(sums: DataFrame, rank: int) -> DataFrame:
     """Rows ``(id, piece, s0, s1, ...)`` as one array of length ``rank`` per id."""
     width = min(CHUNK, rank)
-    values = F.array(*[F.col(f"s{k}") for k in range(width)])
+    values = F.expr("array(" + ", ".join(f"s{k}" for k in range(width)) + ")")
     if rank <= CHUNK:
         return sums.select("id", values.alias("f"))
     count = -(-rank // CHUNK)
@@ -84,8 +83,7 @@ def weighted_sums(rows: DataFrame, rank: int) -> DataFrame:
         pieces = rows.select("id", "v", F.posexplode(cuts).alias("piece", "f"))
     # get() yields null past the end of the last piece, which sum() leaves out.
     sums = [
-        F.coalesce(F.sum(F.get("f", F.lit(k)) * F.col("v")), F.lit(0.0)).alias(f"s{k}")
-        for k in range(min(CHUNK, rank))
+        F.expr(f"coalesce(sum(get(f, {k}) * v), 0D) as s{k}") for k in range(min(CHUNK, rank))
     ]
     keys = ["id"] if rank <= CHUNK else ["id", "piece"]
     return _gather(pieces.groupBy(*keys).agg(*sums), rank)
@@ -93,14 +91,16 @@ def weighted_sums(rows: DataFrame, rank: int) -> DataFrame:
 
 def gram(factor: DataFrame, rank: int) -> DataFrame:
     """FᵀF as one row ``(g array<double>)`` of rank² values, row after row."""
-    if rank <= UNROLLED_RANK:
-        upper = {
-            (a, b): F.coalesce(F.sum(F.col("f")[a] * F.col("f")[b]), F.lit(0.0)).alias(f"g{a}_{b}")
-            for a in range(rank)
-            for b in range(a, rank)
-        }
-        cells = [f"g{min(a, b)}_{max(a, b)}" for a in range(rank) for b in range(rank)]
-        return factor.agg(*upper.values()).select(F.array(*cells).alias("g"))
+    if rank <= SMALL_RANK:
+        # Elements become plain columns first: array access inside every product makes long code.
+        wide = factor.selectExpr(*[f"get(f, {k}) as f{k}" for k in range(rank)])
+        pairs = [(a, b) for a in range(rank) for b in range(a, rank)]
+        sums = ", ".join(f"sum(f{a} * f{b}) as g{a}_{b}" for a, b in pairs)
+        cells = ", ".join(
+            f"coalesce(s.g{min(a, b)}_{max(a, b)}, 0D)" for a in range(rank) for b in range(rank)
+        )
+        named = wide.agg(F.expr(f"struct({sums}) as s"))
+        return named.selectExpr(f"array({cells}) as g")
 
     def partial(batches):
         total = np.zeros((rank, rank))
@@ -131,11 +131,20 @@ def gram_entries(factor: DataFrame, rank: int) -> DataFrame:
     )
 
 
+def _gram_products(rank: int) -> Column:
+    """G·f of a row with columns ``f`` and ``g``."""
+
+    def row(a: Column) -> Column:
+        return vector_dot(F.slice("g", a * rank + 1, F.lit(rank)), F.col("f"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(rank - 1)), row)
+
+
 def apply_gram(factor: DataFrame, gram_row: DataFrame, rank: int) -> DataFrame:
     """F·G for a symmetric rank x rank matrix: ``(id, f)``."""
-    if rank <= UNROLLED_RANK:
+    if rank <= SMALL_RANK:
         return factor.withColumn("g", gram_row.scalar()).select(
-            "id", F.array(*_products(rank)).alias("f")
+            "id", _gram_products(rank).alias("f")
         )
     g = np.array(gram_row.first()["g"]).reshape(rank, rank)
 
@@ -150,24 +159,18 @@ def apply_gram(factor: DataFrame, gram_row: DataFrame, rank: int) -> DataFrame:
     return factor.select("id", "f").mapInArrow(product, "id long, f array<double>")
 
 
-def _products(rank: int) -> list[Column]:
-    f = [F.col("f")[k] for k in range(rank)]
-    return [dot([F.col("g")[a * rank + b] for b in range(rank)], f) for a in range(rank)]
-
-
 def update(factor: DataFrame, projected: DataFrame, gram_row: DataFrame, rank: int) -> DataFrame:
     """F ∘ X ⊘ (F·G) in one pass; an id without a projected row becomes a zero row."""
     x = projected.select("id", F.col("f").alias("x"))
     zeros = F.array_repeat(F.lit(0.0), rank)
     joined = factor.join(x, "id", "left").select("id", "f", F.coalesce("x", zeros).alias("x"))
-    if rank <= UNROLLED_RANK:
-        ratios = [
-            update_ratio(F.col("f")[a], F.col("x")[a], F.col("y")[a]) for a in range(rank)
-        ]
+    if rank <= SMALL_RANK:
+        product = F.zip_with("f", "x", lambda p, q: p * q)
+        ratio = F.zip_with(product, "y", zero_or_ratio)
         return (
             joined.withColumn("g", gram_row.scalar())
-            .select("id", "f", "x", F.array(*_products(rank)).alias("y"))
-            .select("id", F.array(*ratios).alias("f"))
+            .select("id", "f", "x", _gram_products(rank).alias("y"))
+            .select("id", ratio.alias("f"))
         )
     g = np.array(gram_row.first()["g"]).reshape(rank, rank)
 

@@ -14,9 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from blockweave.functions.columns import vector_dot
 from blockweave.operators import entry, factor
 from blockweave.session import MAX_HOT_KEYS, cut, shuffle_partitions
 
+#: A key with fewer cells than this is never treated as hot.
+MIN_HOT_CELLS = 100_000
+
 
 @dataclass
 class Side:
@@ -42,42 +46,60 @@ class Side:
 
 
 class Ratings:
-    """A rating matrix prepared for factorisation: one entry per cell, one layout per index."""
+    """A rating matrix prepared for factorisation: one entry per cell, one layout per index.
+
+    ``reuse`` keeps each layout for later passes; without it a layout serves one update.
+    """
 
-    def __init__(self, entries: DataFrame, hot: int | None = None, partitions: int | None = None):
+    def __init__(
+        self,
+        entries: DataFrame,
+        hot: int | None = None,
+        partitions: int | None = None,
+        reuse: bool = True,
+    ):
         self._parts = partitions or shuffle_partitions(entries.sparkSession)
         self._hot = hot
+        self._reuse = reuse
         self.cells = entry.sum_duplicates(entries).persist(StorageLevel.MEMORY_AND_DISK)
         self._held = [self.cells]
         self._sides: dict[str, Side] = {}
-
-    def shape(self) -> tuple[int, int]:
-        row = entry.matrix_shape(self.cells).first()
-        return row["rows"], row["cols"]
-
-    def _layout(self, key: str, other: str) -> Side:
+        facts = self.cells.agg(F.count("*"), F.max("i"), F.max("j")).first()
+        self.count = facts[0]
+        self.rows = 0 if facts[1] is None else facts[1] + 1
+        self.cols = 0 if facts[2] is None else facts[2] + 1
+
+    def _hot_keys(self, cells: DataFrame, other_size: int) -> list[int]:
+        limit = self._hot
+        if limit is None:
+            limit = max(self.count // self._parts, MIN_HOT_CELLS)
+        if other_size <= limit:
+            # Cells are unique, so a key holds at most one for each index of the other side.
+            return []
+        counts = cells.groupBy("key").count().where(F.col("count") > limit)
+        return [row["key"] for row in counts.orderBy(F.desc("count")).limit(MAX_HOT_KEYS).collect()]
+
+    def _layout(self, key: str, other: str, other_size: int) -> Side:
         if key not in self._sides:
             cells = self.cells.select(F.col(key).alias("key"), F.col(other).alias("id"), "v")
-            counts = cells.groupBy("key").count()
-            limit = self._hot
-            if limit is None:
-                limit = max(self.cells.count() // self._parts, 100_000)
-            heavy = counts.where(F.col("count") > limit).orderBy(F.desc("count"))
-            keys = [row["key"] for row in heavy.limit(MAX_HOT_KEYS).collect()]
+            keys = self._hot_keys(cells, other_size)
             is_hot = F.col("key").isin(keys) if keys else F.lit(False)
-            cold = cells.where(~is_hot).repartition(self._parts, "key")
-            cold = cold.persist(StorageLevel.MEMORY_AND_DISK)
-            self._held.append(cold)
+            cold = cells.where(~is_hot)
+            if self._reuse:
+                cold = cold.repartition(self._parts, "key").persist(StorageLevel.MEMORY_AND_DISK)
+                self._held.append(cold)
+                # A filled cache tells later plans how it is partitioned; an empty one does not.
+                cold.count()
             self._sides[key] = Side(cold, cells.where(is_hot), keys)
         return self._sides[key]
 
     @property
     def by_row(self) -> Side:
-        return self._layout("i", "j")
+        return self._layout("i", "j", self.cols)
 
     @property
     def by_col(self) -> Side:
-        return self._layout("j", "i")
+        return self._layout("j", "i", self.rows)
 
     def release(self) -> None:
         for df in self._held:
@@ -97,9 +119,7 @@ def update_w(ratings: Ratings, w: DataFrame, h: DataFrame, rank: int) -> DataFra
 def objective(ratings: Ratings, w: DataFrame, h: DataFrame, rank: int) -> float:
     """‖A − WH‖², from the parts ‖A‖² − 2·Σ h·(WᵀA) + Σ (WᵀW)∘(HHᵀ)."""
     x = ratings.by_row.project(w, rank).select("id", F.col("f").alias("x"))
-    inner = F.aggregate(
-        F.zip_with("f", "x", lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t
-    )
+    inner = vector_dot(F.col("f"), F.col("x"))
     cross = h.join(x, "id").agg(F.coalesce(F.sum(inner), F.lit(0.0))).first()[0]
     square = ratings.cells.agg(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0))).first()[0]
     pairs = zip(factor.gram(w, rank).first()["g"], factor.gram(h, rank).first()["g"], strict=True)
@@ -141,7 +161,7 @@ def fit(
         raise ValueError("iterations must not be negative")
     ratings = Ratings(entries, hot, partitions)
     try:
-        rows, cols = ratings.shape()
+        rows, cols = ratings.rows, ratings.cols
         if w is None:
             w = factor.random_factor(factor.index_range(entries, rows), rank, seed)
         if h is None:
