@@ -113,8 +113,12 @@ def gram(factor: DataFrame, rank: int) -> DataFrame:
             ["pid", "g"],
         )
 
-    partials = factor.select("f").mapInArrow(partial, "pid long, g array<double>")
-    total = tree_sum(partials, "g", [], shuffle_partitions(factor.sparkSession))
+    spark = factor.sparkSession
+    zeros = spark.range(1).select(
+        F.col("id").alias("pid"), F.array_repeat(F.lit(0.0), rank * rank).alias("g")
+    )
+    partials = factor.select("f").mapInArrow(partial, "pid long, g array<double>").unionAll(zeros)
+    total = tree_sum(partials, "g", [], shuffle_partitions(spark))
     return total.select(vector_to_array("g").alias("g"))
 
 

@@ -15,7 +15,7 @@ DIRECT_PARTIALS = 64
 
 
 def tree_sum(partials: DataFrame, vector: str, counters: Sequence[str], parts: int) -> DataFrame:
-    """One row with the sum of an array column (as a vector) and of some counters.
+    """One row with the sum of an array column (as a vector) and of some counters; none without input.
 
     ``partials`` has one row per partition and its number in ``pid``. With many partitions the rows
     first meet in about sqrt(parts) groups, so no task receives more than about sqrt(parts) vectors.
@@ -29,4 +29,4 @@ def tree_sum(partials: DataFrame, vector: str, counters: Sequence[str], parts: i
     if parts > DIRECT_PARTIALS:
         groups = math.ceil(math.sqrt(parts))
         rows = totals(rows, F.pmod(F.col("pid"), F.lit(groups)).alias("grp"))
-    return totals(rows)
+    return totals(rows, F.lit(0).alias("grp")).drop("grp")

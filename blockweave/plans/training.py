@@ -180,7 +180,7 @@ def sum_gradient(
     partials = rows.mapInArrow(run, "pid long, g array<double>, loss double, n double")
     row = tree_sum(partials, "g", ["loss", "n"], data.parts).first()
     shared.destroy()
-    if row["n"] is None:
+    if row is None:
         return np.zeros(size), 0.0, 0.0
     return row["g"].toArray(), row["loss"], row["n"]
 

@@ -73,3 +73,9 @@ def test_generated_code_compiles(spark):
         factor.weighted_sums(wide, factor.CHUNK).collect()
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+@pytest.mark.parametrize("rank", [2, 20])
+def test_gram_of_nothing_is_zero(spark, rank):
+    empty = spark.createDataFrame([], "id bigint, f array<double>")
+    assert factor.gram(empty, rank).collect()[0]["g"] == [0.0] * (rank * rank)
