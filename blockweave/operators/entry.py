@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockweave.functions.columns import divide_ieee, zero_or_ratio
-from blockweave.session import BROADCAST_BYTES, ENTRY_BYTES, HOT_ENTRIES, MAX_HOT_KEYS
+from blockweave.session import (
+    BROADCAST_BYTES,
+    ENTRY_BYTES,
+    HOT_ENTRIES,
+    MAX_HOT_KEYS,
+    shuffle_partitions,
+)
 
-#: A hot key is spread over at most this many salts on each side.
-MAX_SALTS = 1_000
+#: A hot key is spread over at most this many salts per shuffle partition.
+SALTS_PER_PARTITION = 4
 
 
 def to_entries(df: DataFrame, i: Column | str, j: Column | str, v: Column | str) -> DataFrame:
@@ -83,8 +89,10 @@ def _hot_inner_keys(a: DataFrame, b: DataFrame, hot: int) -> DataFrame:
         .limit(MAX_HOT_KEYS)
     )
 
+    most = SALTS_PER_PARTITION * shuffle_partitions(a.sparkSession)
+
     def salts(count: str) -> Column:
-        return F.least(F.ceil(F.col(count) / hot), F.lit(MAX_SALTS)).cast("int")
+        return F.least(F.ceil(F.col(count) / hot), F.lit(most)).cast("int")
 
     return counted.select(
         "key",

@@ -119,15 +119,16 @@ def layer_matrix(weights: DataFrame, level: int) -> DataFrame:
 
 
 def feature_entries(samples: DataFrame, key: str, features: str = "features") -> DataFrame:
-    """Array features as entries, with the constant input -1 in every sample."""
-    values = F.concat(F.col(features).cast("array<double>"), F.array(F.lit(1.0)))
-    return samples.select(
-        F.col(key).cast("bigint").alias("i"),
-        F.size(features).alias("n"),
-        F.posexplode(values).alias("pos", "v"),
-    ).select(
-        "i", F.when(F.col("pos") == F.col("n"), BIAS).otherwise(F.col("pos")).cast("bigint").alias("j"), "v"
-    )
+    """Array features as entries, with the constant input -1 in every sample.
+
+    Whole samples are hash-partitioned before they are taken apart, so the sums, windows and joins
+    by sample that follow need no further exchange.
+    """
+    rows = samples.select(F.col(key).cast("bigint").alias("i"), F.col(features).alias("x"))
+    values = F.concat(F.col("x").cast("array<double>"), F.array(F.lit(1.0)))
+    cells = rows.repartition("i").select("i", F.size("x").alias("n"), F.posexplode(values).alias("pos", "v"))
+    unit = F.when(F.col("pos") == F.col("n"), BIAS).otherwise(F.col("pos"))
+    return cells.select("i", unit.cast("bigint").alias("j"), "v")
 
 
 def with_constant(activations: DataFrame) -> DataFrame:

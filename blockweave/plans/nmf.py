@@ -16,7 +16,13 @@ from pyspark.storagelevel import StorageLevel
 
 from blockweave.functions.columns import vector_dot
 from blockweave.operators import entry, factor
-from blockweave.session import MAX_HOT_KEYS, cut, shuffle_partitions
+from blockweave.session import (
+    BROADCAST_BYTES,
+    ENTRY_BYTES,
+    MAX_HOT_KEYS,
+    cut,
+    shuffle_partitions,
+)
 
 #: A key with fewer cells than this is never treated as hot.
 MIN_HOT_CELLS = 100_000
@@ -38,9 +44,12 @@ class Side:
     def project(self, factor_rows: DataFrame, rank: int) -> DataFrame:
         """Σ v·f over the cells of each ``id``: WᵀA or AHᵀ in factor form."""
         rows = factor_rows.select(F.col("id").alias("key"), "f")
-        joined = self.cold.join(rows, "key").select("id", "v", "f")
+        # A partition's factor rows are hashed and the cells stream past them: no sort of the cells.
+        joined = self.cold.join(rows.hint("shuffle_hash"), "key").select("id", "v", "f")
         if self.hot_keys:
-            few = F.broadcast(rows.where(F.col("key").isin(self.hot_keys)))
+            few = rows.where(F.col("key").isin(self.hot_keys))
+            if len(self.hot_keys) * (8 * rank + ENTRY_BYTES) <= BROADCAST_BYTES:
+                few = F.broadcast(few)
             joined = joined.unionAll(self.hot.join(few, "key").select("id", "v", "f"))
         return factor.weighted_sums(joined, rank)
 

@@ -120,7 +120,8 @@ def prepare(
     else:
         rows = samples.select(*picked)
         stream_size = stack_size if stacked else None
-    held = not samples.is_cached or stream_size is None
+    level = samples.storageLevel
+    held = stream_size is None or not (level.useMemory or level.useDisk)
     if held:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     per_part = _as_arrays(rows).groupBy(F.spark_partition_id().alias("p")).agg(
@@ -178,8 +179,10 @@ def sum_gradient(
             )
 
     partials = rows.mapInArrow(run, "pid long, g array<double>, loss double, n double")
-    row = tree_sum(partials, "g", ["loss", "n"], data.parts).first()
-    shared.destroy()
+    try:
+        row = tree_sum(partials, "g", ["loss", "n"], data.parts).first()
+    finally:
+        shared.destroy()
     if row is None:
         return np.zeros(size), 0.0, 0.0
     return row["g"].toArray(), row["loss"], row["n"]
@@ -451,31 +454,45 @@ def fit_mlp_relational(
     spark = samples.sparkSession
     network.check_layers(layers)
     weight = F.col(share) if share else F.lit(1.0)
-    inputs = network.feature_entries(samples, key, features).persist(StorageLevel.MEMORY_AND_DISK)
-    targets = samples.select(
-        F.col(key).cast("bigint").alias("i"), F.col(label).alias("label"), weight.alias("share")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        """Keep a layer for the rest of the pass; a filled cache also keeps its partitioning."""
+        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        held[-1].count()
+        return held[-1]
+
+    inputs = hold(network.feature_entries(samples, key, features))
+    targets = hold(
+        samples.select(
+            F.col(key).cast("bigint").alias("i"), F.col(label).alias("label"), weight.alias("share")
+        ).repartition("i")
+    )
+    kept = len(held)
     weights = initial if initial is not None else network.initial_weights(spark, layers, seed)
     weights = weights.select("layer", "out", "in", "w")
     history: list[Step] = []
     try:
         for iteration in range(1, iterations + 1):
-            chain = network.forward(inputs, weights, layers, cut)
-            result = network.backward(chain, targets, weights, layers, cut)
+            chain = network.forward(inputs, weights, layers, hold)
+            result = network.backward(chain, targets, weights, layers, hold)
             sums = result.losses.agg(F.sum("loss").alias("loss"), F.sum("share").alias("n")).first()
             if not sums["n"]:
                 break
             history.append(Step(iteration, sums["loss"], sums["n"], sums["loss"] / sums["n"]))
             moved = F.col("w") - F.lit(step / sums["n"]) * F.coalesce("g", F.lit(0.0))
+            # The new weights cut the lineage; the layers of this pass are no longer needed.
             weights = cut(
                 weights.join(result.gradient, ["layer", "out", "in"], "left").select(
                     "layer", "out", "in", moved.alias("w")
                 )
             )
+            while len(held) > kept:
+                held.pop().unpersist()
         return weights, history
     finally:
-        inputs.unpersist()
-        targets.unpersist()
+        for df in held:
+            df.unpersist()
 
 
 #: Fixed values of the repeatable sample: a multiplier, a seed multiplier and the modulus.

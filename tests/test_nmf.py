@@ -75,18 +75,15 @@ def test_hot_keys_are_found_and_kept_apart(spark):
 def test_plan_of_a_pass_reuses_the_layout(spark):
     """The ratings are joined where they lie: no exchange above the cached cells."""
     layout = nmf.Ratings(entries_of(spark, ratings()))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        w = factor.random_factor(spark.range(14), 2, 1)
-        plan = layout.by_row.project(w, 2)._jdf.queryExecution().executedPlan().toString()
-        top = plan.split("InMemoryRelation")[0]
-        # One exchange for the sums by item; the side of W has its own below the join.
-        join = top.index("Join")
-        assert top[:join].count("Exchange") == 1
-        assert "Exchange" not in top[join : top.index("InMemoryTableScan")]
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        layout.release()
+    w = factor.random_factor(spark.range(14), 2, 1)
+    plan = layout.by_row.project(w, 2)._jdf.queryExecution().executedPlan().toString()
+    top = plan.split("InMemoryRelation")[0]
+    join = top.index("ShuffledHashJoin")
+    # One exchange, for the sums by item; the side of W has its own below the join.
+    assert top[:join].count("Exchange") == 1
+    between = top[join : top.index("InMemoryTableScan")]
+    assert "Exchange" not in between and "Sort" not in between
+    layout.release()
 
 
 def test_no_iterations_and_no_ratings(spark):
