@@ -217,7 +217,7 @@ def sample_entries(spark, folder) -> DataFrame:
 
 
 def sample_blocks(spark, folder) -> block.BlockMatrix:
-    return block.to_blocks(sample_entries(spark, folder), *TALL)
+    return block.to_blocks(sample_entries(spark, folder), *TALL, unique=True)
 
 
 def supply_blocks(spark, folder, value: str) -> block.BlockMatrix:

@@ -36,3 +36,17 @@ def vector_rows(vectors: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([v.size for v in vectors])]).astype(np.int32)
     flat = np.concatenate(vectors) if vectors else np.empty(0)
     return pa.ListArray.from_arrays(offsets, pa.array(flat))
+
+
+def elementwise(function, *lists: pa.Array) -> pa.Array:
+    """Apply a numpy function to the values of equally shaped lists."""
+    first = lists[0]
+    offsets = first.offsets.to_numpy() - (first.offsets[0].as_py() if len(first.offsets) else 0)
+    values = []
+    for each in lists:
+        flat = each.flatten()
+        if each.null_count or flat.null_count or len(flat) != offsets[-1]:
+            raise ValueError("vectors of different lengths or with nulls")
+        values.append(flat.to_numpy(zero_copy_only=False))
+    with np.errstate(all="ignore"):
+        return pa.ListArray.from_arrays(offsets, pa.array(function(*values)))

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockweave.functions import arrow
-from blockweave.functions.columns import divide_ieee, zero_or_ratio
 from blockweave.operators import entry
 from blockweave.session import BROADCAST_BYTES, MAX_BLOCK_CELLS, shuffle_partitions
 
@@ -126,10 +125,12 @@ def to_blocks(
     block_cols: int,
     rows: int | None = None,
     cols: int | None = None,
+    unique: bool = False,
 ) -> BlockMatrix:
     """Entries to dense blocks; repeated cells are added up and the last blocks are smaller.
 
-    A block collects at most block_rows * block_cols cells, because cells are summed before.
+    A block collects at most block_rows * block_cols cells, because cells are summed before. Pass
+    ``unique=True`` to save that shuffle when there is one entry per cell.
     """
     if rows is None or cols is None:
         size = entry.matrix_shape(entries).first()
@@ -142,7 +143,7 @@ def to_blocks(
         inside, (F.col("j") % block_cols) * F.col("nr") + F.col("i") % block_rows
     ).otherwise(F.raise_error(F.lit("entry outside the matrix")).cast("bigint"))
     cells = (
-        entry.sum_duplicates(entries)
+        (entries if unique else entry.sum_duplicates(entries))
         .withColumn("bi", bi.cast("int"))
         .withColumn("bj", bj.cast("int"))
         .withColumn("nr", grid.height(F.col("bi")))
@@ -163,10 +164,8 @@ def to_blocks(
             val = flat.field("v").to_numpy(zero_copy_only=False)
             data = []
             for n, size in enumerate(nr * nc):
-                dense = np.zeros(size)
                 span = slice(starts[n], starts[n + 1])
-                dense[pos[span]] = val[span]
-                data.append(dense)
+                data.append(np.bincount(pos[span], weights=val[span], minlength=size))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:4], arrow.vector_rows(data)], ["bi", "bj", "nr", "nc", "data"]
             )
@@ -310,20 +309,38 @@ def _combined(rows: DataFrame, data: Column, grid: Grid) -> BlockMatrix:
 
 def elementwise_product(a: BlockMatrix, b: BlockMatrix) -> BlockMatrix:
     grid = _same_grid(a, b)
-    return _combined(_aligned(a, b), F.zip_with("d0", "d1", lambda x, y: x * y), grid)
+
+    @F.arrow_udf("array<double>")
+    def product(x: pa.Array, y: pa.Array) -> pa.Array:
+        return arrow.elementwise(np.multiply, x, y)
+
+    return _combined(_aligned(a, b), product("d0", "d1"), grid)
 
 
 def elementwise_division(a: BlockMatrix, b: BlockMatrix) -> BlockMatrix:
+    """A⊘B with IEEE results: 0/0 is NaN, x/0 is infinite."""
     grid = _same_grid(a, b)
-    return _combined(_aligned(a, b), F.zip_with("d0", "d1", divide_ieee), grid)
+
+    @F.arrow_udf("array<double>")
+    def quotient(x: pa.Array, y: pa.Array) -> pa.Array:
+        return arrow.elementwise(np.divide, x, y)
+
+    return _combined(_aligned(a, b), quotient("d0", "d1"), grid)
 
 
 def multiply_divide(a: BlockMatrix, b: BlockMatrix, c: BlockMatrix) -> BlockMatrix:
     """A∘B⊘C in one pass; a zero product gives zero whatever the denominator is."""
     grid = _same_grid(a, b, c)
-    product = F.zip_with("d0", "d1", lambda x, y: x * y)
-    ratio = F.zip_with(product, "d2", zero_or_ratio)
-    return _combined(_aligned(a, b, c), ratio, grid)
+
+    def ratio(x, y, z):
+        product = x * y
+        return np.where(product == 0, 0.0, product / z)
+
+    @F.arrow_udf("array<double>")
+    def fused(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
+        return arrow.elementwise(ratio, x, y, z)
+
+    return _combined(_aligned(a, b, c), fused("d0", "d1", "d2"), grid)
 
 
 def validate(matrix: BlockMatrix) -> DataFrame:

@@ -8,16 +8,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from blockweave.functions import arrow
-from blockweave.functions.columns import hash_uniform, vector_dot, zero_or_ratio
+from blockweave.functions.columns import hash_uniform
 from blockweave.operators.reduce import tree_sum
 from blockweave.session import shuffle_partitions
 
-#: Ranks up to this one stay in column expressions, larger ones use numpy on Arrow batches.
+#: Up to this rank FᵀF is a generated aggregate, above it numpy on Arrow batches.
 SMALL_RANK = 12
 #: Vector elements summed in one generated aggregate; longer vectors are cut into pieces.
 CHUNK = 32
@@ -135,57 +135,37 @@ def gram_entries(factor: DataFrame, rank: int) -> DataFrame:
     )
 
 
-def _gram_products(rank: int) -> Column:
-    """G·f of a row with columns ``f`` and ``g``."""
+def gram_matrix(factor: DataFrame, rank: int) -> np.ndarray:
+    """FᵀF as a rank x rank matrix on the driver: one job."""
+    return np.array(gram(factor, rank).first()["g"]).reshape(rank, rank)
 
-    def row(a: Column) -> Column:
-        return vector_dot(F.slice("g", a * rank + 1, F.lit(rank)), F.col("f"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(rank - 1)), row)
-
-
-def apply_gram(factor: DataFrame, gram_row: DataFrame, rank: int) -> DataFrame:
+def apply_gram(factor: DataFrame, g: np.ndarray) -> DataFrame:
     """F·G for a symmetric rank x rank matrix: ``(id, f)``."""
-    if rank <= SMALL_RANK:
-        return factor.withColumn("g", gram_row.scalar()).select(
-            "id", _gram_products(rank).alias("f")
-        )
-    g = np.array(gram_row.first()["g"]).reshape(rank, rank)
 
-    def product(batches):
-        for batch in batches:
-            rows = arrow.to_matrix(batch.column(1))
-            if len(rows):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), arrow.to_lists(rows @ g)], ["id", "f"]
-                )
+    @F.arrow_udf("array<double>")
+    def product(f: pa.Array) -> pa.Array:
+        return arrow.to_lists(arrow.to_matrix(f) @ g) if len(f) else f
 
-    return factor.select("id", "f").mapInArrow(product, "id long, f array<double>")
+    return factor.select("id", product("f").alias("f"))
 
 
-def update(factor: DataFrame, projected: DataFrame, gram_row: DataFrame, rank: int) -> DataFrame:
-    """F ∘ X ⊘ (F·G) in one pass; an id without a projected row becomes a zero row."""
+def update(factor: DataFrame, projected: DataFrame, g: np.ndarray) -> DataFrame:
+    """F ∘ X ⊘ (F·G) in one pass; an id without a projected row becomes a zero row.
+
+    The rank x rank matrix travels with the task. Only the two vectors of a row go to Python.
+    """
     x = projected.select("id", F.col("f").alias("x"))
-    zeros = F.array_repeat(F.lit(0.0), rank)
+    zeros = F.array_repeat(F.lit(0.0), len(g))
     joined = factor.join(x, "id", "left").select("id", "f", F.coalesce("x", zeros).alias("x"))
-    if rank <= SMALL_RANK:
-        product = F.zip_with("f", "x", lambda p, q: p * q)
-        ratio = F.zip_with(product, "y", zero_or_ratio)
-        return (
-            joined.withColumn("g", gram_row.scalar())
-            .select("id", "f", "x", _gram_products(rank).alias("y"))
-            .select("id", ratio.alias("f"))
-        )
-    g = np.array(gram_row.first()["g"]).reshape(rank, rank)
 
-    def kernel(batches):
-        for batch in batches:
-            f = arrow.to_matrix(batch.column(1))
-            if not len(f):
-                continue
-            product = f * arrow.to_matrix(batch.column(2))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                ratio = np.where(product == 0, 0.0, product / (f @ g))
-            yield pa.RecordBatch.from_arrays([batch.column(0), arrow.to_lists(ratio)], ["id", "f"])
-
-    return joined.mapInArrow(kernel, "id long, f array<double>")
+    @F.arrow_udf("array<double>")
+    def ratio(f: pa.Array, x: pa.Array) -> pa.Array:
+        if not len(f):
+            return f
+        rows = arrow.to_matrix(f)
+        product = rows * arrow.to_matrix(x)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return arrow.to_lists(np.where(product == 0, 0.0, product / (rows @ g)))
+
+    return joined.select("id", ratio("f", "x").alias("f"))

@@ -57,7 +57,8 @@ class Side:
 class Ratings:
     """A rating matrix prepared for factorisation: one entry per cell, one layout per index.
 
-    ``reuse`` keeps each layout for later passes; without it a layout serves one update.
+    ``reuse`` keeps each layout for later passes; without it a layout serves one update. ``unique``
+    says that there is one entry per cell already and saves the shuffle that adds repeated ones.
     """
 
     def __init__(
@@ -66,11 +67,13 @@ class Ratings:
         hot: int | None = None,
         partitions: int | None = None,
         reuse: bool = True,
+        unique: bool = False,
     ):
         self._parts = partitions or shuffle_partitions(entries.sparkSession)
         self._hot = hot
         self._reuse = reuse
-        self.cells = entry.sum_duplicates(entries).persist(StorageLevel.MEMORY_AND_DISK)
+        cells = entries.select("i", "j", "v") if unique else entry.sum_duplicates(entries)
+        self.cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
         self._held = [self.cells]
         self._sides: dict[str, Side] = {}
         facts = self.cells.agg(F.count("*"), F.max("i"), F.max("j")).first()
@@ -117,12 +120,12 @@ class Ratings:
 
 def update_h(ratings: Ratings, w: DataFrame, h: DataFrame, rank: int) -> DataFrame:
     """New H from A, W and H; one row per item."""
-    return factor.update(h, ratings.by_row.project(w, rank), factor.gram(w, rank), rank)
+    return factor.update(h, ratings.by_row.project(w, rank), factor.gram_matrix(w, rank))
 
 
 def update_w(ratings: Ratings, w: DataFrame, h: DataFrame, rank: int) -> DataFrame:
     """New W from A, W and H; one row per user."""
-    return factor.update(w, ratings.by_col.project(h, rank), factor.gram(h, rank), rank)
+    return factor.update(w, ratings.by_col.project(h, rank), factor.gram_matrix(h, rank))
 
 
 def objective(ratings: Ratings, w: DataFrame, h: DataFrame, rank: int) -> float:
@@ -131,8 +134,8 @@ def objective(ratings: Ratings, w: DataFrame, h: DataFrame, rank: int) -> float:
     inner = vector_dot(F.col("f"), F.col("x"))
     cross = h.join(x, "id").agg(F.coalesce(F.sum(inner), F.lit(0.0))).first()[0]
     square = ratings.cells.agg(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0))).first()[0]
-    pairs = zip(factor.gram(w, rank).first()["g"], factor.gram(h, rank).first()["g"], strict=True)
-    return square - 2.0 * cross + sum(a * b for a, b in pairs)
+    both = factor.gram_matrix(w, rank) * factor.gram_matrix(h, rank)
+    return square - 2.0 * cross + float(both.sum())
 
 
 @dataclass
@@ -158,6 +161,7 @@ def fit(
     partitions: int | None = None,
     track_objective: bool = False,
     hot: int | None = None,
+    unique: bool = False,
 ) -> Factors:
     """Run a fixed number of passes, H first and then W with the new H.
 
@@ -168,7 +172,7 @@ def fit(
         raise ValueError("rank must be at least 1")
     if iterations < 0:
         raise ValueError("iterations must not be negative")
-    ratings = Ratings(entries, hot, partitions)
+    ratings = Ratings(entries, hot, partitions, unique=unique)
     try:
         rows, cols = ratings.rows, ratings.cols
         if w is None:

@@ -176,3 +176,11 @@ def test_block_grid(spark):
     got = {tuple(r) for r in block.block_grid(spark, 3, 2).collect()}
     assert got == {(i, j) for i in range(3) for j in range(2)}
     assert block.block_grid(spark, 0, 0).count() == 0
+
+
+def test_unique_entries_skip_the_sum(spark):
+    m = RNG.normal(size=(7, 5))
+    b = block.to_blocks(entries_of(spark, m), 3, 2, 7, 5, unique=True)
+    assert np.array_equal(dense_of(b), m)
+    twice = block.to_blocks(entries_of(spark, m).unionAll(entries_of(spark, m)), 3, 2, 7, 5, unique=True)
+    assert np.array_equal(dense_of(twice), 2 * m)

@@ -12,9 +12,9 @@ RANKS = [1, 3, 12, 13, 32, 33, 70]
 def test_gram_and_its_product(spark, rank):
     f = RNG.random((25, rank))
     df = factor_of(spark, f)
-    g = factor.gram(df, rank)
-    assert np.allclose(np.array(g.first()["g"]).reshape(rank, rank), f.T @ f)
-    assert np.allclose(matrix_of_factor(factor.apply_gram(df, g, rank), 25), f @ (f.T @ f))
+    g = factor.gram_matrix(df, rank)
+    assert np.allclose(g, f.T @ f)
+    assert np.allclose(matrix_of_factor(factor.apply_gram(df, g), 25), f @ (f.T @ f))
 
 
 @pytest.mark.parametrize("rank", RANKS)
@@ -44,9 +44,8 @@ def test_update_with_missing_and_zero_rows(spark, rank):
     x[5] = 0.0
     g = RNG.random((rank, rank))
     g = g + g.T
-    row = spark.createDataFrame([(g.reshape(-1).tolist(),)], "g array<double>")
     projected = factor_of(spark, x).where("id <> 5")
-    got = matrix_of_factor(factor.update(factor_of(spark, f), projected, row, rank), 7)
+    got = matrix_of_factor(factor.update(factor_of(spark, f), projected, g), 7)
     want = np.divide(f * x, f @ g, out=np.zeros_like(f), where=f * x != 0)
     assert np.allclose(got, want)
     assert not np.isnan(got).any()
@@ -68,7 +67,6 @@ def test_generated_code_compiles(spark):
         factor.gram(df, rank).collect()
         rows = df.selectExpr("id", "2D as v", "f")
         factor.weighted_sums(rows, rank).collect()
-        factor.update(df, df, factor.gram(df, rank), rank).collect()
         wide = factor_of(spark, RNG.random((5, factor.CHUNK))).selectExpr("id", "2D as v", "f")
         factor.weighted_sums(wide, factor.CHUNK).collect()
     finally:
