@@ -15,7 +15,7 @@ from blockweave.functions import arrow
 from blockweave.functions.columns import argmax, one_hot
 from blockweave.operators import block, entry, factor, stack
 from blockweave.plans import network, nmf, report, scoring, training
-from blockweave.session import configure, cut, scratch_path
+from blockweave.session import cut, scratch_path
 from blockweave.sources import libsvm, ratings as rating_files
 
 RANK = 8
@@ -30,11 +30,7 @@ QUERIES: dict = {}
 
 
 def query(function):
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return function(configure(spark), folder)
-
-    run.__doc__ = function.__doc__
-    QUERIES[function.__name__] = run
+    QUERIES[function.__name__] = function
     return function
 
 

@@ -7,14 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.taskcontext import TaskContext
 
 from blockweave.functions import arrow
 from blockweave.functions.columns import hash_uniform
-from blockweave.operators.reduce import tree_sum
+from blockweave.operators.reduce import SCHEMA, partial_row, tree_sum
 from blockweave.session import shuffle_partitions
 
 #: Up to this rank FᵀF is a generated aggregate, above it numpy on Arrow batches.
@@ -91,16 +89,24 @@ def weighted_sums(rows: DataFrame, rank: int) -> DataFrame:
 
 def gram(factor: DataFrame, rank: int) -> DataFrame:
     """FᵀF as one row ``(g array<double>)`` of rank² values, row after row."""
-    if rank <= SMALL_RANK:
-        # Elements become plain columns first: array access inside every product makes long code.
-        wide = factor.selectExpr(*[f"get(f, {k}) as f{k}" for k in range(rank)])
-        pairs = [(a, b) for a in range(rank) for b in range(a, rank)]
-        sums = ", ".join(f"sum(f{a} * f{b}) as g{a}_{b}" for a, b in pairs)
-        cells = ", ".join(
-            f"coalesce(s.g{min(a, b)}_{max(a, b)}, 0D)" for a in range(rank) for b in range(rank)
+    if rank > SMALL_RANK:
+        return factor.sparkSession.createDataFrame(
+            pa.table({"g": arrow.to_lists(gram_matrix(factor, rank).reshape(1, -1))})
         )
-        named = wide.agg(F.expr(f"struct({sums}) as s"))
-        return named.selectExpr(f"array({cells}) as g")
+    # Elements become plain columns first: array access inside every product makes long code.
+    wide = factor.selectExpr(*[f"get(f, {k}) as f{k}" for k in range(rank)])
+    pairs = [(a, b) for a in range(rank) for b in range(a, rank)]
+    sums = ", ".join(f"sum(f{a} * f{b}) as g{a}_{b}" for a, b in pairs)
+    cells = ", ".join(
+        f"coalesce(s.g{min(a, b)}_{max(a, b)}, 0D)" for a in range(rank) for b in range(rank)
+    )
+    return wide.agg(F.expr(f"struct({sums}) as s")).selectExpr(f"array({cells}) as g")
+
+
+def gram_matrix(factor: DataFrame, rank: int) -> np.ndarray:
+    """FᵀF as a rank x rank matrix on the driver."""
+    if rank <= SMALL_RANK:
+        return np.array(gram(factor, rank).first()["g"]).reshape(rank, rank)
 
     def partial(batches):
         total = np.zeros((rank, rank))
@@ -108,36 +114,11 @@ def gram(factor: DataFrame, rank: int) -> DataFrame:
             rows = arrow.to_matrix(batch.column(0))
             if len(rows):
                 total += rows.T @ rows
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([TaskContext.get().partitionId()]), arrow.to_lists(total.reshape(1, -1))],
-            ["pid", "g"],
-        )
+        yield partial_row(total)
 
-    spark = factor.sparkSession
-    zeros = spark.range(1).select(
-        F.col("id").alias("pid"), F.array_repeat(F.lit(0.0), rank * rank).alias("g")
-    )
-    partials = factor.select("f").mapInArrow(partial, "pid long, g array<double>").unionAll(zeros)
-    total = tree_sum(partials, "g", [], shuffle_partitions(spark))
-    return total.select(vector_to_array("g").alias("g"))
-
-
-def gram_entries(factor: DataFrame, rank: int) -> DataFrame:
-    """FᵀF as entries ``(i, j, v)``."""
-    return (
-        gram(factor, rank)
-        .select(F.posexplode("g").alias("pos", "v"))
-        .select(
-            F.expr(f"cast(pos div {rank} as bigint)").alias("i"),
-            (F.col("pos") % rank).cast("bigint").alias("j"),
-            "v",
-        )
-    )
-
-
-def gram_matrix(factor: DataFrame, rank: int) -> np.ndarray:
-    """FᵀF as a rank x rank matrix on the driver: one job."""
-    return np.array(gram(factor, rank).first()["g"]).reshape(rank, rank)
+    partials = factor.select("f").mapInArrow(partial, SCHEMA)
+    total = tree_sum(partials, shuffle_partitions(factor.sparkSession))
+    return np.zeros((rank, rank)) if total is None else total.reshape(rank, rank)
 
 
 def apply_gram(factor: DataFrame, g: np.ndarray) -> DataFrame:

@@ -3,30 +3,43 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 #: Up to this many partial rows go straight to the final task.
 DIRECT_PARTIALS = 64
+#: One partial sum: the partition it comes from and the bytes of a float64 vector.
+SCHEMA = "pid long, total binary"
 
 
-def tree_sum(partials: DataFrame, vector: str, counters: Sequence[str], parts: int) -> DataFrame:
-    """One row with the sum of an array column (as a vector) and of some counters; none without input.
+def partial_row(total: np.ndarray) -> pa.RecordBatch:
+    """A task's own sum as its one row."""
+    cells = [pa.array([TaskContext.get().partitionId()]), pa.array([total.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(cells, ["pid", "total"])
 
-    ``partials`` has one row per partition and its number in ``pid``. With many partitions the rows
-    first meet in about sqrt(parts) groups, so no task receives more than about sqrt(parts) vectors.
-    """
 
-    def totals(df: DataFrame, *keys):
-        sums = [F.sum(c).alias(c) for c in counters]
-        return df.groupBy(*keys).agg(Summarizer.sum(F.col(vector)).alias(vector), *sums)
+def _add(batches):
+    total = None
+    for batch in batches:
+        for value in batch.column("total"):
+            part = np.frombuffer(value.as_buffer())
+            total = part.copy() if total is None else np.add(total, part, out=total)
+    if total is not None:
+        yield partial_row(total)
+
 
-    rows = partials.withColumn(vector, array_to_vector(F.col(vector)))
+def tree_sum(partials: DataFrame, parts: int) -> np.ndarray | None:
+    """The sum of all partial rows, None if there are none.
+
+    ``parts`` is about the number of rows. When there are many, they first meet in about
+    sqrt(parts) groups, so no task receives more than about sqrt(parts) vectors. Only the final
+    vector comes to the driver.
+    """
     if parts > DIRECT_PARTIALS:
-        groups = math.ceil(math.sqrt(parts))
-        rows = totals(rows, F.pmod(F.col("pid"), F.lit(groups)).alias("grp"))
-    return totals(rows, F.lit(0).alias("grp")).drop("grp")
+        partials = partials.repartition(math.ceil(math.sqrt(parts)), "pid").mapInArrow(_add, SCHEMA)
+    # At most one row; first() would close the Python worker early and lose it for the next job.
+    rows = partials.repartition(1).mapInArrow(_add, SCHEMA).collect()
+    return np.frombuffer(rows[0]["total"]) if rows else None

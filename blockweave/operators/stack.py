@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockweave.functions import arrow
 from blockweave.session import cut
 
 _ROW_BITS = 33
@@ -110,3 +112,90 @@ def share_by_stack(
             rest = rest.slice(whole)
     if rest is not None and rest.num_rows:
         yield from shared(rest, rest.num_rows)
+
+
+def with_share(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows without a ``share`` count once each."""
+    if "share" in batch.schema.names:
+        return batch
+    ones = pa.array(np.ones(batch.num_rows))
+    return pa.RecordBatch.from_arrays([*batch.columns, ones], [*batch.schema.names, "share"])
+
+
+#: Bytes of features in one packed row, at most.
+PACK_BYTES = 1 << 20
+#: Features with a smaller part of non-zero values are packed as places and values.
+SPARSE_BELOW = 0.4
+
+
+def pack(rows: DataFrame, stack_size: int | None) -> DataFrame:
+    """Samples ``(features, label | target [, share])`` as rows of many samples in bytes.
+
+    With ``stack_size`` the share of a row is 1 / size of its stack, stacks being formed in arrival
+    order inside a partition. Single-precision features stay so; mostly zero features are kept sparse.
+    """
+    kind = rows.schema["features"].dataType.elementType.typeName()
+    dtype = np.float32 if kind == "float" else np.float64
+    result = "target" if "target" in rows.columns else "label"
+    schema = (
+        "n int, width int, single boolean, places binary, features binary, "
+        f"{result} binary, share binary"
+    )
+
+    def run(batches):
+        if stack_size is not None:
+            batches = share_by_stack(batches, stack_size)
+        for batch in map(with_share, batches):
+            lengths = pc.list_value_length(batch.column("features"))
+            # Uneven vectors are packed apart; the caller sees the widths and refuses them.
+            for width in pc.unique(lengths).to_pylist():
+                same = batch.filter(pc.equal(lengths, width)) if width is not None else batch
+                x = arrow.to_matrix(same.column("features")).astype(dtype, copy=False)
+                if result == "target":
+                    y = arrow.to_matrix(same.column("target"))
+                else:
+                    y = same.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
+                share = same.column("share").to_numpy()
+                step = max(1, PACK_BYTES // (x.itemsize * max(width, 1)))
+                for a in range(0, len(x), step):
+                    yield _packed(x[a : a + step], y[a : a + step], share[a : a + step])
+
+    def _packed(x, y, share):
+        flat = x.reshape(-1)
+        places = np.flatnonzero(flat)
+        if places.size < SPARSE_BELOW * flat.size:
+            kept, flat = places.astype(np.uint32).tobytes(), flat[places]
+        else:
+            kept = None
+        cells = [len(x), x.shape[1], dtype == np.float32, kept, flat.tobytes(), y.tobytes(), share.tobytes()]
+        types = [pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        arrays = [pa.array([c], t) for c, t in zip(cells, types, strict=True)]
+        names = ["n", "width", "single", "places", "features", result, "share"]
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows back to batches of samples: ``features``, ``label`` or ``target``, ``share``."""
+
+    def numbers(value, dtype=np.float64):
+        return np.frombuffer(value.as_buffer(), dtype=dtype)
+
+    for batch in batches:
+        names = batch.schema.names
+        result = "target" if "target" in names else "label"
+        columns = [batch.column(c) for c in ("n", "width", "single", "places", "features", result, "share")]
+        for n, width, single, places, values, y, share in zip(*columns, strict=True):
+            n, width = n.as_py(), width.as_py()
+            flat = numbers(values, np.float32 if single.as_py() else np.float64)
+            if places.is_valid:
+                dense = np.zeros(n * width)
+                dense[numbers(places, np.uint32)] = flat
+                flat = dense
+            y = numbers(y)
+            goal = pa.array(y) if result == "label" else arrow.to_lists(y.reshape(n, -1))
+            yield pa.RecordBatch.from_arrays(
+                [arrow.to_lists(flat.reshape(n, width)), goal, pa.array(numbers(share))],
+                ["features", result, "share"],
+            )

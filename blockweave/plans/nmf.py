@@ -73,7 +73,7 @@ class Ratings:
         self._hot = hot
         self._reuse = reuse
         cells = entries.select("i", "j", "v") if unique else entry.sum_duplicates(entries)
-        self.cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+        self.cells = cells.persist(StorageLevel.MEMORY_AND_DISK_DESER)
         self._held = [self.cells]
         self._sides: dict[str, Side] = {}
         facts = self.cells.agg(F.count("*"), F.max("i"), F.max("j")).first()
@@ -98,7 +98,7 @@ class Ratings:
             is_hot = F.col("key").isin(keys) if keys else F.lit(False)
             cold = cells.where(~is_hot)
             if self._reuse:
-                cold = cold.repartition(self._parts, "key").persist(StorageLevel.MEMORY_AND_DISK)
+                cold = cold.repartition(self._parts, "key").persist(StorageLevel.MEMORY_AND_DISK_DESER)
                 self._held.append(cold)
                 # A filled cache tells later plans how it is partitioned; an empty one does not.
                 cold.count()

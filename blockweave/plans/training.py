@@ -16,12 +16,11 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
-from pyspark.taskcontext import TaskContext
 
 from blockweave.functions import arrow, kernels
 from blockweave.functions.columns import hash_uniform
-from blockweave.operators.reduce import tree_sum
-from blockweave.operators.stack import assign_stacks, share_by_stack
+from blockweave.operators.reduce import SCHEMA, partial_row, tree_sum
+from blockweave.operators.stack import assign_stacks, pack, unpack, with_share
 from blockweave.plans import network
 from blockweave.session import BROADCAST_BYTES, cut
 
@@ -64,13 +63,16 @@ def network_gradient(layers: list[int]) -> Gradient:
 
 @dataclass
 class TrainingData:
-    """Persisted samples ``(features, label | target [, stack_id, share])`` and what is known of them."""
+    """Persisted samples and what is known of them.
+
+    Packed samples are rows of whole batches as bytes, so an iteration hands them to the kernels
+    without taking vectors apart. Samples that are drawn anew in each iteration stay one per row.
+    """
 
     rows: DataFrame
     count: int
     parts: int
-    stack_size: int | None
-    held: bool
+    packed: bool
     #: Width of the feature vectors, 0 without data.
     width: int = 0
 
@@ -79,8 +81,7 @@ class TrainingData:
         return self.count == 0
 
     def release(self) -> None:
-        if self.held:
-            self.rows.unpersist()
+        self.rows.unpersist()
 
 
 def _as_arrays(df: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def prepare(
     order_by: str | None = None,
     fraction: float = 1.0,
 ) -> TrainingData:
-    """Choose columns, form stacks if they must be known up front, persist, and count once."""
+    """Choose columns, form stacks, persist, and count once."""
     if averaging not in ("stack", "row"):
         raise ValueError('averaging must be "stack" or "row"')
     if stack_size < 1:
@@ -111,26 +112,30 @@ def prepare(
     picked = [F.col(features).alias("features"), result]
     name = "target" if target else "label"
     stacked = averaging == "stack" and stack_size > 1
+    stream_size = None
     if stacked and (order_by is not None or fraction < 1.0):
         if order_by is not None:
             picked.append(F.col(order_by).alias("_order"))
         rows = assign_stacks(samples.select(*picked), stack_size, order_by and "_order")
         rows = rows.select("features", name, "stack_id", (1.0 / F.col("stack_n")).alias("share"))
-        stream_size = None
     else:
         rows = samples.select(*picked)
         stream_size = stack_size if stacked else None
-    level = samples.storageLevel
-    held = stream_size is None or not (level.useMemory or level.useDisk)
-    if held:
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    per_part = _as_arrays(rows).groupBy(F.spark_partition_id().alias("p")).agg(
-        F.count("*").alias("n"), F.min(F.size("features")).alias("lo"), F.max(F.size("features")).alias("hi")
+    packed = fraction == 1.0
+    if packed:
+        rows = pack(_as_arrays(rows.drop("stack_id")), stream_size)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    sized = rows if packed else _as_arrays(rows).select(
+        F.lit(1).alias("n"), F.size("features").alias("width")
+    )
+    per_part = sized.groupBy(F.spark_partition_id().alias("p")).agg(
+        F.sum("n").alias("n"), F.min("width").alias("lo"), F.max("width").alias("hi")
     )
     facts = per_part.agg(F.sum("n"), F.count("*"), F.min("lo"), F.max("hi")).first()
     if facts[2] != facts[3]:
+        rows.unpersist()
         raise ValueError(f"feature vectors have between {facts[2]} and {facts[3]} values")
-    return TrainingData(rows, facts[0] or 0, facts[1], stream_size, held, facts[3] or 0)
+    return TrainingData(rows, facts[0] or 0, facts[1], packed, facts[3] or 0)
 
 
 def sum_gradient(
@@ -139,53 +144,40 @@ def sum_gradient(
     """Gradient sum, loss sum and total weight over all samples, or over a sample of the stacks."""
     spark = data.rows.sparkSession
     if weights.nbytes > BROADCAST_BYTES:
-        raise ValueError("the weights exceed the broadcast limit; fit with engine='relational'")
-    rows = data.rows
+        raise ValueError("the weights exceed the broadcast limit; use fit_mlp_relational")
+    rows, packed = data.rows, data.packed
     if fraction < 1.0:
+        if packed:
+            raise ValueError("prepare the samples with the same fraction")
         if "stack_id" in rows.columns:
             rows = rows.where(hash_uniform(F.col("stack_id"), seed=seed) < fraction)
         else:
             rows = rows.sample(False, fraction, seed)
-    rows = _as_arrays(rows.drop("stack_id"))
-    stack_size, size = data.stack_size, weights.size
+    if not packed:
+        rows = _as_arrays(rows.drop("stack_id"))
+    size = weights.size
     shared = spark.sparkContext.broadcast(weights)
 
     def run(batches):
-        if stack_size is not None:
-            batches = share_by_stack(batches, stack_size)
         current = shared.value
-        total, loss, weight = np.zeros(size), 0.0, 0.0
-        for batch in batches:
+        # Behind the gradient: the loss and the weight of the samples seen.
+        sums = np.zeros(size + 2)
+        for batch in unpack(batches) if packed else map(with_share, batches):
             if not batch.num_rows:
                 continue
-            if "share" not in batch.schema.names:
-                ones = pa.array(np.ones(batch.num_rows))
-                batch = pa.RecordBatch.from_arrays(
-                    [*batch.columns, ones], [*batch.schema.names, "share"]
-                )
-            g, part_loss, part_weight = gradient(batch, current)
-            total += g
-            loss += part_loss
-            weight += part_weight
-        if weight:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([TaskContext.get().partitionId()]),
-                    arrow.to_lists(total.reshape(1, -1)),
-                    pa.array([loss]),
-                    pa.array([weight]),
-                ],
-                ["pid", "g", "loss", "n"],
-            )
+            g, loss, weight = gradient(batch, current)
+            sums[:size] += g
+            sums[size:] += loss, weight
+        if sums[-1]:
+            yield partial_row(sums)
 
-    partials = rows.mapInArrow(run, "pid long, g array<double>, loss double, n double")
     try:
-        row = tree_sum(partials, "g", ["loss", "n"], data.parts).first()
+        total = tree_sum(rows.mapInArrow(run, SCHEMA), data.parts)
     finally:
         shared.destroy()
-    if row is None:
+    if total is None:
         return np.zeros(size), 0.0, 0.0
-    return row["g"].toArray(), row["loss"], row["n"]
+    return total[:size], float(total[size]), float(total[size + 1])
 
 
 def _check(ok: bool, message: str) -> None:
@@ -458,7 +450,7 @@ def fit_mlp_relational(
 
     def hold(df: DataFrame) -> DataFrame:
         """Keep a layer for the rest of the pass; a filled cache also keeps its partitioning."""
-        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        held.append(df.persist(StorageLevel.MEMORY_AND_DISK_DESER))
         held[-1].count()
         return held[-1]
 

@@ -18,15 +18,6 @@ MAX_HOT_KEYS = 10_000
 #: Largest number of doubles in one dense block.
 MAX_BLOCK_CELLS = 1 << 22
 
-_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def configure(spark: SparkSession) -> SparkSession:
-    """Set the run-time options the Arrow operators rely on."""
-    # Rows hold whole blocks or feature vectors, so bound batches by bytes, not only by rows.
-    spark.conf.set(_ARROW_BYTES, str(64 * 1024 * 1024))
-    return spark
-
 
 def build_session(app: str = "blockweave", master: str | None = None, **options: str) -> SparkSession:
     """A session with adaptive execution and checkpoint clean-up switched on."""
@@ -41,7 +32,7 @@ def build_session(app: str = "blockweave", master: str | None = None, **options:
         builder = builder.master(master)
     for key, value in options.items():
         builder = builder.config(key, value)
-    return configure(builder.getOrCreate())
+    return builder.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
