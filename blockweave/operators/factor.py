@@ -121,6 +121,19 @@ def gram_matrix(factor: DataFrame, rank: int) -> np.ndarray:
     return np.zeros((rank, rank)) if total is None else total.reshape(rank, rank)
 
 
+def gram_entries(factor: DataFrame, rank: int) -> DataFrame:
+    """FᵀF as entries ``(i, j, v)``."""
+    return (
+        gram(factor, rank)
+        .select(F.posexplode("g").alias("pos", "v"))
+        .select(
+            F.expr(f"cast(pos div {rank} as bigint)").alias("i"),
+            (F.col("pos") % rank).cast("bigint").alias("j"),
+            "v",
+        )
+    )
+
+
 def apply_gram(factor: DataFrame, g: np.ndarray) -> DataFrame:
     """F·G for a symmetric rank x rank matrix: ``(id, f)``."""
 
