@@ -214,14 +214,26 @@ def backward(
             back = layer_matrix(weights, level).where(F.col("i") != BIAS)
             pulled = entry.multiply(delta, entry.transpose(back), b_cells=n_in * n_out)
             slope = chain[level - 1].where(F.col("j") != BIAS)
-            slope = slope.select("i", "j", sigmoid_slope(F.col("v")).alias("v"))
-            delta = hold(entry.elementwise_product(pulled, slope))
+            delta = hold(_scaled(pulled, slope.withColumn("v", sigmoid_slope(F.col("v")))))
     total = gradients[0]
     for other in gradients[1:]:
         total = total.unionAll(other)
     return Pass(losses, deltas, total)
 
 
+def _scaled(values: DataFrame, factors: DataFrame) -> DataFrame:
+    """Product cell by cell of two tables that are both partitioned by sample.
+
+    A union and a sum keep that partitioning; a join on (sample, unit) would shuffle both sides.
+    """
+    nothing = F.lit(None).cast("double")
+    both = values.select("i", "j", "v", nothing.alias("s")).unionAll(
+        factors.select("i", "j", nothing.alias("v"), F.col("v").alias("s"))
+    )
+    product = F.coalesce(F.sum("v"), F.lit(0.0)) * F.max("s")
+    return both.groupBy("i", "j").agg(product.alias("v"))
+
+
 def argmax_class(scores: DataFrame, value: str = "v") -> DataFrame:
     """``(i, prediction)``: the unit with the largest value, the first one on a tie."""
     best: Column = F.max_by(F.struct((-F.col("j")).alias("k")), F.struct(F.col(value), -F.col("j")))

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import MultilayerPerceptronClassifier
@@ -168,3 +170,23 @@ def test_gradient_descent_equals_the_stock_classifier(spark, steps):
         initial_weights=w,
     )
     assert np.allclose(ours.weights, stock.weights.toArray(), atol=1e-12)
+
+
+def test_relational_pass_shuffles_samples_once(spark):
+    """Sums, windows and joins by sample reuse the partitioning of the samples."""
+    x, y = data()
+    layers = [5, 4, 6, 3]
+    samples = table(spark, x, y)
+    weights = network.weights_table(spark, weights_of(layers), layers)
+    chain = network.forward(network.feature_entries(samples, "id"), weights, layers)
+    targets = samples.select(F.col("id").alias("i"), "label", F.lit(1.0).alias("share"))
+    deltas = network.backward(chain, targets, weights, layers).deltas
+
+    def keys(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        found = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+        return {tuple(re.sub(r"#.*", "", k) for k in each.split(", ")[:-1]) for each in found}
+
+    # The samples and, where it is not broadcast, the targets; never (sample, unit).
+    assert keys(chain[-1]) == {("i",)}
+    assert keys(deltas[1]) == {("i",)}
