@@ -189,10 +189,11 @@ def schedule(
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES, **names: str) -> DataFrame:
     """``docs`` with all rows and columns in the order of the mixture; written files keep it by number."""
-    columns, id_col, text_col = docs.columns, names.get("id_col", "doc_id"), names.get("text_col", "text")
+    id_col, text_col = names.get("id_col", "doc_id"), names.get("text_col", "text")
     slots = schedule(docs, weights, block_bytes, **names)
     slots = slots.groupBy("row_hash").agg(F.min(F.struct("slot", "place", "key")).alias("mix_at"))
-    keyed = docs.withColumn("row_hash", F.xxhash64(id_col, text_col))
+    # whole rows in one column, so that no name can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(id_col, text_col).alias("row_hash"))
     order = ["mix_at.slot", "mix_at.place", "mix_at.key", "row_hash"]
     ordered = keyed.join(slots, "row_hash").repartitionByRange(*order).sortWithinPartitions(*order)
-    return ordered.select(*columns)
+    return ordered.select("doc.*")
