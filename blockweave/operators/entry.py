@@ -6,16 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockweave.functions.columns import divide_ieee, zero_or_ratio
-from blockweave.session import (
-    BROADCAST_BYTES,
-    ENTRY_BYTES,
-    HOT_ENTRIES,
-    MAX_HOT_KEYS,
-    shuffle_partitions,
-)
-
-#: A hot key is spread over at most this many salts per shuffle partition.
-SALTS_PER_PARTITION = 4
+from blockweave.session import BROADCAST_BYTES, ENTRY_BYTES, HOT_ENTRIES, HOT_PAIRS, cut
 
 
 def to_entries(df: DataFrame, i: Column | str, j: Column | str, v: Column | str) -> DataFrame:
@@ -73,32 +64,25 @@ def _fits(cells: int | None) -> bool:
     return cells is not None and cells * ENTRY_BYTES <= BROADCAST_BYTES
 
 
-def _hot_inner_keys(a: DataFrame, b: DataFrame, hot: int) -> DataFrame:
-    """Inner indices with more than ``hot`` entries on a side, and the salts each side gets.
+def _hot_inner_keys(a: DataFrame, b: DataFrame, hot: int, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """Every inner index with more than ``hot`` entries on a side or ``hot_pairs`` pairs, and its salts.
 
-    The result is limited to the heaviest ``MAX_HOT_KEYS`` keys, so it may be broadcast; a key left
-    out is joined like any other.
+    A task gets at most about ``hot`` entries of a side and ``hot_pairs`` pairs of one index.
     """
     counted = (
         a.select(F.col("j").alias("key"), F.lit(1).alias("x"), F.lit(0).alias("y"))
         .unionAll(b.select(F.col("i").alias("key"), F.lit(0).alias("x"), F.lit(1).alias("y")))
         .groupBy("key")
         .agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-        .where((F.col("x") > hot) | (F.col("y") > hot))
-        .orderBy(F.greatest("x", "y").desc())
-        .limit(MAX_HOT_KEYS)
     )
-
-    most = SALTS_PER_PARTITION * shuffle_partitions(a.sparkSession)
+    pairs = F.col("x").cast("double") * F.col("y")
+    each = min(float(hot), hot_pairs**0.5)
 
     def salts(count: str) -> Column:
-        return F.least(F.ceil(F.col(count) / hot), F.lit(most)).cast("int")
+        return F.greatest(F.ceil(F.col(count) / F.lit(each)), F.lit(1)).cast("int")
 
-    return counted.select(
-        "key",
-        F.greatest(salts("x"), F.lit(1)).alias("a_salts"),
-        F.greatest(salts("y"), F.lit(1)).alias("b_salts"),
-    )
+    too_many = (F.col("x") > hot) | (F.col("y") > hot) | (pairs > hot_pairs)
+    return counted.where(too_many).select("key", salts("x").alias("a_salts"), salts("y").alias("b_salts"))
 
 
 def multiply(
@@ -108,13 +92,15 @@ def multiply(
     a_cells: int | None = None,
     b_cells: int | None = None,
     hot: int | None = HOT_ENTRIES,
+    hot_pairs: int = HOT_PAIRS,
 ) -> DataFrame:
     """Matrix product as an equi-join on the inner index and a sum.
 
     A side whose known number of cells fits the broadcast limit is broadcast. Otherwise both sides
-    are shuffled on the inner index, and an index that holds more than ``hot`` entries is split:
-    each side gets its own salt and is repeated over the other side's salts. Pass ``hot=None`` when no
-    inner index can hold many entries on either side.
+    are shuffled on the inner index, and an index that holds more than ``hot`` entries, or makes more than
+    ``hot_pairs`` pairs, is split: each side gets its own salt and is repeated over the other side's salts.
+    The table of such indices is made once and broadcast only if it is small. Pass ``hot=None`` when no inner
+    index can hold many entries on either side.
     """
     left, right = a.alias("a"), b.alias("b")
     on = F.col("a.j") == F.col("b.i")
@@ -125,7 +111,9 @@ def multiply(
     elif hot is None:
         pairs = left.join(right, on)
     else:
-        keys = F.broadcast(_hot_inner_keys(a, b, hot))
+        keys = cut(_hot_inner_keys(a, b, hot, hot_pairs))
+        if _fits(keys.count()):
+            keys = F.broadcast(keys)
 
         def other(name: str) -> Column:
             return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(name), F.lit(1)) - 1))

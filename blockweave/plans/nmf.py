@@ -19,7 +19,6 @@ from blockweave.operators import entry, factor
 from blockweave.session import (
     BROADCAST_BYTES,
     ENTRY_BYTES,
-    MAX_HOT_KEYS,
     cut,
     shuffle_partitions,
 )
@@ -48,9 +47,15 @@ class Side:
         joined = self.cold.join(rows.hint("shuffle_hash"), "key").select("id", "v", "f")
         if self.hot_keys:
             few = rows.where(F.col("key").isin(self.hot_keys))
+            hot = self.hot
             if len(self.hot_keys) * (8 * rank + ENTRY_BYTES) <= BROADCAST_BYTES:
-                few = F.broadcast(few)
-            joined = joined.unionAll(self.hot.join(few, "key").select("id", "v", "f"))
+                met = hot.join(F.broadcast(few), "key")
+            else:  # every hot key is dealt over salts, its one factor row is repeated for each
+                salts = shuffle_partitions(hot.sparkSession)
+                salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
+                every = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+                met = hot.withColumn("salt", salt).join(every, ["key", "salt"])
+            joined = joined.unionAll(met.select("id", "v", "f"))
         return factor.weighted_sums(joined, rank)
 
 
@@ -58,7 +63,8 @@ class Ratings:
     """A rating matrix prepared for factorisation: one entry per cell, one layout per index.
 
     ``reuse`` keeps each layout for later passes; without it a layout serves one update. ``unique``
-    says that there is one entry per cell already and saves the shuffle that adds repeated ones.
+    says that there is one entry per cell already and saves the shuffle that adds repeated ones. A rating
+    without an id or value, or with a negative id, stops the job.
     """
 
     def __init__(
@@ -76,8 +82,17 @@ class Ratings:
         self.cells = cells.persist(StorageLevel.MEMORY_AND_DISK_DESER)
         self._held = [self.cells]
         self._sides: dict[str, Side] = {}
-        facts = self.cells.agg(F.count("*"), F.max("i"), F.max("j")).first()
+        bad = F.col("i").isNull() | F.col("j").isNull() | F.col("v").isNull() | (F.col("i") < 0) | (F.col("j") < 0)
+        facts = self.cells.agg(
+            F.count("*"), F.max("i"), F.max("j"), F.coalesce(F.sum(F.when(bad, 1)), F.lit(0)),
+            F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0)),
+        ).first()
+        if facts[3]:
+            self.release()
+            raise ValueError(f"{facts[3]} ratings have a null or negative id, or no value")
         self.count = facts[0]
+        #: ‖A‖², needed by every objective.
+        self.square = facts[4]
         self.rows = 0 if facts[1] is None else facts[1] + 1
         self.cols = 0 if facts[2] is None else facts[2] + 1
 
@@ -89,7 +104,7 @@ class Ratings:
             # Cells are unique, so a key holds at most one for each index of the other side.
             return []
         counts = cells.groupBy("key").count().where(F.col("count") > limit)
-        return [row["key"] for row in counts.orderBy(F.desc("count")).limit(MAX_HOT_KEYS).collect()]
+        return [row["key"] for row in counts.orderBy(F.desc("count")).collect()]
 
     def _layout(self, key: str, other: str, other_size: int) -> Side:
         if key not in self._sides:
@@ -133,9 +148,8 @@ def objective(ratings: Ratings, w: DataFrame, h: DataFrame, rank: int) -> float:
     x = ratings.by_row.project(w, rank).select("id", F.col("f").alias("x"))
     inner = vector_dot(F.col("f"), F.col("x"))
     cross = h.join(x, "id").agg(F.coalesce(F.sum(inner), F.lit(0.0))).first()[0]
-    square = ratings.cells.agg(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0))).first()[0]
     both = factor.gram_matrix(w, rank) * factor.gram_matrix(h, rank)
-    return square - 2.0 * cross + float(both.sum())
+    return ratings.square - 2.0 * cross + float(both.sum())
 
 
 @dataclass
@@ -150,6 +164,14 @@ class Factors:
     objectives: list[float] = field(default_factory=list)
 
 
+def _check_covered(cells: DataFrame, index: str, given: DataFrame) -> None:
+    """Ratings whose id a supplied factor lacks would be lost in the joins."""
+    ids = cells.select(F.col(index).alias("id")).distinct()
+    missing = ids.join(given.select("id"), "id", "left_anti").limit(5).collect()
+    if missing:
+        raise ValueError(f"a supplied factor has no row for {index} = {[r['id'] for r in missing]}")
+
+
 def fit(
     entries: DataFrame,
     rank: int,
@@ -175,6 +197,9 @@ def fit(
     ratings = Ratings(entries, hot, partitions, unique=unique)
     try:
         rows, cols = ratings.rows, ratings.cols
+        for index, given in (("i", w), ("j", h)):
+            if given is not None:
+                _check_covered(ratings.cells, index, given)
         if w is None:
             w = factor.random_factor(factor.index_range(entries, rows), rank, seed)
         if h is None:

@@ -13,8 +13,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 ENTRY_BYTES = 24
 #: A key with more entries than this is split over several tasks.
 HOT_ENTRIES = 1_000_000
-#: At most this many keys are treated as hot; a table of them is always small.
-MAX_HOT_KEYS = 10_000
+#: A key that makes more pairs than this in a join is split, whatever its entries.
+HOT_PAIRS = 1_000_000_000
 #: Largest number of doubles in one dense block.
 MAX_BLOCK_CELLS = 1 << 22
 

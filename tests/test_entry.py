@@ -54,12 +54,22 @@ def test_a_hot_inner_index_is_spread_over_tasks(spark):
     a = spark.range(3000).select(F.col("id").alias("i"), F.lit(0).cast("bigint").alias("j"), F.lit(1.0).alias("v"))
     b = spark.range(3).select(F.lit(0).cast("bigint").alias("i"), F.col("id").alias("j"), F.lit(2.0).alias("v"))
     keys = entry._hot_inner_keys(a, b, 100).collect()
-    assert [tuple(k) for k in keys] == [(0, 16, 1)]  # four salts for each of four partitions
+    assert [tuple(k) for k in keys] == [(0, 30, 1)]
     assert [tuple(k) for k in entry._hot_inner_keys(a, b, 500).collect()] == [(0, 6, 1)]
     got = entry.multiply(a, b, hot=100)
     assert got.agg(F.count("*"), F.sum("v")).first()[:] == (9000, 18000.0)
 
 
+def test_hot_keys_are_split_by_pairs_and_without_a_cap(spark):
+    """No salt of a key has more than the wanted pairs, however many keys are hot."""
+    a = spark.range(40_000).select(F.col("id").alias("i"), (F.col("id") % 2).alias("j"), F.lit(1.0).alias("v"))
+    b = a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    for key, sa, sb in entry._hot_inner_keys(a, b, 1_000_000, 10_000_000).collect():
+        assert key in (0, 1) and 20_000 / sa * 20_000 / sb <= 10_000_000
+    many = spark.range(60_000).select(F.col("id").alias("i"), (F.col("id") % 20_000).alias("j"), F.lit(1.0).alias("v"))
+    assert entry._hot_inner_keys(many, b.limit(0), 2).count() == 20_000
+
+
 def test_transpose_of_a_product(spark):
     a, b = sparse(5, 6), sparse(6, 4)
     ea, eb = entries_of(spark, a), entries_of(spark, b)

@@ -108,3 +108,27 @@ def test_summary(spark):
     assert (got["A"]["rows"], got["A"]["cols"]) == (14, 9)
     assert (got["W"]["rows"], got["W"]["cols"], got["W"]["stored"]) == (14, 3, 42)
     assert (got["H"]["rows"], got["H"]["cols"], got["H"]["row_blocks"]) == (3, 9, 1)
+
+
+@pytest.mark.parametrize("cell", [(None, 0, 1.0), (0, None, 1.0), (-1, 0, 1.0), (0, -2, 1.0), (0, 0, None)])
+def test_ratings_without_a_place_or_value_stop_the_fit(spark, cell):
+    e = spark.createDataFrame([(1, 1, 2.0), cell], "i bigint, j bigint, v double")
+    with pytest.raises(ValueError, match="ratings have"):
+        nmf.fit(e, 2, 1)
+
+
+def test_a_supplied_factor_must_cover_the_ratings(spark):
+    e = spark.createDataFrame([(1, 1, 2.0), (5, 1, 2.0)], "i bigint, j bigint, v double")
+    with pytest.raises(ValueError, match="no row for i"):
+        nmf.fit(e, 2, 1, w=factor_of(spark, RNG.random((3, 2))))
+
+
+def test_hot_cells_are_salted_when_their_factor_rows_are_too_many(spark, monkeypatch):
+    a = np.zeros((30, 6))
+    a[:, 2] = 1.0
+    a[4, :] = 2.0
+    monkeypatch.setattr(nmf, "BROADCAST_BYTES", 1)
+    layout = nmf.Ratings(entries_of(spark, a), hot=5)
+    w = RNG.random((30, 2))
+    assert np.allclose(matrix_of_factor(layout.by_row.project(factor_of(spark, w), 2), 6), a.T @ w)
+    layout.release()
