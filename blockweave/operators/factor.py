@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockweave.functions import arrow
@@ -42,8 +42,11 @@ def to_entries(factor: DataFrame) -> DataFrame:
 
 
 def from_entries(entries: DataFrame, rank: int) -> DataFrame:
-    """Entries ``(i, j, v)`` with j below ``rank`` as factor rows; absent cells become zero."""
-    pieces = entries.select(
+    """Entries ``(i, j, v)`` as factor rows; absent cells become zero, a j outside [0, rank) stops the job."""
+    inside = (F.col("j") >= 0) & (F.col("j") < rank)
+    message = F.concat(F.lit(f"column outside [0, {rank}): "), F.coalesce(F.col("j").cast("string"), F.lit("null")))
+    checked = entries.withColumn("j", F.when(inside, F.col("j")).otherwise(F.raise_error(message).cast("bigint")))
+    pieces = checked.select(
         F.col("i").alias("id"),
         F.expr(f"cast(j div {CHUNK} as int)").alias("piece"),
         (F.col("j") % CHUNK).alias("k"),
@@ -72,8 +75,14 @@ def _gather(sums: DataFrame, rank: int) -> DataFrame:
     return listed.select("id", F.slice(whole, 1, rank).alias("f"))
 
 
+def _of_length(rank: int) -> Column:
+    message = F.concat(F.lit(f"expected factor rows of {rank} values but got "), F.size("f").cast("string"))
+    return F.when(F.size("f") == rank, F.col("f")).otherwise(F.raise_error(message).cast("array<double>"))
+
+
 def weighted_sums(rows: DataFrame, rank: int) -> DataFrame:
-    """Σ v·f per ``id`` of rows ``(id, v, f)``, as factor rows."""
+    """Σ v·f per ``id`` of rows ``(id, v, f)``, as factor rows; a row of another length stops the job."""
+    rows = rows.withColumn("f", _of_length(rank))
     if rank <= CHUNK:
         pieces = rows.withColumn("piece", F.lit(0))
     else:
@@ -94,7 +103,7 @@ def gram(factor: DataFrame, rank: int) -> DataFrame:
             pa.table({"g": arrow.to_lists(gram_matrix(factor, rank).reshape(1, -1))})
         )
     # Elements become plain columns first: array access inside every product makes long code.
-    wide = factor.selectExpr(*[f"get(f, {k}) as f{k}" for k in range(rank)])
+    wide = factor.select(_of_length(rank).alias("f")).selectExpr(*[f"get(f, {k}) as f{k}" for k in range(rank)])
     pairs = [(a, b) for a in range(rank) for b in range(a, rank)]
     sums = ", ".join(f"sum(f{a} * f{b}) as g{a}_{b}" for a, b in pairs)
     cells = ", ".join(

@@ -118,13 +118,21 @@ def layer_matrix(weights: DataFrame, level: int) -> DataFrame:
     )
 
 
-def feature_entries(samples: DataFrame, key: str, features: str = "features") -> DataFrame:
+def feature_entries(
+    samples: DataFrame, key: str, features: str = "features", width: int | None = None
+) -> DataFrame:
     """Array features as entries, with the constant input -1 in every sample.
 
+    Features that are not ``width`` values long stop the job.
+
     Whole samples are hash-partitioned before they are taken apart, so the sums, windows and joins
     by sample that follow need no further exchange.
     """
-    rows = samples.select(F.col(key).cast("bigint").alias("i"), F.col(features).alias("x"))
+    x = F.col(features)
+    if width is not None:
+        message = F.concat(F.lit(f"expected {width} features but got "), F.coalesce(F.size(x).cast("string"), F.lit("null")))
+        x = F.when(F.size(x) == width, x).otherwise(F.raise_error(message).cast(samples.schema[features].dataType))
+    rows = samples.select(F.col(key).cast("bigint").alias("i"), x.alias("x"))
     values = F.concat(F.col("x").cast("array<double>"), F.array(F.lit(1.0)))
     cells = rows.repartition("i").select("i", F.size("x").alias("n"), F.posexplode(values).alias("pos", "v"))
     unit = F.when(F.col("pos") == F.col("n"), BIAS).otherwise(F.col("pos"))
@@ -188,9 +196,13 @@ def backward(
 ) -> Pass:
     """Cross-entropy loss, deltas and gradient sums of a forward chain.
 
-    ``targets`` is ``(i, label, share)``. A delta is already scaled by its sample's share, so the
+    ``targets`` is ``(i, label, share)``; a label outside the classes stops the job. A delta is already scaled by its sample's share, so the
     gradient is a plain sum and can be divided by any total.
     """
+    place = F.col("label").cast("bigint")
+    message = F.concat(F.lit("label out of range: "), F.coalesce(F.col("label").cast("string"), F.lit("null")))
+    good = (place >= 0) & (place < layers[-1])
+    targets = targets.withColumn("label", F.when(good, place).otherwise(F.raise_error(message).cast("bigint")))
     hit = (F.col("j") == F.col("label").cast("bigint")).cast("double")
     top = softmax(chain[-1]).join(targets, "i")
     losses = top.where(F.col("j") == F.col("label").cast("bigint")).select(

@@ -65,7 +65,7 @@ def score_relational(
     samples: DataFrame, weights: DataFrame, layers: list[int], key: str, features: str = "features"
 ) -> DataFrame:
     """``(i, prediction)`` by joins, for weights too large to broadcast."""
-    inputs = network.feature_entries(samples, key, features)
+    inputs = network.feature_entries(samples, key, features, layers[0])
     return network.argmax_class(network.forward(inputs, weights, layers)[-1])
 
 

@@ -19,13 +19,18 @@ def read_ratings(
 ) -> DataFrame:
     """``(userId bigint, movieId bigint, rating double)``; other columns are not parsed.
 
-    A value that is not a number stops the job.
+    A value that is empty or not a number stops the job.
     """
+
+    def number(name: str, kind: str):
+        empty = F.raise_error(F.lit(f"empty field in column {name}")).cast(kind)
+        return F.when(F.col(name).isNotNull(), F.col(name).cast(kind)).otherwise(empty)
+
     rows = spark.read.option("header", True).option("inferSchema", False).csv(path)
     picked = rows.select(
-        F.col(user).cast("bigint").alias("userId"),
-        F.col(item).cast("bigint").alias("movieId"),
-        F.col(rating).cast("double").alias("rating"),
+        number(user, "bigint").alias("userId"),
+        number(item, "bigint").alias("movieId"),
+        number(rating, "double").alias("rating"),
     )
     return picked.repartition(partitions) if partitions else picked
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 
 from blockweave.operators import factor
 from tests.conftest import entries_of, factor_of, matrix_of, matrix_of_factor
@@ -77,3 +78,16 @@ def test_generated_code_compiles(spark):
 def test_gram_of_nothing_is_zero(spark, rank):
     empty = spark.createDataFrame([], "id bigint, f array<double>")
     assert factor.gram(empty, rank).collect()[0]["g"] == [0.0] * (rank * rank)
+
+
+def test_columns_and_rows_of_another_length_stop_the_job(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (1, 9, 2.0)], "i bigint, j bigint, v double")
+    for rank in (8, 9):
+        with pytest.raises(PySparkException, match="outside"):
+            factor.from_entries(cells, rank).collect()
+    assert factor.from_entries(cells, 10).count() == 2
+    rows = spark.createDataFrame([(0, 1.0, [1.0, 2.0, 3.0])], "id bigint, v double, f array<double>")
+    with pytest.raises(PySparkException, match="expected factor rows"):
+        factor.weighted_sums(rows, 2).collect()
+    with pytest.raises(PySparkException, match="expected factor rows"):
+        factor.gram(rows.select("id", "f"), 2).collect()

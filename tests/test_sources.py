@@ -60,3 +60,9 @@ def test_libsvm_round_trip(spark, tmp_path):
     back = libsvm.read_libsvm(spark, str(tmp_path / "out"), 3)
     got = sorted((r["label"], r["features"].toArray().tolist()) for r in back.collect())
     assert got == [(1.0, [0.0, 0.1, 3.0]), (2.0, [0.0, 0.0, 0.0])]
+
+
+def test_empty_rating_fields_stop_the_job(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("userId,movieId,rating\n1,2,3\n,2,3\n")
+    with pytest.raises(PySparkException, match="empty field in column userId"):
+        ratings.read_ratings(spark, str(tmp_path / "r.csv")).collect()
