@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -121,6 +121,12 @@ def prepare(
     else:
         rows = samples.select(*picked)
         stream_size = stack_size if stacked else None
+        if fraction < 1.0:  # rows are drawn anew in each iteration, by their key or else their content
+            if order_by is not None:
+                picked.append(F.col(order_by).alias("_order"))
+            rows = _as_arrays(samples.select(*picked))
+            drawn = ["_order"] if order_by is not None else ["features", name]
+            rows = rows.withColumn("_draw", F.xxhash64(*drawn)).drop("_order")
     packed = fraction == 1.0
     if packed:
         rows = pack(_as_arrays(rows.drop("stack_id")), stream_size)
@@ -152,9 +158,9 @@ def sum_gradient(
         if "stack_id" in rows.columns:
             rows = rows.where(hash_uniform(F.col("stack_id"), seed=seed) < fraction)
         else:
-            rows = rows.sample(False, fraction, seed)
+            rows = rows.where(hash_uniform(F.col("_draw"), seed=seed) < fraction)
     if not packed:
-        rows = _as_arrays(rows.drop("stack_id"))
+        rows = _as_arrays(rows.drop("stack_id", "_draw"))
     size = weights.size
     shared = spark.sparkContext.broadcast(weights)
 
@@ -445,6 +451,7 @@ def fit_mlp_relational(
     """
     spark = samples.sparkSession
     network.check_layers(layers)
+    SgdSettings(step=step, iterations=iterations)  # checks both
     weight = F.col(share) if share else F.lit(1.0)
     held: list[DataFrame] = []
 
@@ -454,12 +461,16 @@ def fit_mlp_relational(
         held[-1].count()
         return held[-1]
 
-    inputs = hold(network.feature_entries(samples, key, features))
+    inputs = hold(network.feature_entries(samples, key, features, layers[0]))
     targets = hold(
         samples.select(
             F.col(key).cast("bigint").alias("i"), F.col(label).alias("label"), weight.alias("share")
         ).repartition("i")
     )
+    if not targets.where(F.col("i").isNull()).isEmpty() or not targets.groupBy("i").count().where("count > 1").isEmpty():
+        for df in held:
+            df.unpersist()
+        raise ValueError("every sample needs a key of its own")
     kept = len(held)
     weights = initial if initial is not None else network.initial_weights(spark, layers, seed)
     weights = weights.select("layer", "out", "in", "w")
@@ -487,15 +498,13 @@ def fit_mlp_relational(
             df.unpersist()
 
 
-#: Fixed values of the repeatable sample: a multiplier, a seed multiplier and the modulus.
-SAMPLE_RULE = (7919, 104729, 1_000_003)
-
+def key_sample(
+    df: DataFrame, key: str, fraction: float, seed: int, rule: Column | None = None
+) -> DataFrame:
+    """A sample without replacement that depends only on the key and the seed, so it can be repeated.
 
-def modular_sample(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
-    """Rows whose key falls below ``fraction`` after a modular scramble: a sample without
-    replacement that depends only on the key and the seed, so it can be repeated in SQL.
+    ``rule`` is a number in [0, 1) for each row; by default a hash of key and seed.
     """
     _check(0 < fraction <= 1, "fraction must be above 0 and at most 1")
-    a, b, modulus = SAMPLE_RULE
-    place = F.pmod(F.col(key) * a + F.lit(seed * b), F.lit(modulus))
-    return df.where(place < F.lit(fraction * modulus))
+    place = rule if rule is not None else hash_uniform(F.col(key), seed=seed)
+    return df.where(place < F.lit(fraction))

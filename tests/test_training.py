@@ -207,10 +207,10 @@ def test_sampling_takes_whole_stacks_and_may_take_none(spark):
     assert all(0 < s.n < 60 for s in rows.history)
 
 
-def test_modular_sample(spark):
+def test_key_sample(spark):
     df = spark.range(20_000)
-    got = training.modular_sample(df, "id", 0.3, 5)
-    again = training.modular_sample(df.repartition(7), "id", 0.3, 5)
+    got = training.key_sample(df, "id", 0.3, 5)
+    again = training.key_sample(df.repartition(7), "id", 0.3, 5)
     assert abs(got.count() / 20_000 - 0.3) < 0.05
     assert got.exceptAll(again).count() == 0 and got.distinct().count() == got.count()
 
@@ -298,3 +298,34 @@ def test_one_class_is_learnt(spark):
     model = training.fit_mlp(df, LAYERS, settings=SgdSettings(1.0, 15), averaging="row")
     assert model.history[-1].mean_loss < model.history[0].mean_loss
     assert {r["prediction"] for r in model.transform(df).collect()} == {1.0}
+
+
+@pytest.mark.parametrize(
+    "rows,message",
+    [
+        ([(0, [1.0, 2.0, 3.0], 3.0)], "label out of range"),
+        ([(0, [1.0, 2.0, 3.0], None)], "label out of range"),
+        ([(0, [1.0, 2.0, 3.0, 4.0], 1.0)], "expected 3 features"),
+        ([(0, [1.0, 2.0, 3.0], 1.0), (0, [1.0, 2.0, 3.0], 2.0)], "key of its own"),
+        ([(None, [1.0, 2.0, 3.0], 1.0)], "key of its own"),
+    ],
+)
+def test_relational_fit_refuses_bad_samples(spark, rows, message):
+    df = spark.createDataFrame(rows, "n bigint, features array<double>, label double")
+    with pytest.raises((ValueError, PySparkException), match=message):
+        training.fit_mlp_relational(df, [3, 4, 3], key="n", iterations=1)
+
+
+def test_relational_fit_checks_its_settings(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0, 3.0], 1.0)], "n bigint, features array<double>, label double")
+    for bad in ({"iterations": -1}, {"iterations": 1, "step": 0.0}):
+        with pytest.raises(ValueError):
+            training.fit_mlp_relational(df, [3, 4, 3], key="n", **bad)
+
+
+def test_row_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(200).select(F.array(F.col("id") * 0.01, F.lit(1.0), F.lit(-1.0)).alias("features"), (F.col("id") % 3).cast("double").alias("label"))
+    settings = SgdSettings(0.1, 2, fraction=0.4)
+    fits = [training.fit_mlp(df.repartition(n), [3, 4, 3], settings=settings, averaging="row") for n in (1, 5)]
+    assert np.allclose(fits[0].weights, fits[1].weights)
+    assert [s.n for s in fits[0].history] == [s.n for s in fits[1].history]
