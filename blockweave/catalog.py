@@ -51,8 +51,9 @@ def rating_rows(spark: SparkSession, folder: str, value: Column | str = "l_quant
     return entry.to_entries(order_lines(spark, folder), "o_custkey", "l_partkey", value)
 
 
-def flagged(spark: SparkSession, folder: str, flag: str) -> DataFrame:
-    lines = order_lines(spark, folder).where(F.col("l_returnflag") == flag)
+def flagged(spark: SparkSession, folder: str, flag: str, having: bool = True) -> DataFrame:
+    """Summed quantities of the lines that have a return flag, or of all others."""
+    lines = order_lines(spark, folder).where((F.col("l_returnflag") == flag) == F.lit(having))
     return entry.sum_duplicates(entry.to_entries(lines, "o_custkey", "l_partkey", "l_quantity"))
 
 
@@ -165,9 +166,9 @@ def gram_matrix(spark, folder):
 
 @query
 def gram_entry_form(spark, folder):
-    """MᵀM of the dense supplier matrix, from entries."""
+    """MᵀM of the dense supplier matrix, from entries; its columns are counted first."""
     cells = entry.sum_duplicates(supply_rows(spark, folder, "l_discount"))
-    return rounded(entry.gram(cells, 8), "v")
+    return rounded(entry.gram(cells, entry.matrix_shape(cells).first()["cols"]), "v")
 
 
 @query
@@ -192,7 +193,8 @@ def multiply_divide(spark, folder):
 
 @query
 def matrix_cogroup(spark, folder):
-    both = entry.cogroup(flagged(spark, folder, "R"), flagged(spark, folder, "A"))
+    """Returned quantity against all other quantity of each cell."""
+    both = entry.cogroup(flagged(spark, folder, "R"), flagged(spark, folder, "R", False))
     return rounded(both, "a", "b")
 
 
@@ -307,12 +309,10 @@ def block_grid(spark, folder):
 
 @query
 def grid_placement(spark, folder):
-    """Partition that holds each block after placing the grid on about four partitions."""
+    """Tile of each block when the grid is cut into about four tiles."""
     matrix = sample_blocks(spark, folder)
-    grid = matrix.grid
-    placement = block.Placement.suggested(grid.row_blocks, grid.col_blocks, 4)
-    placed = block.repartition_by_grid(matrix, placement)
-    return placed.blocks.select("bi", "bj", F.spark_partition_id().alias("part"))
+    sides = block.tile_sides(matrix.grid, 4)
+    return matrix.blocks.select("bi", "bj", block.tile_number(matrix.grid, sides).alias("part"))
 
 
 # --- factorisation ------------------------------------------------------------------------------
@@ -641,8 +641,9 @@ def train_accuracy(spark, folder):
 
 @query
 def hash_sample(spark, folder):
-    """About 30 % of the samples, drawn without replacement and repeatable for a seed."""
-    return training.modular_sample(samples(spark, folder), "vec_id", 0.3, seed=43).select("vec_id")
+    """About 30 % of the samples, drawn without replacement by a rule that SQL can repeat."""
+    rule = F.pmod(F.col("vec_id") % 1_000_003 * 7919 + 43 * 104_729, F.lit(1_000_003)) / F.lit(1_000_003.0)
+    return training.key_sample(samples(spark, folder), "vec_id", 0.3, seed=43, rule=rule).select("vec_id")
 
 
 @query

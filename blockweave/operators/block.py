@@ -377,51 +377,20 @@ def validate(matrix: BlockMatrix) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class Placement:
-    """A layout that keeps neighbouring blocks of a grid in one partition."""
-
-    rows: int
-    cols: int
-    rows_per_part: int
-    cols_per_part: int
-
-    def __post_init__(self):
-        if min(self.rows, self.cols, self.rows_per_part, self.cols_per_part) < 1:
-            raise ValueError("grid and partition sizes must be at least 1")
-
-    @classmethod
-    def suggested(cls, rows: int, cols: int, partitions: int) -> Placement:
-        """About ``partitions`` parts of the same shape as the grid."""
-        if partitions < 1:
-            raise ValueError("the number of partitions must be at least 1")
-        scale = 1.0 / math.sqrt(partitions)
-
-        def side(length: int) -> int:
-            return math.floor(max(scale * length, 1.0) + 0.5)
-
-        return cls(rows, cols, side(rows), side(cols))
-
-    @property
-    def row_parts(self) -> int:
-        return -(-self.rows // self.rows_per_part)
-
-    @property
-    def parts(self) -> int:
-        return self.row_parts * -(-self.cols // self.cols_per_part)
-
-    def part(self, bi: Column, bj: Column) -> Column:
-        """Partition number of a block; a block outside the grid stops the job."""
-        inside = (bi >= 0) & (bi < self.rows) & (bj >= 0) & (bj < self.cols)
-        where = F.floor(bi / self.rows_per_part) + F.floor(bj / self.cols_per_part) * self.row_parts
-        return F.when(inside, where.cast("int")).otherwise(
-            F.raise_error(F.lit("block outside the grid")).cast("int")
-        )
-
-
-def repartition_by_grid(matrix: BlockMatrix, placement: Placement) -> BlockMatrix:
-    part = placement.part(F.col("bi"), F.col("bj"))
-    return BlockMatrix(matrix.blocks.repartitionById(placement.parts, part), matrix.grid)
+def tile_sides(grid: Grid, tiles: int) -> tuple[int, int]:
+    """Block rows and columns of a tile when a grid is cut into about ``tiles`` tiles shaped like itself."""
+    if tiles < 1:
+        raise ValueError("the number of tiles must be at least 1")
+    root = math.sqrt(tiles)
+    height, width = (max(1, math.floor(n / root + 0.5)) for n in (grid.row_blocks, grid.col_blocks))
+    return height, width
+
+
+def tile_number(grid: Grid, sides: tuple[int, int]) -> Column:
+    """Number of the tile that a block (bi, bj) lies in, column by column; a key to group neighbours by."""
+    height, width = sides
+    down = -(-grid.row_blocks // height)
+    return F.expr(f"cast(bi div {height} + bj div {width} * {down} as int)")
 
 
 def profile(matrix: BlockMatrix) -> DataFrame:

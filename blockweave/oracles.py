@@ -8,10 +8,10 @@ A = f"a as (select o_custkey i, l_partkey j, sum(l_quantity) v from {LINES} grou
 SIZE = f"""size as (select max(o_custkey) + 1 as row_count, max(l_partkey) + 1 as col_count from {LINES})"""
 
 
-def flagged(name: str, flag: str) -> str:
+def flagged(name: str, flag: str, test: str = "=") -> str:
     return (
         f"{name} as (select o_custkey i, l_partkey j, sum(l_quantity) v from {LINES} "
-        f"where l_returnflag = '{flag}' group by 1, 2)"
+        f"where l_returnflag {test} '{flag}' group by 1, 2)"
     )
 
 
@@ -180,7 +180,7 @@ select a.i, h.k as j, round(sum(a.v * h.v), 6) v from a join h on a.j = h.j grou
         "gram_matrix": f"""with {ranks(RANK)},
 w as (select i, k, {start_w()} v from (select c_custkey i from customer) cross join ks)
 select p.k as i, q.k as j, round(sum(p.v * q.v), 6) v from w p join w q on p.i = q.i group by 1, 2""",
-        "gram_entry_form": f"""with {supply('a', 'l_discount')}, k as (select unnest(range(8)) j),
+        "gram_entry_form": f"""with {supply('a', 'l_discount')}, k as (select unnest(range((select max(j) + 1 from a))) j),
 m as (select i, k.j, coalesce(a.v, 0.0E0) v from (select distinct i from a) cross join k left join a using (i, j))
 select p.j as i, q.j as j, round(sum(p.v * q.v), 6) v from m p join m q on p.i = q.i group by 1, 2""",
         "elementwise_product": f"""with {A}, {flagged('r', 'R')}
@@ -192,7 +192,7 @@ select i, j, round({ieee('p', 'q')}, 6) v from q""",
 c as (select o_custkey i, l_partkey j, sum(l_extendedprice / 1000.0E0) v from {LINES} group by 1, 2),
 q as (select i, j, a.v * coalesce(r.v, 0.0E0) p, c.v q from a left join r using (i, j) left join c using (i, j))
 select i, j, round(case when p = 0 then 0.0E0 else p / q end, 6) v from q""",
-        "matrix_cogroup": f"""with {flagged('p', 'R')}, {flagged('q', 'A')}
+        "matrix_cogroup": f"""with {flagged('p', 'R')}, {flagged('q', 'R', '<>')}
 select i, j, round(p.v, 6) a, round(q.v, 6) b from p full join q using (i, j)""",
         "matrix_cogroup3": f"""with {flagged('p', 'R')}, {flagged('q', 'A')}, {flagged('s', 'N')},
 pq as (select i, j, p.v a, q.v b from p full join q using (i, j))
@@ -338,7 +338,7 @@ select stack_id, cast(place as integer) stack_pos, cast(label as double) label,
             "(select n, o, row_number() over (partition by n order by u desc, o) r from lastu2) q on q.n = vec_id and r = 1",
             "stack", 2,
         ),
-        "hash_sample": "select vec_id from embeddings where (vec_id * 7919 + 43 * 104729) % 1000003 < 0.3E0 * 1000003",
+        "hash_sample": "select vec_id from embeddings where (vec_id % 1000003 * 7919 + 43 * 104729) % 1000003 / 1000003.0E0 < 0.3E0",
         "custom_gradient": linear("l.w - 0.5E0 * g.g", "l.w - 0.5E0 * g.g"),
         "custom_updater": linear(
             "l.w * (1 - 0.5E0 * 0.1E0) - 0.5E0 * g.g",

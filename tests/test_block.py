@@ -153,23 +153,16 @@ def test_random_blocks(spark):
     assert np.array_equal(m, other)
 
 
-def test_grid_placement(spark):
+def test_tiles_keep_neighbours_together(spark):
     b = blocks_of(spark, np.ones((12, 12)), 2, 2)
-    place = block.Placement.suggested(6, 6, 4)
-    assert (place.rows_per_part, place.cols_per_part, place.parts) == (3, 3, 4)
-    rows = block.repartition_by_grid(b, place).blocks.select(
-        "bi", "bj", F.spark_partition_id().alias("p")
-    )
-    for r in rows.collect():
-        assert r["p"] == r["bi"] // 3 + r["bj"] // 3 * 2
-    assert block.Placement(5, 7, 2, 3).parts == 9
-    assert block.Placement.suggested(10, 3, 9).rows_per_part == math.floor(10 / 3 + 0.5)
-    with pytest.raises(ValueError):
-        block.Placement(1, 1, 0, 1)
+    sides = block.tile_sides(b.grid, 4)
+    assert sides == (3, 3)
+    for r in b.blocks.select("bi", "bj", block.tile_number(b.grid, sides).alias("t")).collect():
+        assert r["t"] == r["bi"] // 3 + r["bj"] // 3 * 2
+    assert block.tile_sides(block.Grid(10, 3, 1, 1), 9) == (math.floor(10 / 3 + 0.5), 1)
+    assert block.tile_sides(block.Grid(1, 1, 1, 1), 100) == (1, 1)
     with pytest.raises(ValueError):
-        block.Placement.suggested(1, 1, 0)
-    with pytest.raises(PySparkException, match="outside the grid"):
-        block.repartition_by_grid(b, block.Placement(2, 2, 1, 1)).blocks.collect()
+        block.tile_sides(b.grid, 0)
 
 
 def test_block_grid(spark):
