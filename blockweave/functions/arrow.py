@@ -33,7 +33,10 @@ def to_lists(matrix: np.ndarray) -> pa.Array:
 
 def vector_rows(vectors: list[np.ndarray]) -> pa.Array:
     """Vectors of any lengths as an Arrow array of lists."""
-    offsets = np.concatenate([[0], np.cumsum([v.size for v in vectors])]).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum([v.size for v in vectors])]).astype(np.int64)
+    if offsets[-1] > np.iinfo(np.int32).max:
+        raise ValueError(f"{offsets[-1]} values do not fit one batch of lists")
+    offsets = offsets.astype(np.int32)
     flat = np.concatenate(vectors) if vectors else np.empty(0)
     return pa.ListArray.from_arrays(offsets, pa.array(flat))
 

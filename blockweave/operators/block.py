@@ -162,13 +162,18 @@ def to_blocks(
             flat = lists.flatten()
             pos = flat.field("pos").to_numpy(zero_copy_only=False)
             val = flat.field("v").to_numpy(zero_copy_only=False)
-            data = []
-            for n, size in enumerate(nr * nc):
+            # a dense block may be far larger than its cells: hand on a few at a time
+            first, data, size = 0, [], 0
+            for n, cells in enumerate(nr.astype(np.int64) * nc):
                 span = slice(starts[n], starts[n + 1])
-                data.append(np.bincount(pos[span], weights=val[span], minlength=size))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], arrow.vector_rows(data)], ["bi", "bj", "nr", "nc", "data"]
-            )
+                data.append(np.bincount(pos[span], weights=val[span], minlength=cells))
+                size += 8 * int(cells)
+                if size > HELD_BYTES or n + 1 == batch.num_rows:
+                    keys = [c.slice(first, len(data)) for c in batch.columns[:4]]
+                    yield pa.RecordBatch.from_arrays(
+                        [*keys, arrow.vector_rows(data)], ["bi", "bj", "nr", "nc", "data"]
+                    )
+                    first, data, size = n + 1, [], 0
 
     return BlockMatrix(listed.mapInArrow(scatter, SCHEMA), grid)
 
@@ -318,8 +323,14 @@ def elementwise_product(a: BlockMatrix, b: BlockMatrix) -> BlockMatrix:
 
 
 def elementwise_division(a: BlockMatrix, b: BlockMatrix) -> BlockMatrix:
-    """A⊘B with IEEE results: 0/0 is NaN, x/0 is infinite."""
+    """A⊘B with IEEE results: 0/0 is NaN, x/0 is infinite; a block that both lack is all 0/0."""
     grid = _same_grid(a, b)
+    every = block_grid(a.blocks.sparkSession, grid.row_blocks, grid.col_blocks)
+    absent = F.lit(None).cast("array<double>")
+    a = BlockMatrix(
+        every.join(a.blocks.select("bi", "bj", "data"), ["bi", "bj"], "left").withColumn("data", F.coalesce("data", absent)),
+        grid,
+    )
 
     @F.arrow_udf("array<double>")
     def quotient(x: pa.Array, y: pa.Array) -> pa.Array:

@@ -42,6 +42,11 @@ def matrix_profile(entries: DataFrame, block_rows: int, block_cols: int) -> Data
         F.coalesce(F.max("j") + 1, F.lit(0)).cast("bigint").alias("cols"),
         F.count("*").alias("stored"),
     )
+    return profile_of(size, block_rows, block_cols)
+
+
+def profile_of(size: DataFrame, block_rows: int, block_cols: int) -> DataFrame:
+    """The profile of a matrix from its row ``(rows, cols, stored)``."""
     grid = size.withColumn("row_blocks", F.ceil(F.col("rows") / block_rows)).withColumn(
         "col_blocks", F.ceil(F.col("cols") / block_cols)
     )

@@ -16,6 +16,18 @@ from blockweave.session import BROADCAST_BYTES
 _RESULT = "rawPrediction array<double>, probability array<double>, prediction double"
 
 
+def _inputs(rows: pa.Array, width: int) -> np.ndarray:
+    x = arrow.to_matrix(rows) if len(rows) else np.empty((0, width))
+    if x.shape[1] != width:
+        raise ValueError(f"expected {width} features but got {x.shape[1]}")
+    return x
+
+
+def _array_column(df: DataFrame, features: str):
+    column = F.col(features)
+    return vector_to_array(column) if isinstance(df.schema[features].dataType, VectorUDT) else column
+
+
 def add_scores(
     df: DataFrame, weights: np.ndarray, layers: list[int], features: str = "features"
 ) -> DataFrame:
@@ -30,13 +42,7 @@ def add_scores(
 
     @F.arrow_udf(_RESULT)
     def score(rows: pa.Array) -> pa.Array:
-        if not len(rows):
-            x = np.empty((0, layers[0]))
-        else:
-            x = arrow.to_matrix(rows)
-        if x.shape[1] != layers[0]:
-            raise ValueError(f"expected {layers[0]} features but got {x.shape[1]}")
-        raw = kernels.forward(shared.value, layers, x)[-1]
+        raw = kernels.forward(shared.value, layers, _inputs(rows, layers[0]))[-1]
         if len(raw):
             probability = kernels.softmax(raw)[0]
             best = raw.argmax(axis=1).astype(np.float64)
@@ -47,18 +53,24 @@ def add_scores(
             ["rawPrediction", "probability", "prediction"],
         )
 
-    column = F.col(features)
-    if isinstance(df.schema[features].dataType, VectorUDT):
-        column = vector_to_array(column)
-    return df.withColumn("_score", score(column)).select(*df.columns, "_score.*")
+    return df.withColumn("_score", score(_array_column(df, features))).select(*df.columns, "_score.*")
 
 
 def add_prediction(
     df: DataFrame, weights: np.ndarray, layers: list[int], features: str = "features"
 ) -> DataFrame:
-    """Add the predicted class as ``prediction``."""
-    scored = add_scores(df, weights, layers, features)
-    return scored.select(*df.columns, "prediction")
+    """Add the predicted class as ``prediction``; one double a row comes back from Python."""
+    if weights.nbytes > BROADCAST_BYTES:
+        raise ValueError("the weights exceed the broadcast limit; use score_relational")
+    shared = df.sparkSession.sparkContext.broadcast(weights)
+    layers = list(layers)
+
+    @F.arrow_udf("double")
+    def predict(rows: pa.Array) -> pa.Array:
+        raw = kernels.forward(shared.value, layers, _inputs(rows, layers[0]))[-1]
+        return pa.array(raw.argmax(axis=1).astype(np.float64) if len(raw) else np.empty(0))
+
+    return df.withColumn("prediction", predict(_array_column(df, features)))
 
 
 def score_relational(

@@ -111,6 +111,22 @@ def test_elementwise_with_missing_blocks(spark):
     assert np.allclose(dense_of(zero), want)
 
 
+def test_division_of_blocks_that_both_lack(spark):
+    m = np.ones((4, 4))
+    whole = blocks_of(spark, m, 2, 2)
+    some = block.BlockMatrix(whole.blocks.where("bi = 0"), whole.grid)
+    got = dense_of(block.elementwise_division(some, some))
+    assert (got[:2] == 1).all() and np.isnan(got[2:]).all()
+
+
+def test_many_nearly_empty_blocks_leave_in_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(block, "HELD_BYTES", 1000)
+    m = np.zeros((40, 40))
+    m[::10, ::10] = 3.0
+    e = entries_of(spark, m)
+    assert np.array_equal(dense_of(block.to_blocks(e, 10, 10, 40, 40)), m)
+
+
 def test_elementwise_needs_one_grid(spark):
     m = np.ones((4, 4))
     with pytest.raises(ValueError, match="block sizes"):
