@@ -664,6 +664,18 @@ def least_squares(batch: pa.RecordBatch, weights: np.ndarray):
     return gap @ x, float(gap @ gap) / 2.0, float(len(gap))
 
 
+@query
+def lbfgs_least_squares(spark, folder):
+    """Slope and intercept of the label over the first component, found by L-BFGS."""
+    line = samples(spark, folder).select(F.array(F.col("features")[0].cast("double"), F.lit(1.0)).alias("features"), "label")
+    data = training.prepare(line, averaging="row")
+    try:
+        weights, _ = training.run_lbfgs(data, np.zeros(2), least_squares, settings=training.LbfgsSettings(tol=1e-12))
+    finally:
+        data.release()
+    return rounded(spark.createDataFrame(pa.table({"f": np.arange(2), "w": weights})), "w", places=4)
+
+
 def shrinking_step(weights, gradient, step, iteration, reg):
     """A step that falls with the square root of the iteration, with a ridge penalty."""
     now = step / np.sqrt(iteration)

@@ -339,6 +339,9 @@ select stack_id, cast(place as integer) stack_pos, cast(label as double) label,
             "stack", 2,
         ),
         "hash_sample": "select vec_id from embeddings where (vec_id % 1000003 * 7919 + 43 * 104729) % 1000003 / 1000003.0E0 < 0.3E0",
+        "lbfgs_least_squares": """with s as (select cast(embedding[1] as double) x, cast(label as double) y from embeddings)
+select cast(0 as bigint) f, round(regr_slope(y, x), 4) + 0.0E0 w from s
+union all select cast(1 as bigint), round(regr_intercept(y, x), 4) + 0.0E0 from s""",
         "custom_gradient": linear("l.w - 0.5E0 * g.g", "l.w - 0.5E0 * g.g"),
         "custom_updater": linear(
             "l.w * (1 - 0.5E0 * 0.1E0) - 0.5E0 * g.g",
