@@ -88,6 +88,20 @@ def op10_seekable_warc(spark, folder):
 
 
 ORACLE_SQL = {
+    # The text of pages that mark their article and use only p, h1, b and br in it, as those of the tables do.
+    "op9_line_block_text": r"""
+        with a as (
+            select page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') as body from pages
+        ), b as (
+            select page_id, url, string_split_regex(body, '</?(?:p|h1)>') as blocks from a
+        ), t as (
+            select page_id, url, array_to_string(list_filter(list_transform(blocks, lambda x: trim(regexp_replace(
+                regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '</?(?:b|br)>', ' ', 'g'),
+                    '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'),
+                '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as text
+            from b
+        )
+        select page_id, url, text, cast(length(text) as bigint) as n_chars from t""",
     "op7_sorted_list_topk": f"""
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as c
