@@ -180,12 +180,11 @@ def write_archives(
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    decided = decide(rows).select(
-        F.col("page_id").alias("decided_page"), F.col("digest").alias("decided_digest"), "refers_to"
-    )
-    same = (F.col("digest") == F.col("decided_digest")) & F.col("page_id").eqNullSafe(F.col("decided_page"))
-    copies = Window.partitionBy("page_id", "digest").orderBy("url")
-    met = rows.join(decided, same).withColumn("copy", F.row_number().over(copies) - 1)
+    # A key without nulls: join and row number share one exchange of the pages.
+    place = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    decided = decide(rows).select(place.alias("place"), "digest", "refers_to")
+    copies = Window.partitionBy("place", "digest").orderBy("url")
+    met = rows.withColumn("place", place).join(decided, ["place", "digest"]).withColumn("copy", F.row_number().over(copies) - 1)
     response = F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.col("copy") == 0)
     packed = met.select(
         "page_id", "url", "payload", "digest", F.when(~response, F.col("refers_to")).alias("refers_to"),
