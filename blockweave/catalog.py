@@ -77,6 +77,14 @@ def formula_factor(ids: DataFrame, rank: int, a: int, b: int, modulus: int) -> D
     return ids.select("id", F.transform(ranks, value).alias("f"))
 
 
+def formula_uniform(*places: Column, seed: int) -> Column:
+    """Values in [0, 1) of one or two places and a seed, in plain arithmetic."""
+    total = F.lit(seed * 104_729).cast("bigint")
+    for place, by in zip(places, (7919, 50_021), strict=False):
+        total = total + place.cast("bigint") * F.lit(by)
+    return F.pmod(total, F.lit(1_000_003)) / F.lit(1_000_003.0)
+
+
 def start_w(ids: DataFrame, rank: int) -> DataFrame:
     return formula_factor(ids, rank, 31, 17, 97)
 
@@ -236,9 +244,9 @@ def from_blocks(spark, folder):
 
 @query
 def keyed_blocks(spark, folder):
-    """A matrix rebuilt from its blocks alone, and its profile."""
+    """The cells of a matrix rebuilt from its blocks alone."""
     blocks = sample_blocks(spark, folder).blocks
-    return block.profile(block.from_keyed_blocks(blocks, *TALL))
+    return rounded(block.to_entries(block.from_keyed_blocks(blocks, *TALL)), "v")
 
 
 @query
@@ -326,20 +334,17 @@ def factor_init(spark, folder):
 
 @query
 def random_factor(spark, folder):
-    """Seeded random rows, summed up per id because values have no SQL twin."""
+    """Seeded rows by a rule that SQL can repeat."""
     ids = positions(rating_rows(spark, folder), "i")
-    rows = factor.random_factor(ids, RANK, seed=7)
-    inside = F.forall("f", lambda x: (x >= 0) & (x < 1))
-    return rows.select("id", F.size("f").alias("n"), inside.alias("in_range"))
+    return rounded(factor.to_entries(factor.random_factor(ids, RANK, 7, formula_uniform)), "v")
 
 
 @query
 def random_blocks(spark, folder):
-    """A seeded random matrix of the supplier matrix's size, described block by block."""
+    """A seeded matrix of the supplier matrix's size, by a rule that SQL can repeat."""
     size = entry.matrix_shape(supply_rows(spark, folder)).first()
-    matrix = block.random_blocks(spark, block.Grid(size["rows"], size["cols"], *SMALL), seed=7)
-    inside = F.forall("data", lambda x: (x >= 0) & (x < 1))
-    return matrix.blocks.select("bi", "bj", "nr", "nc", F.size("data").alias("n"), inside.alias("in_range"))
+    grid = block.Grid(size["rows"], size["cols"], *SMALL)
+    return rounded(block.to_entries(block.random_blocks(spark, grid, 7, formula_uniform)), "v")
 
 
 def one_update(spark, folder, rank: int, side: str) -> DataFrame:
@@ -431,13 +436,9 @@ def topology_layout(spark, folder):
 
 @query
 def weight_init(spark, folder):
-    """Random weights by place in the network; values have no SQL twin, so their range is shown."""
-    layers = data_layers(spark, folder)
-    weights = network.initial_weights(spark, layers, seed=11)
-    n_in = F.when(F.col("layer") == 1, layers[0]).otherwise(layers[1])
-    return weights.select(
-        "pos", "layer", "out", "in", (F.abs("w") <= F.lit(2.4) / F.sqrt(n_in)).alias("in_range")
-    )
+    """Starting weights by place in the network, by a rule that SQL can repeat."""
+    weights = network.initial_weights(spark, data_layers(spark, folder), 11, formula_uniform)
+    return rounded(weights.select("pos", "layer", "out", "in", "w"), "w")
 
 
 def stacked(spark, folder) -> DataFrame:

@@ -7,6 +7,7 @@ DataFrame. A block that is not there is zero.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockweave.functions import arrow
+from blockweave.functions.columns import hash_uniform
 from blockweave.operators import entry
 from blockweave.session import BROADCAST_BYTES, MAX_BLOCK_CELLS, shuffle_partitions
 
@@ -99,10 +101,13 @@ def block_grid(spark: SparkSession, row_blocks: int, col_blocks: int) -> DataFra
     )
 
 
-def random_blocks(spark: SparkSession, grid: Grid, seed: int) -> BlockMatrix:
-    """A dense matrix of uniform values in [0, 1); a cell depends on its position and the seed only."""
-    from blockweave.functions.columns import hash_uniform
+def random_blocks(
+    spark: SparkSession, grid: Grid, seed: int, uniform: Callable[..., Column] = hash_uniform
+) -> BlockMatrix:
+    """A dense matrix of uniform values in [0, 1); a cell depends on its position and the seed only.
 
+    ``uniform`` is an expression of the row, the column and the seed, by default a hash.
+    """
     coords = block_grid(spark, grid.row_blocks, grid.col_blocks)
     sized = coords.select(
         "bi", "bj", grid.height(F.col("bi")).alias("nr"), grid.width(F.col("bj")).alias("nc")
@@ -113,7 +118,7 @@ def random_blocks(spark: SparkSession, grid: Grid, seed: int) -> BlockMatrix:
     def cell(pos: Column) -> Column:
         inner = pos % F.col("nr")
         outer = F.floor(pos / F.col("nr"))
-        return hash_uniform(row + inner, col + outer, seed=seed)
+        return uniform(row + inner, col + outer, seed=seed)
 
     data = F.transform(F.sequence(F.lit(0), F.col("nr") * F.col("nc") - 1), cell)
     return BlockMatrix(sized.withColumn("data", data), grid)

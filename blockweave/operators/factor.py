@@ -5,6 +5,8 @@ All sums over factor rows are partly aggregated before they are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,10 +23,15 @@ SMALL_RANK = 12
 CHUNK = 32
 
 
-def random_factor(ids: DataFrame, rank: int, seed: int) -> DataFrame:
-    """A row of ``rank`` uniform values in [0, 1) for every ``id``; the same at every recompute."""
+def random_factor(
+    ids: DataFrame, rank: int, seed: int, uniform: Callable[..., Column] = hash_uniform
+) -> DataFrame:
+    """A row of ``rank`` uniform values in [0, 1) for every ``id``; the same at every recompute.
+
+    ``uniform`` is an expression of the place and the seed, by default a hash.
+    """
     values = F.transform(
-        F.sequence(F.lit(0), F.lit(rank - 1)), lambda k: hash_uniform(F.col("id"), k, seed=seed)
+        F.sequence(F.lit(0), F.lit(rank - 1)), lambda k: uniform(F.col("id"), k, seed=seed)
     )
     return ids.select(F.col("id").cast("bigint").alias("id"), values.alias("f"))
 

@@ -19,6 +19,10 @@ def supply(name: str, column: str) -> str:
     return f"{name} as (select l_suppkey i, cast(l_linenumber as bigint) j, sum({column}) v from lineitem group by 1, 2)"
 
 
+def uniform(places: str, seed: int) -> str:
+    return f"((({places}) + {seed * 104729}) % 1000003) / 1000003.0E0"
+
+
 def ranks(rank: int) -> str:
     return f"ks as (select unnest(range({rank})) k)"
 
@@ -200,9 +204,7 @@ select i, j, round(a, 6) a, round(b, 6) b, round(s.v, 6) c from pq full join s u
         "to_blocks": f"""with {SAMPLE_BLOCKS}
 select bi, bj, nr, nc, cast((j % 32) * nr + i % 128 as integer) pos, round(v, 6) + 0.0E0 v from k""",
         "from_blocks": f"with {X} select i, j, round(v, 6) + 0.0E0 v from x",
-        "keyed_blocks": f"""with {SAMPLE_ROWS}
-select row_count as "rows", cast(64 as bigint) as "cols", (row_count + 127) // 128 as row_blocks, cast(2 as bigint) as col_blocks,
-  row_count // ((row_count + 127) // 128) as block_rows, cast(32 as bigint) as block_cols, row_count * 64 as stored from n""",
+        "keyed_blocks": f"with {X} select i, j, round(v, 6) + 0.0E0 v from x",
         "block_transpose": f"with {X} select j as i, i as j, round(v, 6) + 0.0E0 v from x",
         "block_multiply": f"""with {X}, {CELLS}
 select i, o as j, round(sum(v * w), 6) + 0.0E0 v from x join cells on layer = 1 and f = x.j group by 1, 2""",
@@ -238,12 +240,11 @@ select cast(bi as integer) bi, cast(bj as integer) bj, cast(bi // rp + bj // cp
 from p, (select unnest(range((select r from g))) bi), (select unnest(range(2)) bj)""",
         "factor_init": f"""with {A}, {ranks(RANK)}
 select i, k as j, round({start_w()}, 6) v from (select distinct i from a) cross join ks""",
-        "random_factor": f"with {A} select distinct i as id, 8 as n, true as in_range from a",
+        "random_factor": f"""with {A}, {ranks(RANK)}
+select i, k as j, round({uniform('i * 7919 + k * 50021', 7)}, 6) v from (select distinct i from a) cross join ks""",
         "random_blocks": """with s as (select max(l_suppkey) + 1 r, max(l_linenumber) + 1 c from lineitem),
-b as (select bi, bj, least(48, r - bi * 48) nr, least(3, c - bj * 3) nc from s,
-  (select unnest(range((r + 47) // 48)) bi from s), (select unnest(range((c + 2) // 3)) bj from s))
-select cast(bi as integer) bi, cast(bj as integer) bj, cast(nr as integer) nr, cast(nc as integer) nc,
-  cast(nr * nc as integer) n, true as in_range from b""",
+i as (select unnest(range(r)) i from s), j as (select unnest(range(cast(c as bigint))) j from s)
+select i, j, round(""" + uniform("i * 7919 + j * 50021", 7) + """, 6) v from i cross join j""",
         "nmf_update_h": f"""with {A}, {ranks(RANK)},
 w0 as (select i, k, {start_w()} v from (select distinct i from a) cross join ks),
 h0 as (select k, j, {start_h()} v from (select distinct j from a) cross join ks),
@@ -280,7 +281,7 @@ l as (select 1 as layer, d as n_in, cast(16 as bigint) as n_out, cast(0 as bigin
   union all select 2, 16, c, d * 16 + 16 from s),
 p as (select layer, n_in, n_out, first, unnest(range(n_in * n_out + n_out)) place from l)
 select first + place as pos, layer, place % n_out as out, case when place // n_out = n_in then -1 else place // n_out end as "in",
-  true as in_range from p""",
+  round((""" + uniform("(first + place) * 7919", 11) + """ * 4.8E0 - 2.4E0) / sqrt(n_in), 6) + 0.0E0 w from p""",
         "stack_rows": f"""{STACKS}
 select stack_id, n, 'input' as part, cast(place * 64 + f as integer) pos, round(v, 6) + 0.0E0 v from f
 union all select stack_id, n, 'target', cast(place * 10 + k as integer), case when k = label then 1.0E0 else 0.0E0 end

@@ -74,9 +74,11 @@ def _spans(layers: list[int]):
         first += size
 
 
-def initial_weights(spark: SparkSession, layers: list[int], seed: int = 11) -> DataFrame:
+def initial_weights(
+    spark: SparkSession, layers: list[int], seed: int = 11, uniform: Callable[..., Column] = hash_uniform
+) -> DataFrame:
     """Weights and biases uniform in ±2.4/sqrt(n_in), as a weights table with ``pos``."""
-    unit = hash_uniform(F.col("pos"), seed=seed)
+    unit = uniform(F.col("pos"), seed=seed)
     return weight_cells(spark, check_layers(layers)).select(
         "pos", "layer", "out", "in", ((unit * 4.8 - 2.4) / F.sqrt("n_in")).alias("w")
     )
