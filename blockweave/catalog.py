@@ -80,7 +80,7 @@ def formula_factor(ids: DataFrame, rank: int, a: int, b: int, modulus: int) -> D
 def formula_uniform(*places: Column, seed: int) -> Column:
     """Values in [0, 1) of one or two places and a seed, in plain arithmetic."""
     total = F.lit(seed * 104_729).cast("bigint")
-    for place, by in zip(places, (7919, 50_021), strict=False):
+    for place, by in zip(places, (386_117, 50_021), strict=False):
         total = total + place.cast("bigint") * F.lit(by)
     return F.pmod(total, F.lit(1_000_003)) / F.lit(1_000_003.0)
 
@@ -575,6 +575,20 @@ def mlp_sgd_fit_2iter(spark, folder):
     return rounded(mlp_fit(spark, folder, 2).weights_table(spark), "w")
 
 
+@query
+def mlp_sgd_fraction_step(spark, folder):
+    """One step over about half of the stacks, drawn by a rule that SQL can repeat."""
+    data = training.prepare(samples(spark, folder), stack_size=STACK, order_by="vec_id", fraction=0.5)
+    try:
+        weights, _ = training.run_sgd(
+            data, start_weights(), training.network_gradient(LAYERS),
+            settings=training.SgdSettings(STEP, 1, fraction=0.5), draw=formula_uniform,
+        )
+    finally:
+        data.release()
+    return rounded(network.weights_table(spark, weights, LAYERS), "w")
+
+
 @query
 def mlp_sgd_row_fit_2iter(spark, folder):
     return rounded(mlp_fit(spark, folder, 2, "row").weights_table(spark), "w")

@@ -107,6 +107,11 @@ SHARES = {
 t as (select n, label, 1.0E0 / count(*) over (partition by s) share,
   1.0E0 * (select count(distinct s) from t0) total from t0)""",
 }
+#: About half of the stacks, by the rule of the first iteration.
+SHARES["drawn"] = f"""t1 as (select vec_id n, label, (row_number() over (order by vec_id) - 1) // {STACK} s from embeddings),
+t0 as (select * from t1 where ((s * 386117) + {43 * 104729}) % 1000003 / 1000003.0E0 < 0.5E0),
+t as (select n, label, 1.0E0 / count(*) over (partition by s) share,
+  1.0E0 * (select count(distinct s) from t0) total from t0)"""
 
 
 def network(name: str, weights: str) -> str:
@@ -241,10 +246,10 @@ from p, (select unnest(range((select r from g))) bi), (select unnest(range(2)) b
         "factor_init": f"""with {A}, {ranks(RANK)}
 select i, k as j, round({start_w()}, 6) v from (select distinct i from a) cross join ks""",
         "random_factor": f"""with {A}, {ranks(RANK)}
-select i, k as j, round({uniform('i * 7919 + k * 50021', 7)}, 6) v from (select distinct i from a) cross join ks""",
+select i, k as j, round({uniform('i * 386117 + k * 50021', 7)}, 6) v from (select distinct i from a) cross join ks""",
         "random_blocks": """with s as (select max(l_suppkey) + 1 r, max(l_linenumber) + 1 c from lineitem),
 i as (select unnest(range(r)) i from s), j as (select unnest(range(cast(c as bigint))) j from s)
-select i, j, round(""" + uniform("i * 7919 + j * 50021", 7) + """, 6) v from i cross join j""",
+select i, j, round(""" + uniform("i * 386117 + j * 50021", 7) + """, 6) v from i cross join j""",
         "nmf_update_h": f"""with {A}, {ranks(RANK)},
 w0 as (select i, k, {start_w()} v from (select distinct i from a) cross join ks),
 h0 as (select k, j, {start_h()} v from (select distinct j from a) cross join ks),
@@ -281,7 +286,7 @@ l as (select 1 as layer, d as n_in, cast(16 as bigint) as n_out, cast(0 as bigin
   union all select 2, 16, c, d * 16 + 16 from s),
 p as (select layer, n_in, n_out, first, unnest(range(n_in * n_out + n_out)) place from l)
 select first + place as pos, layer, place % n_out as out, case when place // n_out = n_in then -1 else place // n_out end as "in",
-  round((""" + uniform("(first + place) * 7919", 11) + """ * 4.8E0 - 2.4E0) / sqrt(n_in), 6) + 0.0E0 w from p""",
+  round((""" + uniform("(first + place) * 386117", 11) + """ * 4.8E0 - 2.4E0) / sqrt(n_in), 6) + 0.0E0 w from p""",
         "stack_rows": f"""{STACKS}
 select stack_id, n, 'input' as part, cast(place * 64 + f as integer) pos, round(v, 6) + 0.0E0 v from f
 union all select stack_id, n, 'target', cast(place * 10 + k as integer), case when k = label then 1.0E0 else 0.0E0 end
@@ -307,6 +312,7 @@ select stack_id, cast(place as integer) stack_pos, cast(label as double) label,
         ),
         "mlp_sgd_step": classifier(WEIGHTS, "stack", 1),
         "mlp_sgd_fit_2iter": classifier(WEIGHTS, "stack", 2),
+        "mlp_sgd_fraction_step": classifier(WEIGHTS, "drawn", 1),
         "mlp_sgd_row_fit_2iter": classifier(WEIGHTS, "row", 2),
         "mlp_relational_fit_2iter": classifier(WEIGHTS, "row", 2),
         "loss_history": classifier(

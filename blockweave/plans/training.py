@@ -145,9 +145,17 @@ def prepare(
 
 
 def sum_gradient(
-    data: TrainingData, gradient: Gradient, weights: np.ndarray, fraction: float = 1.0, seed: int = 0
+    data: TrainingData,
+    gradient: Gradient,
+    weights: np.ndarray,
+    fraction: float = 1.0,
+    seed: int = 0,
+    draw: Callable[..., Column] = hash_uniform,
 ) -> tuple[np.ndarray, float, float]:
-    """Gradient sum, loss sum and total weight over all samples, or over a sample of the stacks."""
+    """Gradient sum, loss sum and total weight over all samples, or over a sample of the stacks.
+
+    ``draw`` is a number in [0, 1) from the stack (or row) and the seed, by default a hash.
+    """
     spark = data.rows.sparkSession
     if weights.nbytes > BROADCAST_BYTES:
         raise ValueError("the weights exceed the broadcast limit; use fit_mlp_relational")
@@ -156,9 +164,9 @@ def sum_gradient(
         if packed:
             raise ValueError("prepare the samples with the same fraction")
         if "stack_id" in rows.columns:
-            rows = rows.where(hash_uniform(F.col("stack_id"), seed=seed) < fraction)
+            rows = rows.where(draw(F.col("stack_id"), seed=seed) < fraction)
         else:
-            rows = rows.where(hash_uniform(F.col("_draw"), seed=seed) < fraction)
+            rows = rows.where(draw(F.col("_draw"), seed=seed) < fraction)
     if not packed:
         rows = _as_arrays(rows.drop("stack_id", "_draw"))
     size = weights.size
@@ -245,6 +253,7 @@ def run_sgd(
     gradient: Gradient,
     updater: Updater = plain_step,
     settings: SgdSettings | None = None,
+    draw: Callable[..., Column] = hash_uniform,
 ) -> tuple[np.ndarray, list[Step]]:
     """Gradient descent with a fixed number of steps; the caller's weights are not changed."""
     settings = settings or SgdSettings()
@@ -256,7 +265,7 @@ def run_sgd(
         return weights, history
     penalty = updater(weights.copy(), np.zeros_like(weights), 0.0, 1, settings.reg)[1]
     for iteration in range(1, settings.iterations + 1):
-        total, loss, n = sum_gradient(data, gradient, weights, settings.fraction, 42 + iteration)
+        total, loss, n = sum_gradient(data, gradient, weights, settings.fraction, 42 + iteration, draw)
         if not n:
             continue
         history.append(Step(iteration, loss, n, loss / n + penalty))
