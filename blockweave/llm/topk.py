@@ -44,7 +44,11 @@ SCHEMA = "query_id bigint, vec_id bigint, score bigint"
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """``vec_id`` and ``v``, the components as floor(scale * x) in doubles; unusable vectors left out."""
-    x = F.transform(vec_col, lambda e: F.floor(F.lit(scale) * e.cast("double")).cast("double"))
+    def whole(e: Column) -> Column:
+        y = F.lit(float(scale)) * e.cast("double")
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # larger doubles are whole
+
+    x = F.transform(vec_col, whole)
     finite = F.forall(
         vec_col, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < F.lit(float("inf")))
     )
@@ -108,7 +112,7 @@ class _Best:
 
     def add(self, j: int, ids: np.ndarray, scores: np.ndarray) -> None:
         ids, scores = np.concatenate([self.ids[j], ids]), np.concatenate([self.scores[j], scores])
-        best = np.lexsort((ids, -scores.astype(object) if len(scores) and scores.min() == -(2**63) else -scores))[: self.k]
+        best = np.lexsort((ids, ~scores))[: self.k]  # by falling score, then id
         self.ids[j], self.scores[j] = ids[best], scores[best]
         if len(best) == self.k:
             self.floor[j] = self.scores[j][-1]

@@ -63,6 +63,8 @@ def test_large_components_are_exact(spark):
     rng = random.Random(9)
     rows = [(n, [single(rng.uniform(-1e6, 1e6)) for _ in range(3)]) for n in range(40)]
     assert found(spark, rows) == brute(rows, 5, 5)
+    huge = [(0, [1e30]), (1, [1e30]), (2, [-1e30]), (3, [1.0])]
+    assert found(spark, huge, k=3) == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 2**63 - 1), (0, 3, 2, -(2**63))]
 
 
 def test_reading_stops_before_the_end_where_scores_differ(monkeypatch):
