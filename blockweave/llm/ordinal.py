@@ -36,9 +36,12 @@ FEATURES = 1 << 18
 #: Most labelled rows used for a fit.
 TRAIN_ROWS = 20_000
 PENALTY, ITERATIONS, MEMORY = 0.5, 60, 8
+#: Features of a smaller share of the training rows (or of one row) get no weight; the fit's vectors have a
+#: number for each of the others.
+LEAST_SHARE = 0.001
 #: A text is kept when the probability of the top grade reaches this.
 KEEP = 0.5
-#: Tasks of a gradient sum; each returns FEATURES numbers.
+#: Tasks of a gradient sum; each returns one number a weight.
 GRADIENT_TASKS = 8
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 _STEPS = np.array([0.001, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 0.9])
@@ -153,6 +156,16 @@ class OrdinalModel:
         return _sigmoid(score[None, :] - self.limits[:, None])
 
 
+def compact(flat: np.ndarray, sizes: np.ndarray, kept: np.ndarray, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features as numbers of ``kept`` ones, the others left out."""
+    number = np.full(features, -1, np.int64)
+    number[kept] = np.arange(len(kept))
+    flat = number[flat]
+    ends = np.cumsum(sizes)
+    left = np.concatenate([[0], np.cumsum(flat >= 0)])
+    return flat[flat >= 0], left[ends] - left[ends - sizes]
+
+
 def training_rows(
     docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -190,7 +203,9 @@ def fit(
         return OrdinalModel(np.zeros(FEATURES), np.full(cuts, -30.0))
     below = np.cumsum([counts.get(g, 0) + 0.5 for g in range(cuts)]) / (total + GRADES * 0.5)
     limits = np.log(below / (1 - below))
-    start = np.concatenate([np.zeros(FEATURES), limits[:1], np.log(np.maximum(np.diff(limits), 1e-3))])
+    common = table.select(F.explode("idx").alias("f")).groupBy("f").count().where(F.col("count") >= max(2.0, LEAST_SHARE * total))
+    kept = np.sort(np.array([r["f"] for r in common.select("f").collect()], np.int64))  # FEATURES at most
+    start = np.concatenate([np.zeros(len(kept)), limits[:1], np.log(np.maximum(np.diff(limits), 1e-3))])
     context = docs.sparkSession.sparkContext
 
     def whole(params: np.ndarray) -> tuple[float, np.ndarray]:
@@ -200,9 +215,8 @@ def fit(
             loss, gradient = 0.0, np.zeros(size)
             for batch in batches:
                 lists = batch.column(0)
-                part = loss_and_gradient(
-                    shared.value, lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), batch.column(1).to_numpy()
-                )
+                some = compact(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), kept)
+                part = loss_and_gradient(shared.value, *some, batch.column(1).to_numpy())
                 loss, gradient = loss + part[0], gradient + part[1]
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([gradient.tobytes()])], names=["loss", "gradient"])
 
@@ -214,7 +228,9 @@ def fit(
         return sum(r["loss"] for r in parts) + 0.5 * penalty * float(weights @ weights), gradient
 
     found = minimise(start, whole, iterations)
-    return OrdinalModel(found[:-cuts].astype(np.float32), thresholds(found[-cuts:]))
+    weights = np.zeros(FEATURES, np.float32)
+    weights[kept] = found[:-cuts]
+    return OrdinalModel(weights, thresholds(found[-cuts:]))
 
 
 def grade(docs: DataFrame, model: OrdinalModel, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
