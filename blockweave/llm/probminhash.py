@@ -10,7 +10,7 @@ than every register of its document.
 2. Signatures are cut into bands. In every bucket each member is paired with the smallest one (a star), pairs
    are verified on the texts, and verified links form components.
 3. In buckets that still hold several components, members of different components are compared, block against
-   block, by their whole signatures; the pairs that come near are verified too. So no pair that shares a
+   block, by longer signatures of their own; the pairs that come near are verified too. So no pair that shares a
    bucket is passed over unless it is already in one class.
 
 A link is a pair whose probability Jaccard or plain Jaccard similarity is at least ``SIMILARITY``. A class is a
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +40,10 @@ from blockweave.llm.words import WordHashes, hashed, mix, shingles, text_words
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 8
 REGISTERS = BANDS * ROWS
-#: Agreeing registers (as a share) from which members of different components are verified: the similarity
-#: less six standard errors.
-NEAR = SIMILARITY - 6 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
+#: Registers of the longer signature by which members of different components are compared, and the share of
+#: agreeing ones from which a pair is verified: the similarity less six standard errors.
+LONG_REGISTERS = 1024
+NEAR = SIMILARITY - 6 * (SIMILARITY * (1 - SIMILARITY) / LONG_REGISTERS) ** 0.5
 #: Shingles that a task works on at once, and arrivals of a round at least.
 SHINGLES_AT_ONCE, ARRIVALS = 1_500_000, 60_000
 #: Members of a bucket in a block.
@@ -95,9 +97,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     (x, wx), (y, wy) = a, b
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    common, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if len(x) > len(y):
+        (x, wx), (y, wy) = (y, wy), (x, wx)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    shared = y[at] == x
+    common = x[shared]
     plain = len(common) / (len(x) + len(y) - len(common))
-    if not len(common) or plain >= SIMILARITY:
+    if not len(common) or plain >= SIMILARITY or wx.max() == wy.max() == 1:
         return plain
     every = np.union1d(x, y)
     u, v = np.zeros(len(every)), np.zeros(len(every))
@@ -130,37 +136,49 @@ def class_key(text: str | None) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(words) if words else "\0" + (text or ""))
 
 
+def _signed(texts: list[str | None], hashes: WordHashes, registers: int) -> list[bytes | None]:
+    """Sixteen bits of every register as bytes, None for a text without words."""
+    of, elements, weights = weighted(*shingles(*hashed(texts, hashes), WIDTH))
+    kept = (mix(signatures(of, elements, weights, len(texts), registers)) & np.uint64(0xFFFF)).astype("<u2")
+    some = np.zeros(len(texts), bool)
+    some[of] = True
+    return [kept[k].tobytes() if some[k] else None for k in range(len(texts))]
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for a, b in _runs([len(t or "") // 5 for t in texts], SHINGLES_AT_ONCE):
-            part = texts[a:b]
-            of, elements, weights = weighted(*shingles(*hashed(part, hashes), WIDTH))
-            signed = (mix(signatures(of, elements, weights, len(part))) & np.uint64(0xFFFF)).astype("<u2")
-            some = np.zeros(len(part), bool)
-            some[of] = True
-            rows = [signed[k].tobytes() if some[k] else None for k in range(len(part))]
-            keys = [class_key(t) for t in part]
-            columns = [batch.column(0)[a:b], pa.array(keys, pa.binary()), pa.array(rows, pa.binary())]
+            keys = pa.array([class_key(t) for t in texts[a:b]], pa.binary())
+            columns = [batch.column(0)[a:b], keys, pa.array(_signed(texts[a:b], hashes, REGISTERS), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "cls", "signature"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, text_a, text_b), pairs of one a in a row: those that are similar."""
-    hashes, last = WordHashes(), (None, None)
+def _sign_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for a, b in _runs([len(t or "") // 5 + LONG_REGISTERS for t in texts], SHINGLES_AT_ONCE):
+            long = pa.array(_signed(texts[a:b], hashes, LONG_REGISTERS), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], long], names=["rep", "signature"])
 
-    def shingled(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        _, elements, weights = weighted(*shingles(*hashed([text], hashes), WIDTH))
-        return elements, weights
 
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, text_a, text_b): those that are similar. Each different text of a run is shingled once."""
+    hashes = WordHashes()
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
-        for n, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            a = a.as_py()
-            if last[0] != a:
-                last = a, shingled(a)
-            keep[n] = similarity(last[1], shingled(b.as_py())) >= SIMILARITY
+        sizes = pc.add(*(pc.fill_null(pc.binary_length(batch.column(c)), 0) for c in (2, 3))).to_numpy() // 5
+        for low, high in _runs(sizes.tolist(), SHINGLES_AT_ONCE):
+            both = pa.concat_arrays([pc.fill_null(batch.column(c)[low:high], "") for c in (2, 3)]).dictionary_encode()
+            texts = both.dictionary.to_pylist()
+            of, elements, weights = weighted(*shingles(*hashed(texts, hashes), WIDTH))
+            ends = np.searchsorted(of, np.arange(len(texts) + 1))
+            sets = [(elements[p:q], weights[p:q]) for p, q in zip(ends[:-1], ends[1:], strict=True)]
+            codes = both.indices.to_numpy().reshape(2, -1)
+            for n, (x, y) in enumerate(codes.T, low):
+                keep[n] = similarity(sets[x], sets[y]) >= SIMILARITY
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
@@ -199,8 +217,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Near pairs of different components in two blocks of a bucket."""
+    """Near pairs of different components in two blocks of a bucket; a pair counts in its first common band only."""
     signed = np.frombuffer(b"".join(rows["signature"]), "<u2").reshape(len(rows), -1)
+    bands = np.frombuffer(b"".join(rows["bands"]), "<u2").reshape(len(rows), BANDS, ROWS)
+    band = rows["band"].iat[0]
     ids, component, block = (rows[c].to_numpy() for c in ("rep", "component", "block"))
     first, second = rows["i"].iat[0], rows["j"].iat[0]
     left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
@@ -208,6 +228,7 @@ def _across(rows: pd.DataFrame) -> pd.DataFrame:
     for k in left:
         others = right[(component[right] != component[k]) & ((ids[right] > ids[k]) if first == second else True)]
         near = others[(signed[others] == signed[k]).mean(axis=1) >= NEAR]
+        near = near[(bands[near, :band] == bands[k, :band]).all(axis=2).sum(axis=1) == 0]
         a += [min(ids[k], x) for x in ids[near]]
         b += [max(ids[k], x) for x in ids[near]]
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
@@ -226,9 +247,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     width = 2 * ROWS
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda n: F.substring("signature", n * width + 1, width)))
     banded = reps.where(F.col("signature").isNotNull()).select("rep", band.alias("band", "part"))
-    banded = banded.select("rep", F.xxhash64("band", "part").alias("bucket"))
+    banded = banded.select("rep", "band", F.xxhash64("band", "part").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n"))
-    members = written(banded.join(buckets.where("most > least"), "bucket").select("bucket", "rep", "least", "n"), "near-buckets")
+    members = written(banded.join(buckets.where("most > least"), "bucket").select("bucket", "band", "rep", "least", "n"), "near-buckets")
 
     stars = written(members.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), "near-stars")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
@@ -238,11 +259,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Buckets of three and more that hold several components.
     labelled = members.where("n > 2").join(found, F.col("rep") == F.col("id"), "left").select(
-        "bucket", "rep", "n", F.coalesce("component", "rep").alias("component")
+        "bucket", "band", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    across = labelled.join(mixed, "bucket").select("bucket", "rep", "component", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    across = across.join(reps.select("rep", "signature"), "rep").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    across = labelled.join(mixed, "bucket").select("bucket", "band", "rep", "component", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    signs = texts.join(across.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    signs = signs.select("doc_id", "text").mapInArrow(_sign_long, "rep bigint, signature binary").where("signature is not null")
+    across = across.join(reps.select("rep", F.col("signature").alias("bands")), "rep").join(signs, "rep").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     across = across.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     near = across.groupBy("bucket", "i", "j").applyInPandas(_across, "a bigint, b bigint").distinct()
@@ -261,5 +284,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     classes = near_duplicates(docs, id_col, text_col)
     keepers = classes.where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
     named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(keepers, F.col(id_col).cast("bigint") == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
+    kept = named.join(keepers, named[id_col].cast("bigint") == keepers["kept_id"], "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
