@@ -4,13 +4,14 @@ A document is a set of five-word shingles weighted by how often they occur. Each
 with its weight as rate; an arrival hits a random register, and a register keeps the shingle that arrived first.
 Two documents agree in a register with probability equal to their probability Jaccard similarity. Arrivals are
 generated in order for all shingles of a batch at once, and a shingle stops as soon as its next arrival is later
-than every register of its document.
+than every register of its document. With all weights set to one the same code gives registers that agree with
+probability equal to plain Jaccard. A document has both signatures; where no shingle is repeated they are the same.
 
-1. Documents with the same words are one exact class; its smallest id stands for it, with one signature.
-2. Signatures are cut into bands. In every bucket each member is paired with the smallest one (a star), pairs
+1. Documents with the same words are one exact class; its smallest id stands for it.
+2. Both signatures are cut into bands, and a band's bucket is named by number and registers, of whichever signature. In every bucket each member is paired with the smallest one (a star), pairs
    are verified on the texts, and verified links form components.
 3. In buckets that still hold several components, members of different components are compared, block against
-   block, by longer signatures of their own; the pairs that come near are verified too. So no pair that shares a
+   block, by longer signatures of both kinds; the pairs that come near in either are verified too. So no pair that shares a
    bucket is passed over unless it is already in one class.
 
 A link is a pair whose probability Jaccard or plain Jaccard similarity is at least ``SIMILARITY``. A class is a
@@ -136,13 +137,22 @@ def class_key(text: str | None) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(words) if words else "\0" + (text or ""))
 
 
-def _signed(texts: list[str | None], hashes: WordHashes, registers: int) -> list[bytes | None]:
-    """Sixteen bits of every register as bytes, None for a text without words."""
+def _signed(texts: list[str | None], hashes: WordHashes, registers: int) -> list[pa.Array]:
+    """The weighted and the plain signature, sixteen bits of every register as bytes.
+
+    Both are null for a text without words; the plain one also where no shingle is repeated, as it is the same.
+    """
     of, elements, weights = weighted(*shingles(*hashed(texts, hashes), WIDTH))
-    kept = (mix(signatures(of, elements, weights, len(texts), registers)) & np.uint64(0xFFFF)).astype("<u2")
-    some = np.zeros(len(texts), bool)
+    some, repeated = np.zeros(len(texts), bool), np.zeros(len(texts), bool)
     some[of] = True
-    return [kept[k].tobytes() if some[k] else None for k in range(len(texts))]
+    repeated[of[weights > 1]] = True
+    again = repeated[of]
+    kinds = [(some, of, elements, weights), (repeated, of[again], elements[again], np.ones(int(again.sum())))]
+    columns = []
+    for has, *parts in kinds:
+        kept = (mix(signatures(*parts, len(texts), registers)) & np.uint64(0xFFFF)).astype("<u2")
+        columns.append(pa.array([kept[k].tobytes() if has[k] else None for k in range(len(texts))], pa.binary()))
+    return columns
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +161,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1).to_pylist()
         for a, b in _runs([len(t or "") // 5 for t in texts], SHINGLES_AT_ONCE):
             keys = pa.array([class_key(t) for t in texts[a:b]], pa.binary())
-            columns = [batch.column(0)[a:b], keys, pa.array(_signed(texts[a:b], hashes, REGISTERS), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "cls", "signature"])
+            columns = [batch.column(0)[a:b], keys, *_signed(texts[a:b], hashes, REGISTERS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "cls", "signature", "plain"])
 
 
 def _sign_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +170,8 @@ def _sign_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for a, b in _runs([len(t or "") // 5 + LONG_REGISTERS for t in texts], SHINGLES_AT_ONCE):
-            long = pa.array(_signed(texts[a:b], hashes, LONG_REGISTERS), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], long], names=["rep", "signature"])
+            columns = [batch.column(0)[a:b], *_signed(texts[a:b], hashes, LONG_REGISTERS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "signature", "plain"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,10 +226,16 @@ def components(links: DataFrame) -> DataFrame:
     return linked.unionByName(linked.select(F.col("component").alias("id"), "component").distinct())
 
 
+def _both(rows: pd.DataFrame, weighted: str, plain: str, *shape: int) -> list[np.ndarray]:
+    """Signatures of the two kinds as arrays; a missing plain one is the same as the weighted one."""
+    kinds = (rows[weighted], rows[plain].where(rows[plain].notna(), rows[weighted]))
+    return [np.frombuffer(b"".join(kind), "<u2").reshape(len(rows), *shape) for kind in kinds]
+
+
 def _across(rows: pd.DataFrame) -> pd.DataFrame:
     """Near pairs of different components in two blocks of a bucket; a pair counts in its first common band only."""
-    signed = np.frombuffer(b"".join(rows["signature"]), "<u2").reshape(len(rows), -1)
-    bands = np.frombuffer(b"".join(rows["bands"]), "<u2").reshape(len(rows), BANDS, ROWS)
+    signed = _both(rows, "signature", "plain", -1)
+    bands = _both(rows, "bands", "plain_bands", BANDS, ROWS)
     band = rows["band"].iat[0]
     ids, component, block = (rows[c].to_numpy() for c in ("rep", "component", "block"))
     first, second = rows["i"].iat[0], rows["j"].iat[0]
@@ -227,8 +243,10 @@ def _across(rows: pd.DataFrame) -> pd.DataFrame:
     a, b = [], []
     for k in left:
         others = right[(component[right] != component[k]) & ((ids[right] > ids[k]) if first == second else True)]
-        near = others[(signed[others] == signed[k]).mean(axis=1) >= NEAR]
-        near = near[(bands[near, :band] == bands[k, :band]).all(axis=2).sum(axis=1) == 0]
+        near = others[np.any([(kind[others] == kind[k]).mean(axis=1) >= NEAR for kind in signed], axis=0)]
+        for x in bands:
+            for y in bands:  # a bucket takes both kinds
+                near = near[(x[near, :band] == y[k, :band]).all(axis=2).sum(axis=1) == 0]
         a += [min(ids[k], x) for x in ids[near]]
         b += [max(ids[k], x) for x in ids[near]]
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
@@ -240,13 +258,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``class_id`` is the smallest id of the near-duplicate class, ``exact_id`` that of the documents with the same words.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(rows.mapInArrow(_sign, "doc_id bigint, cls binary, signature binary"), "near-signatures")
-    reps = signed.groupBy("cls").agg(F.min(F.struct("doc_id", "signature")).alias("r"))
-    reps = written(reps.select("cls", F.col("r.doc_id").alias("rep"), F.col("r.signature").alias("signature")), "near-reps")
+    signed = written(rows.mapInArrow(_sign, "doc_id bigint, cls binary, signature binary, plain binary"), "near-signatures")
+    reps = signed.groupBy("cls").agg(F.min(F.struct("doc_id", "signature", "plain")).alias("r"))
+    reps = written(reps.select("cls", F.col("r.doc_id").alias("rep"), "r.signature", "r.plain"), "near-reps")
 
     width = 2 * ROWS
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda n: F.substring("signature", n * width + 1, width)))
-    banded = reps.where(F.col("signature").isNotNull()).select("rep", band.alias("band", "part"))
+    cut = lambda n: F.array_compact(F.array_distinct(F.array(*(F.substring(c, n * width + 1, width) for c in ("signature", "plain")))))
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), cut))
+    banded = reps.where(F.col("signature").isNotNull()).select("rep", band.alias("band", "parts"))
+    banded = banded.select("rep", "band", F.explode("parts").alias("part"))
     banded = banded.select("rep", "band", F.xxhash64("band", "part").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n"))
     members = written(banded.join(buckets.where("most > least"), "bucket").select("bucket", "band", "rep", "least", "n"), "near-buckets")
@@ -264,8 +284,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     across = labelled.join(mixed, "bucket").select("bucket", "band", "rep", "component", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
     signs = texts.join(across.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    signs = signs.select("doc_id", "text").mapInArrow(_sign_long, "rep bigint, signature binary").where("signature is not null")
-    across = across.join(reps.select("rep", F.col("signature").alias("bands")), "rep").join(signs, "rep").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    signs = signs.select("doc_id", "text").mapInArrow(_sign_long, "rep bigint, signature binary, plain binary").where("signature is not null")
+    across = across.join(reps.select("rep", F.col("signature").alias("bands"), F.col("plain").alias("plain_bands")), "rep").join(signs, "rep").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     across = across.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     near = across.groupBy("bucket", "i", "j").applyInPandas(_across, "a bigint, b bigint").distinct()

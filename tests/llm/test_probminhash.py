@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,38 @@ def test_table_equals_brute_force(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     got = {r["doc_id"]: r["class_id"] for r in pm.near_duplicates(docs).collect()}
     assert got == brute_classes(rows)
+
+
+def with_passages(rng, repeats):
+    """Texts with the same shingles, one passage of which is repeated differently often: plain 1, weighted less."""
+    words = rng.sample(WORDS, 214)
+    return [" ".join(words[:204] + words[204:] * n) for n in repeats]
+
+
+def test_plain_jaccard_links_are_found_whatever_the_weights(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(8):
+        texts = with_passages(rng, (10, 100, 1000))
+        texts.append(edited(rng, with_passages(rng, (2,))[0], 1))
+        rows += [(len(rows) + k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in pm.near_duplicates(docs).collect()}
+    assert got == {n: n if n % 4 == 3 else n - n % 4 for n in got} and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("kinds", [(10, 100), (2, 60)])
+def test_block_comparison_passes_pairs_that_are_near_in_either_signature(kinds):
+    texts = with_passages(random.Random(9), kinds)
+    hashes = pm.WordHashes()
+    long, short = pm._signed(texts, hashes, pm.LONG_REGISTERS), pm._signed(texts, hashes, pm.REGISTERS)
+    z = np.frombuffer(b"".join(long[0].to_pylist()), "<u2").reshape(2, -1)
+    assert (z[0] == z[1]).mean() < pm.NEAR
+    rows = pd.DataFrame({
+        "bucket": 1, "band": 0, "rep": [4, 3], "component": [4, 3], "block": 0, "i": 0, "j": 0,
+        "signature": long[0].to_pylist(), "plain": long[1].to_pylist(),
+        "bands": short[0].to_pylist(), "plain_bands": short[1].to_pylist(),
+    })
+    assert pm._across(rows).values.tolist() == [[3, 4]]
+    # met in band 0 by their plain signatures
+    assert pm._across(rows.assign(band=1)).empty
