@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Pfair scheduling of blocks.
 
 A source's documents are put in a seeded order and cut into blocks of ``block_bytes``. Weights become whole
-numbers n of a frame of D slots. Block j (from 0) of a source is released at floor(j D / n) and due at
-ceil((j + 1) D / n); each slot goes to the released block that is due first. On one line of slots with all
-weights adding up to one this meets every deadline, so after any number of slots a source is less than one
-block off its share. The windows repeat every D slots, so one frame's schedule serves all frames of a phase:
-the slot of a block follows from a table of D rows by its number, without a loop over blocks.
+numbers n adding up to D = ``GRAIN``, so fine that their rounding is far below a block. Block j (from 0) of a
+source is released at floor(j D / n) and due at ceil((j + 1) D / n); each slot goes to the released block that is
+due first. On one line of slots with all weights adding up to one this meets every deadline, so after any number
+of slots of a phase a source is less than one block off its share, however many slots there are. What follows
+depends only on how many blocks of each source are placed, so the slots are cut into frames: the driver walks
+over them once (blocks, not rows) and keeps these numbers at each frame's start; tasks lay the frames out.
 
 When a source runs out, the phase ends with its frame and the other weights are scaled up (a phase for each
 source at most). No row is dropped or repeated; slots of blocks that a source no longer has stay empty.
@@ -33,6 +34,8 @@ from blockweave.llm.common import partitions_for, written
 BLOCK_BYTES, SEED = 256 * 1024, 7
 #: Slots of a frame, or four for each source if that is more.
 FRAME = 1024
+#: Sum of the whole weights: after 2^40 blocks a source is 1/256 block off by their rounding.
+GRAIN = 2**48
 BUCKET_ROWS = 1024
 #: Exponent of a source's bytes in its weight where none is given.
 TEMPER = 0.5
@@ -58,50 +61,66 @@ def whole_weights(weights: list[float], frame: int) -> list[int]:
     return counts
 
 
-def frame_schedule(counts: list[int], frame: int) -> list[tuple[int, int]]:
-    """(source, block in the frame) of every slot: earliest deadline first among released blocks."""
-    releases = [(0, s, 0) for s in range(len(counts))]
+def frame_schedule(counts: list[int], frame: int, done: list[int] | None = None, at: int = 0) -> list[tuple[int, int]]:
+    """(source, block) of the slots from ``at`` on: earliest deadline first among released blocks.
+
+    ``counts`` are whole weights, ``done`` the blocks of each source in the slots before.
+    """
+    total = sum(counts)
+    releases = [(j * total // counts[s], s, j) for s, j in enumerate(done or [0] * len(counts))]
     heapq.heapify(releases)
     ready: list[tuple[int, int, int]] = []
     slots = []
-    for t in range(frame):
+    for t in range(at, at + frame):
         while releases and releases[0][0] <= t:
             _, s, j = heapq.heappop(releases)
-            heapq.heappush(ready, (-(-(j + 1) * frame // counts[s]), s, j))
+            heapq.heappush(ready, (-(-(j + 1) * total // counts[s]), s, j))
         due, s, j = heapq.heappop(ready)
         if due <= t:
             raise AssertionError("a deadline was missed")
         slots.append((s, j))
-        if j + 1 < counts[s]:
-            heapq.heappush(releases, ((j + 1) * frame // counts[s], s, j + 1))
+        heapq.heappush(releases, ((j + 1) * total // counts[s], s, j + 1))
     return slots
 
 
 def phases(blocks: list[int], weights: list[float], frame: int) -> list[dict]:
-    """Each phase: its sources, their slots in a frame, first blocks, first slot and number of frames."""
+    """Each frame: its sources, their slots in it and first blocks; its first slot; the whole weights of its phase,
+    the blocks of the phase before the frame, and the phase's first slot."""
     left, first, start, out = list(blocks), [0] * len(blocks), 0, []
     while any(left):
         active = [s for s, n in enumerate(left) if n]
-        counts = whole_weights([weights[s] for s in active], frame)
-        frames = min(-(-left[s] // n) for s, n in zip(active, counts, strict=True))
-        out.append({"sources": active, "counts": counts, "first": [first[s] for s in active], "start": start, "frames": frames})
-        for s, n in zip(active, counts, strict=True):
-            take = min(left[s], n * frames)
-            left[s], first[s] = left[s] - take, first[s] + take
-        start += frames * frame
+        whole = whole_weights([weights[s] for s in active], GRAIN)
+        done, origin = [0] * len(active), start
+        while all(left[s] for s in active):
+            counts = [0] * len(active)
+            for k, _ in frame_schedule(whole, frame, done, start - origin):
+                counts[k] += 1
+            out.append({
+                "sources": active, "counts": counts, "first": [first[s] for s in active], "start": start, "frames": 1,
+                "weights": whole, "done": list(done), "origin": origin,
+            })
+            for k, s in enumerate(active):
+                take = min(left[s], counts[k])
+                left[s], first[s], done[k] = left[s] - take, first[s] + take, done[k] + counts[k]
+            start += frame
     return out
 
 
-def _patterns(frame: int):
+WINDOWS = "source_no int, block_no bigint, release bigint, deadline bigint, slot bigint"
+
+
+def _laid_out(frame: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for phase, sources, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                slots = frame_schedule(counts, frame)
-                columns = [[phase] * frame, [sources[s] for s, _ in slots], [j for _, j in slots], list(range(frame))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[2:]]],
-                    names=["phase", "source_no", "in_frame", "offset"],
-                )
+            for sources, weights, first, done, start, origin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total = sum(weights)
+                rows = [
+                    (sources[k], first[k] + j - done[k], origin + j * total // weights[k], origin - (-(j + 1) * total // weights[k]), slot)
+                    for slot, (k, j) in enumerate(frame_schedule(weights, frame, done, start - origin), start)
+                ]
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                names = ["source_no", "block_no", "release", "deadline", "slot"]
+                yield pa.RecordBatch.from_arrays([columns[0].cast(pa.int32()), *columns[1:]], names=names)
 
     return run
 
@@ -154,33 +173,12 @@ def schedule(
     frame = max(frame, 4 * len(names))
     plan = phases([r["blocks"] for r in totals], shares, frame)
 
-    runs: dict[int, list] = {n: [] for n in range(len(names))}
-    for number, phase in enumerate(plan):
-        for s, n, first in zip(phase["sources"], phase["counts"], phase["first"], strict=True):
-            runs[s].append((first, number, n, phase["start"]))
-    source_rows = spark.createDataFrame(
-        [(names[s], s, r) for s, r in runs.items()],
-        "run_source string, source_no int, runs array<struct<first:bigint,phase:int,n:bigint,start:bigint>>",
+    source_rows = spark.createDataFrame([(n, s) for s, n in enumerate(names)], "block_source string, source_no int")
+    starts = spark.createDataFrame(
+        [(p["sources"], p["weights"], p["first"], p["done"], p["start"], p["origin"]) for p in plan],
+        "sources array<int>, weights array<bigint>, first array<bigint>, done array<bigint>, start bigint, origin bigint",
     )
-    patterns = spark.createDataFrame(
-        [(number, p["sources"], p["counts"]) for number, p in enumerate(plan)], "phase int, sources array<int>, counts array<int>"
-    ).mapInArrow(_patterns(frame), "phase int, source_no int, in_frame bigint, offset bigint")
-
-    blocks = placed.select("source", "block").distinct()
-    run = F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("block")), -1)
-    dealt = blocks.join(source_rows, F.col("source").eqNullSafe(F.col("run_source"))).withColumn("run", run)
-    dealt = dealt.select(
-        F.col("source").alias("block_source"), F.col("block").alias("block_no"), "source_no", F.col("run.phase").alias("phase"),
-        F.col("run.n").alias("n"), F.col("run.start").alias("start"), (F.col("block") - F.col("run.first")).alias("nth"),
-    )
-    dealt = dealt.withColumn("in_frame", F.col("nth") % F.col("n")).join(patterns, ["phase", "source_no", "in_frame"])
-    frame_start = F.col("start") + F.expr("nth div n") * F.lit(frame)
-    windows = dealt.select(
-        "block_source", "block_no",
-        (F.col("start") + F.expr(f"nth * {frame} div n")).alias("release"),
-        (F.col("start") + F.expr(f"((nth + 1) * {frame} + n - 1) div n")).alias("deadline"),
-        (frame_start + F.col("offset")).alias("slot"),
-    )
+    windows = starts.mapInArrow(_laid_out(frame), WINDOWS).join(F.broadcast(source_rows), "source_no").drop("source_no")
     same = F.col("source").eqNullSafe(F.col("block_source")) & (F.col("block") == F.col("block_no"))
     return placed.join(windows, same).select(
         "row_hash", "doc_id", "source", "size", "block", "release", "deadline", "slot", F.col("at").alias("place"), "key"

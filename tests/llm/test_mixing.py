@@ -83,3 +83,28 @@ def test_empty_table_and_missing_weight(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.schedule(docs, {"a": 1.0})
+
+
+@pytest.mark.parametrize("weights", [[0.9999, 0.0001], [(n + 1) ** 0.5 for n in range(20)], [0.7, 0.2137, 0.0863]])
+def test_many_frames_stay_less_than_one_block_off_the_given_weights(weights):
+    frame, frames = 128, 120
+    plan = mixing.phases([frame * frames] * len(weights), weights, frame)[:frames]
+    done, total = [0] * len(weights), sum(map(Fraction, weights))
+    for n, p in enumerate(plan):
+        assert p["start"] == n * frame and p["first"] == done and len(p["sources"]) == len(weights)
+        for t, (s, j) in enumerate(mixing.frame_schedule(p["weights"], frame, p["done"], p["start"] - p["origin"]), p["start"] + 1):
+            assert j == done[s]
+            done[s] += 1
+            assert all(abs(Fraction(w) / total * t - d) < 1 for w, d in zip(weights, done, strict=True))
+
+
+def test_documents_follow_weights_that_do_not_divide_a_frame(spark):
+    docs = documents(spark, [("a", 600, 100), ("b", 120, 100), ("c", 60, 100)])
+    weights = {"a": 0.83, "b": 0.1237, "c": 0.0463}
+    rows = mixing.schedule(docs, weights, block_bytes=100, frame=16).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(780)) and len({r["slot"] for r in rows}) == 780
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    done = dict.fromkeys(weights, 0)
+    for t, r in enumerate(sorted(rows, key=lambda r: r["slot"])[:700], 1):
+        done[r["source"]] += 1
+        assert all(abs(w * t - done[k]) < 1 + 1e-9 for k, w in weights.items())
