@@ -2,7 +2,8 @@
 
 Markup is stripped into lines, one per block element, in page order. Menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments (by element, role or class name) leave a run
-of empty lines. Over windows of ``WINDOW`` lines the text lengths are summed, link text not counted. A surge
+of empty lines; they end with their own end tag, that of an enclosing element, or where HTML lets it be left out
+(paragraphs, list items, table cells and rows, terms, options). Over windows of ``WINDOW`` lines the text lengths are summed, link text not counted. A surge
 is the first window that reaches the threshold, a dive the first empty one after it; the lines between are
 kept, for every surge of the page. Where a page marks its article (or main part), lines outside count as
 empty, all text in it counts in full, and any text makes a surge.
@@ -15,6 +16,7 @@ space inside a block becomes one space, blocks are joined by one line feed, char
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -47,6 +49,25 @@ MARKS = set(
     "comments respond disqus replies share sharing social related recommended pagination pager toolbar widget search "
     "copyright legal disclaimer".split()
 )
+#: Elements that a start tag ends though their end tag is left out, and the elements beyond which it does not reach.
+_HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_ROWS = {"td", "th", "tr"}
+_TABLE = {"table", "template"}
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"} | _TABLE),
+    **dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, {"dl"} | _TABLE)),
+    "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
+    "button": ({"button"}, _TABLE),
+    **dict.fromkeys(("td", "th"), ({"td", "th", "caption"}, _TABLE)),
+    "tr": (_ROWS | {"caption"}, _TABLE),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (_ROWS | {"tbody", "thead", "tfoot", "caption"}, _TABLE)),
+    **dict.fromkeys(_HEADS, (_HEADS, BLOCKS - _HEADS)),
+}
+#: Starts that do not end an open paragraph, and what hides a paragraph from the others.
+IN_P = {"html", "head", "body", "legend", "caption", "tbody", "thead", "tfoot", "tr"}
+P_SCOPE = {"table", "caption", "td", "th", "button", "object", "template"}
+CELLS = {"table", "caption", "td", "th", "template"}
 STATE_WORDS = {"has", "with", "no", "without", "is", "js"}
 COMMENT_WORDS = {"comment", "comments", "respond", "disqus", "replies"}
 _WORDS = re.compile(r"[a-z0-9]+")
@@ -71,8 +92,39 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, int]] = []
         self.words: list[str] = []
         self.linked = self.article = self.main = self.links = 0
+        self.stack: list[str] = []
+        self.open: Counter[str] = Counter()
+        # the dropped element and its place in the stack of open elements
         self.dropped, self.depth = "", 0
 
+    def _close(self, place: int) -> None:
+        """Leave the open elements from this place on."""
+        if self.dropped and place <= self.depth:
+            if self.dropped not in BLOCKS:
+                self.words.append(" ")
+            self.dropped = ""
+        self.open.subtract(self.stack[place:])
+        del self.stack[place:]
+
+    def _imply(self, tag: str) -> None:
+        """Leave the elements that this start tag ends."""
+        pairs = [IMPLIED[tag]] if tag in IMPLIED else []
+        if tag in BLOCKS - IN_P:
+            pairs += [({"p"}, P_SCOPE), ({"select"}, _TABLE)]
+        for ended, scope in pairs:
+            if not any(self.open[t] for t in ended):
+                continue
+            found = None
+            for place in range(len(self.stack) - 1, -1, -1):
+                if self.stack[place] in ended:
+                    found = place
+                elif self.stack[place] in scope:
+                    break
+                if found is not None and tag not in ("tr", "tbody", "thead", "tfoot", "optgroup"):
+                    break
+            if found is not None:
+                self._close(found)
+
     def end_line(self) -> None:
         text = " ".join("".join(self.words).split())
         if text:
@@ -83,11 +135,14 @@ class _Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         named = dict(attrs)
         opens = tag in ("article", "main") and not _marked(named, COMMENT_WORDS)
+        self._imply(tag)
+        if tag not in VOID:
+            self.stack.append(tag)
+            self.open[tag] += 1
         if self.dropped:
             if tag == "main" or opens and self.dropped in WRAPPERS:
-                self.dropped, self.depth = "", 0
+                self.dropped = ""
             else:
-                self.depth += tag == self.dropped
                 return
         if tag in BLOCKS:
             self.end_line()
@@ -97,7 +152,7 @@ class _Lines(HTMLParser):
             self.article += tag == "article"
             self.main += tag == "main"
         elif tag not in VOID and self._goes(tag, named):
-            self.dropped, self.depth = tag, 1
+            self.dropped, self.depth = tag, len(self.stack) - 1
             if not (self.article or self.main):
                 self.lines += [("", 0, 0)] * WINDOW
             return
@@ -116,13 +171,17 @@ class _Lines(HTMLParser):
         self.handle_starttag(tag, attrs)  # HTML ignores the slash
 
     def handle_endtag(self, tag: str) -> None:
-        if self.dropped:
-            if tag == self.dropped:
-                self.depth -= 1
-                if not self.depth:
-                    self.dropped = ""
-                    if tag not in BLOCKS:
-                        self.words.append(" ")
+        hidden = self.dropped
+        scope = set() if tag in ("html", "body") else {"table"} if tag in CELLS | _ROWS | {"tbody", "thead", "tfoot"} else CELLS
+        if tag not in BLOCKS | DROPPED | _ROWS:
+            scope = scope | BLOCKS  # the end of an inline element does not end a block
+        for place in range(len(self.stack) - 1, -1, -1) if self.open[tag] else ():
+            if self.stack[place] == tag:
+                self._close(place)
+                break
+            if self.stack[place] in scope:
+                break
+        if hidden and (self.dropped or tag == hidden):
             return
         if tag in BLOCKS:
             self.end_line()

@@ -76,3 +76,27 @@ def test_whole_table_is_the_text_of_the_article_elements(spark):
         article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         blocks = [" ".join(references.unescape(re.sub(r"</?(?:b|br)>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<p class=notice>x<p>{P}</p>",
+        f"<p class=notice>x<div>{P}</div>",
+        f"<ul><li class=menu-item>A<li class=menu-item>B</ul><p>{P}</p>",
+        f"<ul><li class=menu-item>A<ul><li>In</ul><li class=menu-item>B</ul><article><p>{P}</article>",
+        f"<table><tr><td class=ad>A<td class=ad>B<tr class=ad><td>C</table><p>{P}",
+        f"<table><tr><th class=menu>A<tr><td>{P}</table>",
+        f"<dl><dt class=nav>A<dd class=nav>B</dl><p>{P}",
+        f"<select><option>A<option>B</select><p>{P}",
+        f"<div><aside>Side</div><p>{P}</p>",
+        f"<div><select><option>A</div><p>{P}</p>",
+        f"<div><button>A</div><p>{P}</p>",
+    ],
+)
+def test_optional_end_tags_end_what_is_dropped(page):
+    assert html_text.main_text(page) == P
+
+
+def test_end_tags_inside_do_not_end_what_is_dropped():
+    assert html_text.main_text(f"<div class=ad><p>A<div>B</div></p></b></i><ul><li>C</ul></div><p>{P}</p>") == P
