@@ -5,8 +5,10 @@ notices, adverts, forms, scripts, styles and reader comments (by element, role o
 of empty lines; they end with their own end tag, that of an enclosing element, or where HTML lets it be left out
 (paragraphs, list items, table cells and rows, terms, options). Over windows of ``WINDOW`` lines the text lengths are summed, link text not counted. A surge
 is the first window that reaches the threshold, a dive the first empty one after it; the lines between are
-kept, for every surge of the page. Where a page marks its article (or main part), lines outside count as
-empty, all text in it counts in full, and any text makes a surge.
+kept, for every surge of the page. Where a page marks its article or main part, the one with more text weighs in:
+its lines count ``MARKED`` times and with their links, and empty lines part it from what lies outside, which is kept
+where it makes a surge of its own. An article inside an element dropped for its class, id or role counts only if
+the page has no other text.
 
 Defined results: a null html gives an empty text; so does a page without text. A null id or url is kept as
 null; repeated rows give repeated results. Whole pages are read; only the named columns are used. White
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: Lines summed in a window, and the text length (code points) of a surge where no article is marked.
 WINDOW, SURGE = 3, 80
+#: Weight of a line in the marked article or main part: any text there makes a surge.
+MARKED = SURGE
 
 # Element names.
 BLOCKS = set(
@@ -85,13 +89,17 @@ def _marked(attrs: dict[str, str | None], among: set[str]) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines (text, length of text outside links, zone): zone 2 article, 1 main, 0 other."""
+    """Cuts a page into lines (text, length of text outside links, zone): zone 2 article, 1 main, 0 other.
 
-    def __init__(self) -> None:
+    With ``recover`` an article ends the drop of a marked element around it; ``passed`` tells that there is one.
+    """
+
+    def __init__(self, recover: bool = False) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
         self.words: list[str] = []
         self.linked = self.article = self.main = self.links = 0
+        self.recover, self.passed, self.by_mark = recover, False, False
         self.stack: list[str] = []
         self.open: Counter[str] = Counter()
         # the dropped element and its place in the stack of open elements
@@ -129,7 +137,7 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.words).split())
         if text:
             zone = 2 if self.article else 1 if self.main else 0
-            self.lines.append((text, len(text) if zone else max(0, len(text) - self.linked), zone))
+            self.lines.append((text, max(0, len(text) - self.linked), zone))
         self.words, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -140,7 +148,9 @@ class _Lines(HTMLParser):
             self.stack.append(tag)
             self.open[tag] += 1
         if self.dropped:
-            if tag == "main" or opens and self.dropped in WRAPPERS:
+            wrapped = opens and self.dropped in WRAPPERS
+            self.passed |= wrapped
+            if tag == "main" or wrapped and (self.recover or not self.by_mark):
                 self.dropped = ""
             else:
                 return
@@ -153,6 +163,7 @@ class _Lines(HTMLParser):
             self.main += tag == "main"
         elif tag not in VOID and self._goes(tag, named):
             self.dropped, self.depth = tag, len(self.stack) - 1
+            self.by_mark = _marked(named, MARKS)
             if not (self.article or self.main):
                 self.lines += [("", 0, 0)] * WINDOW
             return
@@ -224,21 +235,35 @@ def between_surges_and_dives(lengths: list[int], threshold: int, window: int = W
     return kept
 
 
-def main_text(html: str | None) -> str:
-    parser = _Lines()
-    parser.feed(html or "")
-    parser.close()
-    parser.end_line()
-    zone = max((z for text, _, z in parser.lines if text), default=0)
-    lengths = [n if z == zone else 0 for _, n, z in parser.lines]
-    threshold = 1
-    if not zone:
-        peak = max((sum(lengths[i : i + WINDOW]) for i in range(len(lengths))), default=0)
-        threshold = min(SURGE, peak)
+def _chosen(parser: _Lines) -> str:
+    texts = {z: sum(len(text) for text, _, zone in parser.lines if zone == z) for z in (2, 1)}
+    marked = max(texts, key=lambda z: texts[z])
+    lines, before = [], None
+    for text, n, zone in parser.lines:
+        inside = zone == marked
+        if before not in (None, inside):
+            lines += [("", 0)] * WINDOW
+        lines.append((text, MARKED * len(text) if inside else n))
+        before = inside
+    lengths = [n for _, n in lines]
+    peak = max((sum(lengths[i : i + WINDOW]) for i in range(len(lengths))), default=0)
+    threshold = min(SURGE, peak)
     if not threshold:
         return ""
     kept = between_surges_and_dives(lengths, threshold)
-    return "\n".join(t for a, b in kept for t, _, z in parser.lines[a:b] if t and z == zone)
+    return "\n".join(t for a, b in kept for t, _ in lines[a:b] if t)
+
+
+def main_text(html: str | None) -> str:
+    for recover in (False, True):
+        parser = _Lines(recover)
+        parser.feed(html or "")
+        parser.close()
+        parser.end_line()
+        text = _chosen(parser)
+        if text or not parser.passed:
+            break
+    return text
 
 
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"

@@ -100,3 +100,17 @@ def test_optional_end_tags_end_what_is_dropped(page):
 
 def test_end_tags_inside_do_not_end_what_is_dropped():
     assert html_text.main_text(f"<div class=ad><p>A<div>B</div></p></b></i><ul><li>C</ul></div><p>{P}</p>") == P
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<main><p>{P}</p><div class=related><article>Teaser</article></div></main>", P),
+        (f"<main><p>{P}</p><article>Teaser</article></main>", P),
+        (f"<p>{P}</p><section id=comments><article>Me too</article></section>", P),
+        (f"<article><p>Short.</p></article><p>{P}</p><p>Us</p>", f"Short.\n{P}\nUs"),
+        (f"<div class=ad>Open<article><p>{P}</p></article>", P),
+    ],
+)
+def test_a_mark_weighs_but_does_not_replace_surges(page, text):
+    assert html_text.main_text(page) == text
