@@ -13,6 +13,7 @@ from blockweave.llm import (
     probminhash,
     secrets,
     sharding,
+    substrings,
     token_orc,
     topk,
     warc,
@@ -87,7 +88,31 @@ def op10_seekable_warc(spark, folder):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op12_rabin_karp_substrings(spark, folder):
+    return substrings.removal_digest(substrings.remove_repeats(table(spark, folder, "documents")))
+
+
 ORACLE_SQL = {
+    "op12_rabin_karp_substrings": r"""
+        with d as (
+            select row_number() over () as row_no, doc_id,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+        ), w as (
+            select row_no, doc_id, p.place, list_slice(words, p.place, p.place + 12) as seq
+            from d, unnest(range(1, len(words) - 11)) as p(place) where doc_id is not null
+        ), marked as (
+            select row_no, place, doc_id, min(doc_id) over (partition by seq) as least from w
+        ), gone as (
+            select distinct row_no, unnest(range(place, place + 13)) as place from marked where least < doc_id
+        ), lists as (
+            select row_no, list(place) as places from gone group by row_no
+        ), k as (
+            select doc_id, words, list_filter(words, lambda x, i: not list_contains(coalesce(places, []), i)) as kept
+            from d left join lists using (row_no)
+        )
+        select doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - len(kept) as bigint) as n_removed,
+               sha256(array_to_string(kept, ' ')) as kept_sha256 from k""",
     # The text of pages that mark their article and use only p, h1, b and br in it, as those of the tables do.
     "op9_line_block_text": r"""
         with a as (

@@ -1,0 +1,110 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from blockweave.llm import substrings
+
+SCHEMA = "doc_id bigint, text string"
+
+
+def brute(rows, width=13):
+    split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    first = {}
+    for i, words in split:
+        for k in range(len(words) - width + 1 if i is not None else 0):
+            key = tuple(words[k : k + width])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, words in split:
+        gone = set()
+        for k in range(len(words) - width + 1 if i is not None else 0):
+            if first[tuple(words[k : k + width])] < i:
+                gone |= set(range(k, k + width))
+        kept = " ".join(w for k, w in enumerate(words) if k not in gone)
+        out.append((i, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def found(spark, rows, width=13, parts=5, **sizes):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(parts).withColumns(
+        {"id": F.lit("clash"), "places": F.lit(None), "tag": F.lit(1), "cuts": F.lit("x"), "n_words": F.lit(0)}
+    )
+    return sorted((tuple(r) for r in substrings.removal_digest(substrings.remove_repeats(df, width, **sizes)).collect()), key=repr)
+
+
+def texts(seed, n):
+    rng = random.Random(seed)
+    for _ in range(n):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            draw = rng.random()
+            if draw < 0.4:
+                parts += [f"w{rng.randint(0, 1)}" for _ in range(20)]
+            elif draw < 0.6:
+                parts += [f"q{k}_{rng.randint(0, 1)}" for k in range(16)]
+            else:
+                parts += [f"same{k}" for k in range(rng.randint(8, 30))]
+        yield rng.choice([" ", "  ", "\t", "\n ", " \x0b", "\r\n"]).join(parts)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randint(-20, 200) if rng.random() < 0.95 else None, t) for t in texts(seed, 200)]
+    expected = brute(rows)
+    assert sum(r[2] for r in expected) > 1000
+    assert found(spark, rows) == expected
+
+
+def test_edges(spark):
+    word = "same " * 40
+    rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a b c"), (None, word), (None, word), (5, word), (5, word), (6, word)]
+    rows += [(7, "\x85\xa0ü\x1c b" * 30), (8, "\x85\xa0ü\x1c b" * 30), (9, "x " * 12), (10, "x " * 13), (11, "X " * 13), (12, "x " * 13)]
+    assert found(spark, rows) == brute(rows)
+    assert found(spark, rows, 1) == brute(rows, 1)
+    assert found(spark, rows[:1]) == brute(rows[:1])
+    assert found(spark, []) == []
+
+
+def test_rows_of_one_id_are_judged_on_their_own_text(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, a), (7, a), (7, b), (7, b + " " + a), (9, b), (9, "x " + b), (9, None)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_long_text_and_passage_in_many_documents(spark):
+    rng = random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(n, f"{passage} {n} {passage} end{n % 3}") for n in range(150)]
+    rows.append((-1, " ".join(f"v{rng.randint(0, 3)}" for _ in range(30_000))))
+    rows.append((500, rows[-1][1][:20_000]))
+    assert found(spark, rows, run_bytes=2000, bucket_bytes=5000) == brute(rows)
+
+
+def test_shuffle_join_beyond_the_broadcast_limit(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BROADCAST_BYTES", 0)
+    rows = list(enumerate(texts(5, 80)))
+    assert found(spark, rows) == brute(rows)
+
+
+def test_window_hash_is_the_polynomial():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 2**64, 50, dtype=np.uint64)
+    base = int(substrings.BASES[0])
+    want = [sum(int(h[i + k]) * pow(base, 12 - k) for k in range(13)) % 2**64 for i in range(38)]
+    assert substrings.window_hashes(h, substrings.BASES[0], 13).tolist() == want
+    assert not len(substrings.window_hashes(h[:12], substrings.BASES[0], 13))
+
+
+def test_packing_and_intervals():
+    a = np.array([0, 5, 2**64 - 1], np.uint64)
+    assert (substrings.unpack(substrings.pack(a, a[::-1]), 3, 2) == np.stack([a, a[::-1]])).all()
+    assert substrings.intervals(np.array([7, 0, 3, 3, 40]), 13).tolist() == [0, 20, 40, 53]
+    assert substrings.intervals(np.array([0, 13, 27]), 13).tolist() == [0, 26, 27, 40]
+    words, sizes = substrings.split_words(pa.array([None, " a  b ", "", "c"]))
+    assert words.to_pylist() == ["a", "b", "c"] and sizes.tolist() == [0, 2, 0, 1]
