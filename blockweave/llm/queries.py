@@ -16,6 +16,7 @@ from blockweave.llm import (
     substrings,
     token_orc,
     topk,
+    vector_codes,
     warc,
 )
 
@@ -88,12 +89,61 @@ def op10_seekable_warc(spark, folder):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op11_limb_vector_codes(spark, folder):
+    return vector_codes.vector_codes(table(spark, folder, "embeddings"))
+
+
 @query
 def op12_rabin_karp_substrings(spark, folder):
     return substrings.removal_digest(substrings.remove_repeats(table(spark, folder, "documents")))
 
 
+def _vector_codes_sql(width: int = 64) -> str:
+    """The rounds of ``op11_limb_vector_codes`` one after another, for vectors of one length."""
+    part = width // vector_codes.PARTS
+    steps = [
+        f"""v as (
+            select vec_id, label, list_transform(embedding, lambda x: cast(floor({vector_codes.SCALE} * cast(x as double)) as bigint)) as c
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+        ), s as materialized (
+            select vec_id, cast(n // {part} as int) as part, cast(n % {part} as int) as pos, c[n + 1] as c
+            from v, unnest(range({width})) as u(n)
+        ), b0 as materialized (
+            select part, cast(f.entry as int) as entry, pos, c
+            from (select vec_id, row_number() over (order by vec_id) - 1 as entry from v
+                  order by vec_id limit {vector_codes.ENTRIES}) f join s using (vec_id)
+        )"""
+    ]
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""a{k} as materialized (
+            select vec_id, part, min((d, entry)) as best from (
+                select s.vec_id, s.part, b.entry, cast(sum((s.c - b.c) * (s.c - b.c)) as bigint) as d
+                from s join b{k} b on s.part = b.part and s.pos = b.pos group by all
+            ) group by all
+        )""")
+        if k < vector_codes.ROUNDS:
+            steps.append(f"""m{k} as (
+                select s.part, a.best[2] as entry, s.pos, cast(sum(s.c) as bigint) as t, count(*) as n
+                from s join a{k} a on a.vec_id = s.vec_id and a.part = s.part group by all
+            ), b{k + 1} as materialized (
+                select b.part, b.entry, b.pos, coalesce((m.t - ((m.t % m.n) + m.n) % m.n) // m.n, b.c) as c
+                from b{k} b left join m{k} m on m.part = b.part and m.entry = b.entry and m.pos = b.pos
+            )""")
+    last = vector_codes.ROUNDS
+    return f"""with {", ".join(steps)}, e as (
+            select vec_id, string_agg(printf('%02x', a.best[2]), '' order by part) as code, cast(sum(a.best[1]) as bigint) as error
+            from a{last} a group by vec_id
+        ), books as (
+            select sha256(string_agg(cast(c as varchar), ',' order by part, entry, pos)) as codebooks_sha256 from b{last}
+        )
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+        from e join v using (vec_id), books"""
+
+
 ORACLE_SQL = {
+    "op11_limb_vector_codes": _vector_codes_sql(),
     "op12_rabin_karp_substrings": r"""
         with d as (
             select row_number() over () as row_no, doc_id,

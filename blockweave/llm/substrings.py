@@ -36,7 +36,7 @@ from blockweave.session import BROADCAST_BYTES
 
 WIDTH = 13
 #: Bytes of text that a task hashes at once; a longer text is a run of its own.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 #: Bytes of text whose windows make up a bucket.
 BUCKET_BYTES = 16 << 20
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
