@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blockweave.llm import (
     decontam,
     html_text,
+    merkle,
     mixing,
     ordinal,
     probminhash,
@@ -99,6 +100,61 @@ def op12_rabin_karp_substrings(spark, folder):
     return substrings.removal_digest(substrings.remove_repeats(table(spark, folder, "documents")))
 
 
+@query
+def op13_bitmap_merkle(spark, folder):
+    docs = table(spark, folder, "documents")
+    return merkle.manifest(merkle.document_leaves(docs, merkle.every_seventh(F.col("doc_id"))))
+
+
+def _merkle_sql() -> str:
+    """Leaves, then two recursions for each tree: nodes upwards, and every leaf's fold with its siblings."""
+
+    def leaf(n_chars: str) -> str:
+        def coded(x):
+            return f"coalesce(strlen(cast({x} as varchar)) || ':' || cast({x} as varchar), '-')"
+
+        return f"sha256({' || '.join(coded(x) for x in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+    def nodes(name: str, start: str) -> str:
+        return f"""{name} as (
+            {start}
+            union all
+            select grp, level + 1, pos // 2, sha256(string_agg(node, '' order by pos)), (any_value(n) + 1) // 2
+            from {name} where n > 1 group by grp, level, pos // 2
+        )"""
+
+    def folds(name: str, start: str, tree: str) -> str:
+        return f"""{name} as (
+            {start}
+            union all
+            select f.row_no, f.grp, f.level + 1, f.pos // 2, (f.n + 1) // 2, f.path || coalesce(s.node, ''),
+                   sha256(case when s.node is null then f.node when f.pos % 2 = 1 then s.node || f.node else f.node || s.node end)
+            from {name} f left join {tree} s on s.grp = f.grp and s.level = f.level and s.pos = xor(f.pos, 1)
+            where f.n > 1
+        )"""
+
+    return f"""with recursive d as (
+            select row_number() over () as row_no, doc_id, coalesce('1' || lang, '0') as grp, {leaf("n_chars")} as leaf,
+                   case when n_chars is not null and xor(list_reduce(list_prepend(4294967295,
+                       list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+                       lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+                           lambda e, i: xor(e >> 1, 3988292384 * (e & 1)))), 4294967295) % 7 = 0
+                   then {leaf("cast(n_chars as hugeint) + 1")} end as tampered
+            from documents
+        ), p as (
+            select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as pos,
+                   count(*) over (partition by grp) as n from d
+        ), {nodes("t", "select grp, 0 as level, pos, leaf as node, n from p")},
+        g as (
+            select grp, node as subroot, row_number() over (order by grp) - 1 as pos, count(*) over () as n from t where n = 1
+        ), {nodes("u", "select '' as grp, 0 as level, pos, subroot as node, n from g")},
+        {folds("f", "select row_no, grp, 0 as level, pos, n, '' as path, coalesce(tampered, leaf) as node from p", "t")},
+        {folds("r", "select f.row_no, '' as grp, 0 as level, g.pos, g.n, f.path, f.node from f join g on f.grp = g.grp where f.n = 1", "u")}
+        select p.doc_id, p.leaf, g.subroot, u.node as root, sha256(r.path) as proof_sha256, r.node as folded_root,
+               r.node = u.node as verified
+        from p join g on p.grp = g.grp join u on u.n = 1 join r on r.row_no = p.row_no and r.n = 1"""
+
+
 def _vector_codes_sql(width: int = 64) -> str:
     """The rounds of ``op11_limb_vector_codes`` one after another, for vectors of one length."""
     part = width // vector_codes.PARTS
@@ -143,6 +199,7 @@ def _vector_codes_sql(width: int = 64) -> str:
 
 
 ORACLE_SQL = {
+    "op13_bitmap_merkle": _merkle_sql(),
     "op11_limb_vector_codes": _vector_codes_sql(),
     "op12_rabin_karp_substrings": r"""
         with d as (
