@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from blockweave.functions import arrow
 from blockweave.functions.columns import argmax, one_hot
-from blockweave.operators import block, entry, factor, stack
+from blockweave.operators import block, entry, factor, sparse_block, stack
 from blockweave.plans import network, nmf, report, scoring, training
 from blockweave.session import cut, scratch_path
 from blockweave.sources import libsvm, ratings as rating_files
@@ -25,6 +25,8 @@ STACK = 48
 STEP = 0.5
 TALL = (128, 32)
 SMALL = (48, 3)
+#: Blocks of the ratings matrix.
+RATINGS = (512, 1024)
 
 QUERIES: dict = {}
 
@@ -268,6 +270,44 @@ def block_gram(spark, folder):
     return rounded(block.to_entries(block.multiply(block.transpose(tall), tall)), "v")
 
 
+def rating_blocks(spark, folder) -> block.BlockMatrix:
+    """The ratings in sparse blocks."""
+    return sparse_block.to_sparse_blocks(rating_rows(spark, folder), *RATINGS)
+
+
+def factor_blocks(ids: DataFrame, start, height: int, rows: int) -> block.BlockMatrix:
+    return block.to_blocks(factor.to_entries(start(ids, RANK)), height, RANK, rows, RANK, unique=True)
+
+
+@query
+def sparse_blocks(spark, folder):
+    """Every stored cell of the ratings' sparse blocks by its column in the block."""
+    blocks = rating_blocks(spark, folder).blocks
+    columns = F.posexplode(F.slice("starts", 1, F.size("starts") - 1)).alias("col", "first")
+    opened = blocks.select("bi", "bj", "nr", "nc", "starts", "places", "data", columns)
+    n = F.get("starts", F.col("col") + 1) - F.col("first")
+    held = F.arrays_zip(F.slice("places", F.col("first") + 1, n).alias("row"), F.slice("data", F.col("first") + 1, n).alias("v"))
+    return opened.select("bi", "bj", "nr", "nc", "col", F.inline(held)).withColumnRenamed("0", "row").withColumnRenamed("1", "v")
+
+
+@query
+def block_sparse_multiply(spark, folder):
+    """Ratings in sparse blocks times the items' factor in dense ones."""
+    ratings = rating_blocks(spark, folder)
+    items = factor_blocks(positions(rating_rows(spark, folder), "j"), start_h, RATINGS[1], ratings.grid.cols)
+    cells = entry.to_sparse(block.to_entries(block.multiply(ratings, items)))
+    return rounded(cells.select("i", F.col("j").alias("k"), "v"), "v")
+
+
+@query
+def block_sparse_project(spark, folder):
+    """The same ratings, turned without being made dense, times the users' factor."""
+    ratings = sparse_block.transpose(rating_blocks(spark, folder))
+    users = factor_blocks(positions(rating_rows(spark, folder), "i"), start_w, RATINGS[0], ratings.grid.cols)
+    cells = entry.to_sparse(block.to_entries(block.multiply(ratings, users)))
+    return rounded(cells.select(F.col("i").alias("j"), F.col("j").alias("k"), "v"), "v")
+
+
 @query
 def block_product(spark, folder):
     a, b = (supply_blocks(spark, folder, c) for c in ("l_quantity", "l_discount"))

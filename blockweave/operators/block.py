@@ -6,24 +6,21 @@ DataFrame. A block that is not there is zero.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockweave.functions import arrow
 from blockweave.functions.columns import hash_uniform
-from blockweave.operators import entry
+from blockweave.operators import entry, product
 from blockweave.session import BROADCAST_BYTES, MAX_BLOCK_CELLS, shuffle_partitions
 
 SCHEMA = "bi int, bj int, nr int, nc int, data array<double>"
-#: Partial product sums a task holds before it passes them on, in bytes.
+#: Dense blocks a task holds before it passes them on, in bytes.
 HELD_BYTES = 128 * 1024 * 1024
 
 
@@ -69,10 +66,16 @@ class Grid:
 
 @dataclass(frozen=True)
 class BlockMatrix:
-    """Blocks and their grid."""
+    """Blocks and their grid. The blocks may be sparse (``operators.sparse_block``); ``cells`` is how many they store."""
 
     blocks: DataFrame
     grid: Grid
+    cells: int | None = None
+
+    @property
+    def stored_bytes(self) -> int:
+        """Bytes of all blocks; of dense ones where the number of cells is not known."""
+        return self.grid.data_bytes if self.cells is None else 12 * self.cells
 
 
 def from_keyed_blocks(
@@ -124,28 +127,21 @@ def random_blocks(
     return BlockMatrix(sized.withColumn("data", data), grid)
 
 
-def to_blocks(
-    entries: DataFrame,
-    block_rows: int,
-    block_cols: int,
-    rows: int | None = None,
-    cols: int | None = None,
-    unique: bool = False,
-) -> BlockMatrix:
-    """Entries to dense blocks; repeated cells are added up and the last blocks are smaller.
-
-    A block collects at most block_rows * block_cols cells, because cells are summed before. Pass
-    ``unique=True`` to save that shuffle when there is one entry per cell.
-    """
+def grid_of(entries: DataFrame, block_rows: int, block_cols: int, rows: int | None, cols: int | None) -> Grid:
+    """The grid, with sizes that are not given read off the entries."""
     if rows is None or cols is None:
         size = entry.matrix_shape(entries).first()
         rows = size["rows"] if rows is None else rows
         cols = size["cols"] if cols is None else cols
-    grid = Grid(rows, cols, block_rows, block_cols)
-    bi, bj = F.expr(f"i div {block_rows}L"), F.expr(f"j div {block_cols}L")
-    inside = (F.col("i") >= 0) & (F.col("i") < rows) & (F.col("j") >= 0) & (F.col("j") < cols)
+    return Grid(rows, cols, block_rows, block_cols)
+
+
+def cells_by_block(entries: DataFrame, grid: Grid, unique: bool = False) -> DataFrame:
+    """``bi, bj, nr, nc, cells``: the entries of each block as (place in the block, value), column after column."""
+    bi, bj = F.expr(f"i div {grid.block_rows}L"), F.expr(f"j div {grid.block_cols}L")
+    inside = (F.col("i") >= 0) & (F.col("i") < grid.rows) & (F.col("j") >= 0) & (F.col("j") < grid.cols)
     position = F.when(
-        inside, (F.col("j") % block_cols) * F.col("nr") + F.col("i") % block_rows
+        inside, (F.col("j") % grid.block_cols) * F.col("nr") + F.col("i") % grid.block_rows
     ).otherwise(F.raise_error(F.lit("entry outside the matrix")).cast("bigint"))
     cells = (
         (entries if unique else entry.sum_duplicates(entries))
@@ -155,9 +151,24 @@ def to_blocks(
         .withColumn("nc", grid.width(F.col("bj")))
         .select("bi", "bj", "nr", "nc", position.cast("int").alias("pos"), "v")
     )
-    listed = cells.groupBy("bi", "bj", "nr", "nc").agg(
-        F.collect_list(F.struct("pos", "v")).alias("cells")
-    )
+    return cells.groupBy("bi", "bj", "nr", "nc").agg(F.collect_list(F.struct("pos", "v")).alias("cells"))
+
+
+def to_blocks(
+    entries: DataFrame,
+    block_rows: int,
+    block_cols: int,
+    rows: int | None = None,
+    cols: int | None = None,
+    unique: bool = False,
+) -> BlockMatrix:
+    """Entries to dense blocks; repeated cells are added up and the last blocks are smaller.
+
+    A block collects at most block_rows * block_cols cells, because cells are summed before. Pass
+    ``unique=True`` to save that shuffle when there is one entry per cell.
+    """
+    grid = grid_of(entries, block_rows, block_cols, rows, cols)
+    listed = cells_by_block(entries, grid, unique)
 
     def scatter(batches):
         for batch in batches:
@@ -210,84 +221,33 @@ def transpose(matrix: BlockMatrix) -> BlockMatrix:
     return BlockMatrix(matrix.blocks.mapInArrow(turn, SCHEMA), matrix.grid.transposed())
 
 
-def _multiply_pairs(batches):
-    """Block products of joined pairs, added up per target block while memory allows."""
-    held: dict[tuple[int, int], np.ndarray] = {}
-    size = 0
-
-    def release():
-        keys = list(held)
-        shapes = [held[k].shape for k in keys]
-        arrays = [
-            pa.array([k[0] for k in keys], pa.int32()),
-            pa.array([k[1] for k in keys], pa.int32()),
-            pa.array([s[0] for s in shapes], pa.int32()),
-            pa.array([s[1] for s in shapes], pa.int32()),
-            arrow.vector_rows([held[k].reshape(-1, order="F") for k in keys]),
-        ]
-        held.clear()
-        return pa.RecordBatch.from_arrays(arrays, ["bi", "bj", "nr", "nc", "data"])
-
-    for batch in batches:
-        names = ("bi", "bj", "nr", "inner", "nc")
-        fields = [batch.column(name).to_pylist() for name in names]
-        for bi, bj, nr, inner, nc, left, right in zip(
-            *fields, batch.column("a_data"), batch.column("b_data"), strict=True
-        ):
-            a = left.values.to_numpy().reshape(nr, inner, order="F")
-            b = right.values.to_numpy().reshape(inner, nc, order="F")
-            if (bi, bj) in held:
-                held[bi, bj] += a @ b
-            else:
-                held[bi, bj] = a @ b
-                size += nr * nc * 8
-            if size > HELD_BYTES:
-                yield release()
-                size = 0
-    if held:
-        yield release()
-
-
 def multiply(a: BlockMatrix, b: BlockMatrix) -> BlockMatrix:
-    """Matrix product of two dense matrices: join on the inner block index, numpy product, sum.
+    """Matrix product of two matrices, each dense or sparse: a dense matrix.
 
-    A matrix whose size is below the broadcast limit is broadcast. Otherwise the longer side is
-    salted by its outer block index and the other one is repeated, so that a narrow inner dimension
-    (few inner blocks) still spreads over all tasks.
+    Where the inner dimension is one block and a side is below the broadcast limit, that side is broadcast. Otherwise the
+    blocks meet in tiles of the output (``operators.product``).
     """
     if a.grid.cols != b.grid.rows:
         raise ValueError(f"cannot multiply: {a.grid.cols} columns against {b.grid.rows} rows")
     if a.grid.block_cols != b.grid.block_rows:
         raise ValueError("cannot multiply: different inner block sizes")
-    left = a.blocks.select("bi", F.col("bj").alias("bk"), "nr", F.col("nc").alias("inner"),
-                           F.col("data").alias("a_data"))
-    right = b.blocks.select(F.col("bi").alias("bk"), "bj", "nc", F.col("data").alias("b_data"))
-    keys = ["bk"]
-    if b.grid.data_bytes <= BROADCAST_BYTES and b.grid.data_bytes <= a.grid.data_bytes:
-        right = F.broadcast(right)
-    elif a.grid.data_bytes <= BROADCAST_BYTES:
-        left = F.broadcast(left)
-    else:
-        tasks = shuffle_partitions(a.blocks.sparkSession)
-        outer = max(a.grid.row_blocks, b.grid.col_blocks, 1)
-        salts = max(1, min(outer, math.ceil(2 * tasks / max(a.grid.col_blocks, 1))))
-        every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        keys = ["bk", "salt"]
-        if a.grid.row_blocks >= b.grid.col_blocks:
-            left = left.withColumn("salt", F.col("bi") % salts)
-            right = right.withColumn("salt", every)
-        else:
-            right = right.withColumn("salt", F.col("bj") % salts)
-            left = left.withColumn("salt", every)
-    pairs = left.join(right, keys).select("bi", "bj", "nr", "inner", "nc", "a_data", "b_data")
-    partial = pairs.mapInArrow(_multiply_pairs, SCHEMA)
-    total = (
-        partial.groupBy("bi", "bj", "nr", "nc")
-        .agg(Summarizer.sum(array_to_vector("data")).alias("data"))
-        .select("bi", "bj", "nr", "nc", vector_to_array("data").alias("data"))
-    )
     grid = Grid(a.grid.rows, b.grid.cols, a.grid.block_rows, b.grid.block_cols)
-    return BlockMatrix(total, grid)
+    small = min((b, "right"), (a, "left"), key=lambda side: side[0].stored_bytes)
+    if a.grid.col_blocks <= 1 and small[0].stored_bytes <= BROADCAST_BYTES:
+        return BlockMatrix(product.by_broadcast(a.blocks, b.blocks, small[1]), grid)
+    return BlockMatrix(product.by_tiles(a.blocks, b.blocks, product_layout(a, b)), grid)
+
+
+def product_layout(a: BlockMatrix, b: BlockMatrix) -> product.Layout:
+    """How the blocks of a product are dealt, from the sizes of the matrices alone."""
+    out = Grid(a.grid.rows, b.grid.cols, a.grid.block_rows, b.grid.block_cols)
+    return product.choose_layout(
+        out.row_blocks, a.grid.col_blocks, out.col_blocks,
+        tasks=shuffle_partitions(a.blocks.sparkSession),
+        work=min(a.stored_bytes / 8 * b.grid.cols, a.grid.rows * b.stored_bytes / 8),
+        left_bytes=a.stored_bytes, right_bytes=b.stored_bytes, output_bytes=out.data_bytes,
+        block_bytes=out.block_rows * out.block_cols * 8,
+    )
 
 
 def _same_grid(*matrices: BlockMatrix) -> Grid:
@@ -321,10 +281,10 @@ def elementwise_product(a: BlockMatrix, b: BlockMatrix) -> BlockMatrix:
     grid = _same_grid(a, b)
 
     @F.arrow_udf("array<double>")
-    def product(x: pa.Array, y: pa.Array) -> pa.Array:
+    def multiplied(x: pa.Array, y: pa.Array) -> pa.Array:
         return arrow.elementwise(np.multiply, x, y)
 
-    return _combined(_aligned(a, b), product("d0", "d1"), grid)
+    return _combined(_aligned(a, b), multiplied("d0", "d1"), grid)
 
 
 def elementwise_division(a: BlockMatrix, b: BlockMatrix) -> BlockMatrix:
@@ -349,8 +309,8 @@ def multiply_divide(a: BlockMatrix, b: BlockMatrix, c: BlockMatrix) -> BlockMatr
     grid = _same_grid(a, b, c)
 
     def ratio(x, y, z):
-        product = x * y
-        return np.where(product == 0, 0.0, product / z)
+        both = x * y
+        return np.where(both == 0, 0.0, both / z)
 
     @F.arrow_udf("array<double>")
     def fused(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
@@ -395,11 +355,7 @@ def validate(matrix: BlockMatrix) -> DataFrame:
 
 def tile_sides(grid: Grid, tiles: int) -> tuple[int, int]:
     """Block rows and columns of a tile when a grid is cut into about ``tiles`` tiles shaped like itself."""
-    if tiles < 1:
-        raise ValueError("the number of tiles must be at least 1")
-    root = math.sqrt(tiles)
-    height, width = (max(1, math.floor(n / root + 0.5)) for n in (grid.row_blocks, grid.col_blocks))
-    return height, width
+    return product.tile_sides(grid.row_blocks, grid.col_blocks, tiles)
 
 
 def tile_number(grid: Grid, sides: tuple[int, int]) -> Column:

@@ -213,6 +213,16 @@ select bi, bj, nr, nc, cast((j % 32) * nr + i % 128 as integer) pos, round(v, 6)
         "block_transpose": f"with {X} select j as i, i as j, round(v, 6) + 0.0E0 v from x",
         "block_multiply": f"""with {X}, {CELLS}
 select i, o as j, round(sum(v * w), 6) + 0.0E0 v from x join cells on layer = 1 and f = x.j group by 1, 2""",
+        "sparse_blocks": f"""with {A}, {SIZE}
+select cast(i // 512 as integer) bi, cast(j // 1024 as integer) bj,
+  cast(least(512, row_count - (i // 512) * 512) as integer) nr, cast(least(1024, col_count - (j // 1024) * 1024) as integer) nc,
+  cast(j % 1024 as integer) as col, cast(i % 512 as integer) as "row", v from a, size""",
+        "block_sparse_multiply": f"""with {A}, {ranks(RANK)},
+h as (select k, j, {start_h()} v from (select distinct j from a) cross join ks)
+select a.i, h.k, round(sum(a.v * h.v), 6) v from a join h on a.j = h.j group by 1, 2""",
+        "block_sparse_project": f"""with {A}, {ranks(RANK)},
+w as (select i, k, {start_w()} v from (select distinct i from a) cross join ks)
+select a.j, w.k, round(sum(a.v * w.v), 6) v from a join w on a.i = w.i group by 1, 2""",
         "block_gram": f"""with {X}
 select p.j as i, q.j as j, round(sum(p.v * q.v), 6) + 0.0E0 v from x p join x q on p.i = q.i group by 1, 2""",
         "block_product": f"""with {small_blocks('l_quantity', 'l_discount')}

@@ -75,13 +75,6 @@ def test_multiply_against_numpy_and_stock(spark, monkeypatch, limit, shape):
     assert np.allclose(dense_of(got), product)
 
 
-def test_held_products_are_released_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(block, "HELD_BYTES", 40)
-    a, b = RNG.normal(size=(8, 6)), RNG.normal(size=(6, 8))
-    got = block.multiply(blocks_of(spark, a, 2, 2), blocks_of(spark, b, 2, 2))
-    assert np.allclose(dense_of(got), a @ b)
-
-
 def test_multiply_checks_sizes(spark):
     a = blocks_of(spark, np.ones((4, 3)), 2, 2)
     with pytest.raises(ValueError, match="cannot multiply"):
