@@ -19,7 +19,6 @@ from blockweave.session import cut, scratch_path
 from blockweave.sources import libsvm, ratings as rating_files
 
 RANK = 8
-SMALL_RANK = 3
 LAYERS = [64, 16, 10]
 STACK = 48
 STEP = 0.5
@@ -410,31 +409,65 @@ def nmf_update_w(spark, folder):
     return rounded(cells.select("i", F.col("j").alias("k"), "v"), "v")
 
 
-def small_fit(spark, folder, iterations: int = 2, track: bool = False) -> nmf.Factors:
-    rows = supply_rows(spark, folder)
-    size = entry.matrix_shape(rows).first()
-    w = start_w(spark.range(size["rows"]), SMALL_RANK)
-    h = start_h(spark.range(size["cols"]), SMALL_RANK)
-    return nmf.fit(rows, SMALL_RANK, iterations, w=w, h=h, track_objective=track)
+def start_factors(spark, folder, rank: int) -> dict[str, DataFrame]:
+    """Repeatable factors for all ids up to the largest one that is rated."""
+    size = entry.matrix_shape(rating_rows(spark, folder)).first()
+    return {"w": start_w(spark.range(size["rows"]), rank), "h": start_h(spark.range(size["cols"]), rank)}
+
+
+def ratings_fit(spark, folder, iterations: int, rank: int = RANK, **options) -> nmf.Factors:
+    return nmf.fit(rating_rows(spark, folder), rank, iterations, **start_factors(spark, folder, rank), **options)
+
+
+def both_factors(fitted: nmf.Factors) -> DataFrame:
+    tables = [
+        factor.to_entries(rows).select(F.lit(name).alias("factor"), F.col("i").alias("id"), F.col("j").alias("k"), "v")
+        for name, rows in (("W", fitted.w), ("H", fitted.h))
+    ]
+    return rounded(tables[0].unionAll(tables[1]), "v")
 
 
 @query
 def nmf_fit_2iter(spark, folder):
-    """Both factors after two passes; row 0 of the matrix may be empty and column 0 is."""
-    fitted = small_fit(spark, folder)
-    w = factor.to_entries(fitted.w).select(F.lit("W").alias("factor"), F.col("i").alias("id"), F.col("j").alias("k"), "v")
-    h = factor.to_entries(fitted.h).select(F.lit("H").alias("factor"), F.col("i").alias("id"), F.col("j").alias("k"), "v")
-    return rounded(w.unionAll(h), "v")
+    """Both factors of the ratings after two passes; ids without ratings have zero rows."""
+    return both_factors(ratings_fit(spark, folder, 2))
+
+
+@query
+def nmf_fit_rank16(spark, folder):
+    """One pass at a rank whose Gram matrices are summed by batch kernels."""
+    return both_factors(ratings_fit(spark, folder, 1, 16))
+
+
+@query
+def nmf_fit_hot(spark, folder):
+    """One pass with every id of more than a few cells dealt over its whole stripe."""
+    return both_factors(ratings_fit(spark, folder, 1, hot=60))
+
+
+@query
+def nmf_fit_resumed(spark, folder):
+    """A fit that is stopped after its first pass and taken up again."""
+    record = scratch_path(spark, "passes")
+    ratings_fit(spark, folder, 1, record=record)
+    return both_factors(ratings_fit(spark, folder, 2, record=record))
+
+
+@query
+def nmf_fit_occurring(spark, folder):
+    """One pass over ratings with far ids: only ids that occur have rows, and start by their number."""
+    far = rating_rows(spark, folder).select(
+        (F.col("i") * F.lit(1_000_000_007) + 5).alias("i"), (F.col("j") * F.lit(70_001)).alias("j"), "v"
+    )
+    return both_factors(nmf.fit(far, RANK, 1, ids="occurring", uniform=formula_uniform))
 
 
 @query
 def nmf_objective(spark, folder):
     """Squared error of the start factors."""
-    layout = nmf.Ratings(supply_rows(spark, folder))
+    layout = nmf.Ratings(rating_rows(spark, folder))
     try:
-        w = start_w(spark.range(layout.rows), SMALL_RANK)
-        h = start_h(spark.range(layout.cols), SMALL_RANK)
-        value = nmf.objective(layout, w, h, SMALL_RANK)
+        value = nmf.objective(layout, **start_factors(spark, folder, RANK), rank=RANK)
     finally:
         layout.release()
     return rounded(spark.createDataFrame([(value / 1e6,)], "error double"), "error", places=3)
@@ -442,7 +475,7 @@ def nmf_objective(spark, folder):
 
 @query
 def fit_summary(spark, folder):
-    return report.fit_summary(supply_rows(spark, folder), small_fit(spark, folder, 1), *SMALL)
+    return report.fit_summary(rating_rows(spark, folder), ratings_fit(spark, folder, 1), *RATINGS)
 
 
 # --- classifier: coding, layout, stacks ---------------------------------------------------------

@@ -24,16 +24,16 @@ CHUNK = 32
 
 
 def random_factor(
-    ids: DataFrame, rank: int, seed: int, uniform: Callable[..., Column] = hash_uniform
+    ids: DataFrame, rank: int, seed: int, uniform: Callable[..., Column] = hash_uniform, keep: str | None = None
 ) -> DataFrame:
     """A row of ``rank`` uniform values in [0, 1) for every ``id``; the same at every recompute.
 
-    ``uniform`` is an expression of the place and the seed, by default a hash.
+    ``uniform`` is an expression of the place and the seed, by default a hash. The column ``keep`` stays too.
     """
     values = F.transform(
         F.sequence(F.lit(0), F.lit(rank - 1)), lambda k: uniform(F.col("id"), k, seed=seed)
     )
-    return ids.select(F.col("id").cast("bigint").alias("id"), values.alias("f"))
+    return ids.select(F.col("id").cast("bigint").alias("id"), values.alias("f"), *([keep] if keep else []))
 
 
 def index_range(df: DataFrame, size: int) -> DataFrame:

@@ -41,6 +41,18 @@ def tile_sides(row_blocks: int, col_blocks: int, tiles: int) -> tuple[int, int]:
     return height, width
 
 
+def stretched_sides(row_blocks: int, col_blocks: int, tiles: int) -> tuple[int, int]:
+    """``tile_sides``, but a grid too narrow for so many tiles is cut further along its longer side."""
+    height, width = tile_sides(row_blocks, col_blocks, tiles)
+    down, across = -(-row_blocks // height), -(-col_blocks // width)
+    if 2 * down * across < tiles:
+        if row_blocks >= col_blocks:
+            height = max(1, row_blocks * max(across, 1) // tiles)
+        else:
+            width = max(1, col_blocks * max(down, 1) // tiles)
+    return height, width
+
+
 @dataclass(frozen=True)
 class Layout:
     """Sides of an output tile in blocks, tiles down and across, and slabs of the inner dimension."""
@@ -68,7 +80,7 @@ def choose_layout(
     found: list[tuple[bool, int, Layout]] = []
     tiles, most = 1, max(tasks, math.ceil(row_blocks * col_blocks * block_bytes / held))
     while True:
-        height, width = tile_sides(row_blocks, col_blocks, tiles)
+        height, width = stretched_sides(row_blocks, col_blocks, tiles)
         while height * width * block_bytes > held and height * width > 1:
             height, width = (-(-height // 2), width) if height >= width else (height, -(-width // 2))
         down, across = -(-row_blocks // height), -(-col_blocks // width)

@@ -62,11 +62,26 @@ def update_w(name: str, w: str, h: str) -> str:
 
 
 def dense_starts(rank: int) -> str:
-    return f"""{supply("a", "l_quantity")}, {ranks(rank)},
+    """The ratings and start factors for all ids up to the largest."""
+    return f"""{A}, {ranks(rank)},
 w0 as (select i, k, {start_w()} v from (select unnest(range(max(i) + 1)) i from a) cross join ks),
 h0 as (select k, j, {start_h()} v from (select unnest(range(max(j) + 1)) j from a) cross join ks)"""
 
 
+def both(w: str, h: str) -> str:
+    return f"""select 'W' as factor, i as id, k, round(v, 6) v from {w}
+union all select 'H', j, k, round(v, 6) from {h}"""
+
+
+def one_pass(rank: int) -> str:
+    return f"with {dense_starts(rank)}, {update('h1', 'w0', 'h0')}, {update_w('w1', 'w0', 'h1')} {both('w1', 'h1')}"
+
+
+TWO_PASSES = f"""with {dense_starts(RANK)},
+{update('h1', 'w0', 'h0')}, {update_w('w1', 'w0', 'h1')}, {update('h2', 'w1', 'h1')}, {update_w('w2', 'w1', 'h2')}
+{both('w2', 'h2')}"""
+
+
 # Sample blocks are 128 x 32 over the 64 features.
 X = """x as (select vec_id i, generate_subscripts(embedding, 1) - 1 j, cast(unnest(embedding) as double) v
 from embeddings)"""
@@ -270,18 +285,25 @@ w0 as (select i, k, {start_w()} v from (select distinct i from a) cross join ks)
 h0 as (select k, j, {start_h()} v from (select distinct j from a) cross join ks),
 {update_w('w1', 'w0', 'h0')}
 select i, k, round(v, 6) v from w1""",
-        "nmf_fit_2iter": f"""with {dense_starts(3)},
-{update('h1', 'w0', 'h0')}, {update_w('w1', 'w0', 'h1')}, {update('h2', 'w1', 'h1')}, {update_w('w2', 'w1', 'h2')}
-select 'W' as factor, i as id, k, round(v, 6) v from w2
-union all select 'H', j, k, round(v, 6) from h2""",
-        "nmf_objective": f"""with {dense_starts(3)},
+        "nmf_fit_2iter": TWO_PASSES,
+        "nmf_fit_resumed": TWO_PASSES,
+        "nmf_fit_rank16": one_pass(16),
+        "nmf_fit_hot": one_pass(RANK),
+        "nmf_fit_occurring": f"""with a as (select o_custkey * 1000000007 + 5 i, l_partkey * 70001 j, sum(l_quantity) v from {LINES} group by 1, 2),
+{ranks(RANK)}, ids as (select i, dense_rank() over (order by i) - 1 n from (select distinct i from a)),
+jds as (select j, dense_rank() over (order by j) - 1 n from (select distinct j from a)),
+w0 as (select i, k, {uniform("n * 386117 + k * 50021", 11)} v from ids cross join ks),
+h0 as (select k, j, {uniform("n * 386117 + k * 50021", 12)} v from jds cross join ks),
+{update('h1', 'w0', 'h0')}, {update_w('w1', 'w0', 'h1')}
+{both('w1', 'h1')}""",
+        "nmf_objective": f"""with {dense_starts(RANK)},
 p as (select w.i, h.j, sum(w.v * h.v) v from w0 w join h0 h on w.k = h.k group by 1, 2),
 d as (select coalesce(a.v, 0.0E0) - p.v d from p left join a on a.i = p.i and a.j = p.j)
 select round(sum(d * d) / 1.0E6, 3) error from d""",
-        "fit_summary": f"""with {supply('a', 'l_quantity')}, s as (select max(i) + 1 m, max(j) + 1 n, count(*) c from a),
-p as (select 'A' as matrix, m r, n c, c as stored from s union all select 'W', m, 3, m * 3 from s
-  union all select 'H', 3, n, n * 3 from s),
-b as (select *, (r + 47) // 48 rb, (c + 2) // 3 cb from p)
+        "fit_summary": f"""with {A}, s as (select max(i) + 1 m, max(j) + 1 n, count(*) c from a),
+p as (select 'A' as matrix, m r, n c, c as stored from s union all select 'W', m, {RANK}, m * {RANK} from s
+  union all select 'H', {RANK}, n, n * {RANK} from s),
+b as (select *, (r + 511) // 512 rb, (c + 1023) // 1024 cb from p)
 select matrix, cast(r as bigint) as "rows", cast(c as bigint) as "cols", cast(rb as bigint) as row_blocks, cast(cb as bigint) as col_blocks,
   cast(r // rb as bigint) as block_rows, cast(c // cb as bigint) as block_cols, cast(stored as bigint) as stored from b""",
         "one_hot_labels": """select vec_id, cast(k as integer) k, case when k = label then 1.0E0 else 0.0E0 end t

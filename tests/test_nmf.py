@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from blockweave.operators import factor
+from blockweave.operators import block, factor, tiled
 from blockweave.plans import nmf, report
 from tests.conftest import entries_of, factor_of, matrix_of_factor
 
@@ -64,7 +65,6 @@ def test_hot_keys_are_found_and_kept_apart(spark):
     a[4, :] = 2.0
     layout = nmf.Ratings(entries_of(spark, a), hot=5)
     assert layout.by_col.hot_keys == [2]
-    assert layout.by_col.hot.count() == 30
     assert layout.by_row.hot_keys == [4]
     w = RNG.random((30, 2))
     x = matrix_of_factor(layout.by_row.project(factor_of(spark, w), 2), 6)
@@ -73,19 +73,106 @@ def test_hot_keys_are_found_and_kept_apart(spark):
 
 
 def test_plan_of_a_pass_reuses_the_layout(spark):
-    """The ratings are joined where they lie: no exchange above the cached cells."""
+    """The cells stay where they lie: no exchange above the cached tiles, for either update."""
     layout = nmf.Ratings(entries_of(spark, ratings()))
-    w = factor.random_factor(spark.range(14), 2, 1)
-    plan = layout.by_row.project(w, 2)._jdf.queryExecution().executedPlan().toString()
-    top = plan.split("InMemoryRelation")[0]
-    join = top.index("ShuffledHashJoin")
-    # One exchange, for the sums by item; the side of W has its own below the join.
-    assert top[:join].count("Exchange") == 1
-    between = top[join : top.index("InMemoryTableScan")]
-    assert "Exchange" not in between and "Sort" not in between
+    w, h = factor.random_factor(spark.range(14), 2, 1), factor.random_factor(spark.range(9), 2, 1)
+    for rows, side in ((w, layout.by_row), (h, layout.by_col)):
+        plan = side.project(rows, 2)._jdf.queryExecution().executedPlan().toString()
+        top = plan.split("InMemoryRelation")[0]
+        group = top.index("FlatMapCoGroupsInArrow")
+        # One exchange, for the sums by id; the factor's side has its own below the group.
+        assert top[:group].count("Exchange") == 1
+        assert "Exchange" not in top[group : top.index("InMemoryTableScan")]
     layout.release()
 
 
+def shuffled(side, rows, rank=2):
+    """Rows that the two exchanges of a projection carry: routed factor rows, and sums of tiles."""
+    return side.routed(rows).count() + side.partial_sums(rows, rank).count()
+
+
+def test_shuffled_rows_grow_with_the_root_of_the_partitions(spark):
+    dense = np.ones((120, 120))
+    cells = entries_of(spark, dense)
+    w = factor.random_factor(spark.range(120), 2, 1)
+    carried = {}
+    for parts in (2, 8, 32):
+        layout = nmf.Ratings(cells, partitions=parts)
+        side = layout.by_row
+        tiling = layout.tiled.tiling
+        # the tile of a cell is O20's: neighbouring groups share it
+        assert tiling.sides == block.tile_sides(tiling.grid, tiled.TILES_PER_PARTITION * parts)
+        carried[parts] = shuffled(side, w)
+        assert carried[parts] == 120 * (tiling.across + tiling.down)
+        assert np.allclose(matrix_of_factor(side.project(w, 2), 120), dense @ matrix_of_factor(w, 120))
+        layout.release()
+    for few, many in ((2, 8), (8, 32)):
+        assert carried[many] <= 2.5 * carried[few]  # four times the partitions
+    assert carried[32] <= 120 * 32 / 2  # a layout by one index sends up to 120 x 32 sums
+
+
+def test_tiles_follow_the_shape_and_the_hot_ids_are_spread(spark):
+    tall = tiled.choose_tiling(10**6, 10, 10**6, 50)
+    assert tall.across == 1 and 80 <= tall.down <= 120
+    assert tiled.choose_tiling(5, 5, 10**9, 2).tiles >= 20
+    assert tiled.choose_tiling(0, 0, 0, 4).tiles >= 1
+    a = np.zeros((400, 400))
+    a[7] = 1.0
+    a[:, 9] = 1.0
+    layout = nmf.Ratings(entries_of(spark, a), hot=100, partitions=8)
+    sizes = [r["c"] for r in layout.tiled.packs.groupBy("tile").agg(F.sum("n").alias("c")).collect()]
+    assert sum(sizes) == 799 and max(sizes) < 799 / 4
+    h = RNG.random((400, 3))
+    assert np.allclose(matrix_of_factor(layout.by_col.project(factor_of(spark, h), 3), 400), a @ h)
+    layout.release()
+
+
+def test_a_stopped_fit_goes_on(spark, tmp_path):
+    e, folder = entries_of(spark, ratings()), str(tmp_path / "passes")
+    whole = nmf.fit(e, 3, 3, track_objective=True)
+    first = nmf.fit(e, 3, 1, track_objective=True, record=folder)
+    assert first.objectives == pytest.approx(whole.objectives[:1])
+    later = nmf.fit(e, 3, 3, track_objective=True, record=folder)
+    assert later.objectives == pytest.approx(whole.objectives)
+    assert np.allclose(matrix_of_factor(later.w, 14), matrix_of_factor(whole.w, 14))
+    assert np.allclose(matrix_of_factor(later.h, 9), matrix_of_factor(whole.h, 9))
+    # two places, whatever the number of passes
+    assert sorted(p.name for p in (tmp_path / "passes").iterdir()) == ["place-0", "place-1"]
+    with pytest.raises(ValueError, match="holds a fit with rank"):
+        nmf.fit(e, 4, 3, record=folder)
+    with pytest.raises(ValueError, match="holds a fit with square"):
+        nmf.fit(e.withColumn("v", F.col("v") * 2), 3, 3, record=folder)
+
+
+def test_a_pass_without_its_record_is_done_again(spark, tmp_path, monkeypatch):
+    e, folder = entries_of(spark, ratings()), str(tmp_path / "passes")
+    whole = nmf.fit(e, 3, 2)
+    nmf.fit(e, 3, 1, record=folder)
+
+    def lost(self, iteration, objectives):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(nmf.PassRecord, "finish", lost)
+        with pytest.raises(RuntimeError):
+            nmf.fit(e, 3, 2, record=folder)
+    got = nmf.fit(e, 3, 2, record=folder)
+    assert np.allclose(matrix_of_factor(got.w, 14), matrix_of_factor(whole.w, 14))
+
+
+def test_far_ids_give_the_same_factors(spark):
+    a = ratings()[1:, 1:]  # every id has ratings
+    a[:, 0] = a[0] = 1.0
+    e = entries_of(spark, a)
+    near = nmf.fit(e, 3, 2, ids="occurring")
+    far = nmf.fit(e.select((F.col("i") * 10**12 + 3).alias("i"), (F.col("j") * 10**9).alias("j"), "v"), 3, 2, ids="occurring")
+    back = {(r["id"] - 3) // 10**12: r["f"] for r in far.w.collect()}
+    assert {r["id"]: pytest.approx(r["f"]) for r in near.w.collect()} == back
+    assert far.h.count() == a.shape[1]
+    with pytest.raises(ValueError, match="ids must be"):
+        nmf.fit(e, 3, 1, ids="some")
+
+
 def test_no_iterations_and_no_ratings(spark):
     got = nmf.fit(entries_of(spark, ratings()), 2, 0)
     assert got.w.count() == 14 and got.h.count() == 9
@@ -121,14 +208,3 @@ def test_a_supplied_factor_must_cover_the_ratings(spark):
     e = spark.createDataFrame([(1, 1, 2.0), (5, 1, 2.0)], "i bigint, j bigint, v double")
     with pytest.raises(ValueError, match="no row for i"):
         nmf.fit(e, 2, 1, w=factor_of(spark, RNG.random((3, 2))))
-
-
-def test_hot_cells_are_salted_when_their_factor_rows_are_too_many(spark, monkeypatch):
-    a = np.zeros((30, 6))
-    a[:, 2] = 1.0
-    a[4, :] = 2.0
-    monkeypatch.setattr(nmf, "BROADCAST_BYTES", 1)
-    layout = nmf.Ratings(entries_of(spark, a), hot=5)
-    w = RNG.random((30, 2))
-    assert np.allclose(matrix_of_factor(layout.by_row.project(factor_of(spark, w), 2), 6), a.T @ w)
-    layout.release()

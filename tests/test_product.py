@@ -99,6 +99,9 @@ def test_layouts():
     # more tiles repeat more: the replication of a square product grows with the root of the tiles
     few, many = (layout(400, 400, 400, t, block=10, held=1 << 40) for t in (100, 10_000))
     assert few.across <= many.across <= 10 * max(few.across, 1) + 1
+    # a long narrow output is cut along its length
+    long = layout(10_000, 10, 1, 400)
+    assert long.slabs == 1 and long.across == 1 and 300 <= long.down <= 900
     assert layout(1, 1, 1, 8) == product.Layout(1, 1, 1, 1, 1, 1)
     assert layout(0, 0, 0, 8).slabs == 1
 
