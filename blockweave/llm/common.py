@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +48,22 @@ def query_blocks(rows: DataFrame, key: Column, size: Column, limit: int = BLOCK_
 def partitions_for(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
 
+
+def text_runs(texts: pa.Array, limit: int, each: int = 0) -> Iterator[slice]:
+    """Runs of texts of about ``limit`` bytes, a row counting ``each`` bytes more; a longer text is a run of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64) + each)
+    start = 0
+    while start < len(sizes):
+        done = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, done + limit, side="right")))
+        yield slice(start, end)
+        start = end
+
+
+def release_memory() -> None:
+    """Give memory that a worker has freed back to the system, for the stages that reuse the worker."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass

@@ -16,7 +16,7 @@ holds most rows is spread like any other. Sources are a stated set (weights are
 totals, one row each, go through the driver.
 
 Defined results: a null source is a source of its own; null texts have no bytes; documents without bytes
-still get a place. Repeated rows are alike and stand next to each other. Without weights, they are the
+still get a place. Repeated rows have places of their own, like other rows. Without weights, they are the
 square roots of the sources' bytes. An empty table gives no rows. Only the named columns are read by ``schedule``.
 """
 
@@ -125,17 +125,22 @@ def _laid_out(frame: int):
     return run
 
 
-def in_blocks(docs: DataFrame, block_bytes: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``row_hash, doc_id, source, size, at, block``: the seeded order of each source and its blocks; written."""
+def in_blocks(
+    docs: DataFrame, block_bytes: int, seed: int, id_col: str, text_col: str, source_col: str, row_col: str | None = None
+) -> DataFrame:
+    """``row_no, doc_id, source, size, at, block``: the seeded order of each source and its blocks; written.
+
+    A row is known by ``row_col``, a number of its own, or else by one that it gets here.
+    """
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint")
     rows = docs.select(
-        F.xxhash64(id_col, text_col).alias("row_hash"), F.col(id_col).cast("bigint").alias("doc_id"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_no"), F.col(id_col).cast("bigint").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"), size.alias("size"),
     )
-    rows = written(rows.withColumn("key", F.xxhash64(F.lit(seed), "row_hash", "doc_id")), "mix-rows")
+    rows = written(rows, "mix-rows").withColumn("key", F.xxhash64(F.lit(seed), "row_no"))
     buckets = partitions_for(rows.count(), BUCKET_ROWS)
     bucket = F.floor(F.shiftrightunsigned("key", 32) * F.lit(buckets) / F.lit(2.0**32)).cast("int")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "row_no")
     summed = rows.withColumn("bucket", bucket).withColumn(
         "inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     )
@@ -147,22 +152,22 @@ def in_blocks(docs: DataFrame, block_bytes: int, seed: int, id_col: str, text_co
     )
     same = F.col("source").eqNullSafe(F.col("base_source")) & (F.col("bucket") == F.col("base_bucket"))
     at = F.col("base") + F.col("inside")
-    placed = summed.join(bases, same).select("row_hash", "doc_id", "source", "size", at.alias("at"), "key")
+    placed = summed.join(bases, same).select("row_no", "doc_id", "source", "size", at.alias("at"), "key")
     return written(placed.withColumn("block", F.floor(F.col("at") / F.lit(block_bytes))), "mix-blocks")
 
 
 def schedule(
     docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES, seed: int = SEED,
-    frame: int = FRAME, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    frame: int = FRAME, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None,
 ) -> DataFrame:
-    """``row_hash, doc_id, source, size, block, release, deadline, slot, place`` of every document.
+    """``row_no, doc_id, source, size, block, release, deadline, slot, place`` of every document.
 
     Documents sorted by (slot, place) are the mixture; ``release`` and ``deadline`` bound the slot of the block.
     """
     if block_bytes < 1:
         raise ValueError("block_bytes must be positive")
     spark = docs.sparkSession
-    placed = in_blocks(docs, block_bytes, seed, id_col, text_col, source_col)
+    placed = in_blocks(docs, block_bytes, seed, id_col, text_col, source_col, row_col)
     totals = placed.groupBy("source").agg(F.sum("size").alias("bytes"), (F.max("block") + 1).alias("blocks")).collect()
     totals.sort(key=lambda r: (r["source"] is not None, r["source"] or ""))
     names = [r["source"] for r in totals]
@@ -181,17 +186,19 @@ def schedule(
     windows = starts.mapInArrow(_laid_out(frame), WINDOWS).join(F.broadcast(source_rows), "source_no").drop("source_no")
     same = F.col("source").eqNullSafe(F.col("block_source")) & (F.col("block") == F.col("block_no"))
     return placed.join(windows, same).select(
-        "row_hash", "doc_id", "source", "size", "block", "release", "deadline", "slot", F.col("at").alias("place"), "key"
+        "row_no", "doc_id", "source", "size", "block", "release", "deadline", "slot", F.col("at").alias("place"), "key"
     )
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_bytes: int = BLOCK_BYTES, **names: str) -> DataFrame:
     """``docs`` with all rows and columns in the order of the mixture; written files keep it by number."""
-    id_col, text_col = names.get("id_col", "doc_id"), names.get("text_col", "text")
-    slots = schedule(docs, weights, block_bytes, **names)
-    slots = slots.groupBy("row_hash").agg(F.min(F.struct("slot", "place", "key")).alias("mix_at"))
-    # whole rows in one column, so that no name can clash
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(id_col, text_col).alias("row_hash"))
-    order = ["mix_at.slot", "mix_at.place", "mix_at.key", "row_hash"]
-    ordered = keyed.join(slots, "row_hash").repartitionByRange(*order).sortWithinPartitions(*order)
+    # whole rows in one column, so that no name can clash; written, so that a row keeps its number
+    numbered = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("mix_row")), "mix-docs")
+    columns = {c: names.get(f"{c}_col", default) for c, default in (("id", "doc_id"), ("text", "text"), ("source", "source"))}
+    narrow = numbered.select(*[F.col("doc")[name].alias(f"mix_{c}") for c, name in columns.items()], "mix_row")
+    slots = schedule(
+        narrow, weights, block_bytes, id_col="mix_id", text_col="mix_text", source_col="mix_source", row_col="mix_row"
+    ).select(F.col("row_no").alias("mix_row"), "slot", "place", "key")
+    order = ["slot", "place", "key", "mix_row"]
+    ordered = numbered.join(slots, "mix_row").repartitionByRange(*order).sortWithinPartitions(*order)
     return ordered.select("doc.*")

@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import written
+from blockweave.llm.common import release_memory, text_runs, written
 from blockweave.llm.words import WordHashes
 
 GRADES = 3
+#: Bytes of text that a task hashes at once.
+TEXT_BYTES = 4 << 20
 FEATURES = 1 << 18
 #: Most labelled rows used for a fit.
 TRAIN_ROWS = 20_000
@@ -155,6 +157,11 @@ class OrdinalModel:
         score = scores(self.weights, *features(texts, hashes, len(self.weights)))
         return _sigmoid(score[None, :] - self.limits[:, None])
 
+    def tails_of(self, texts: pa.Array, hashes: WordHashes) -> np.ndarray:
+        """The same for a batch, a bounded run of texts at once."""
+        parts = [self.tails(texts[run].to_pylist(), hashes) for run in text_runs(texts, TEXT_BYTES)]
+        return np.concatenate(parts, axis=1) if parts else np.empty((len(self.limits), 0))
+
 
 def compact(flat: np.ndarray, sizes: np.ndarray, kept: np.ndarray, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features as numbers of ``kept`` ones, the others left out."""
@@ -182,10 +189,12 @@ def training_rows(
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            flat, sizes = features(batch.column(0).to_pylist(), hashes)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(offsets, pa.array(flat))
-            yield pa.RecordBatch.from_arrays([lists, batch.column(1)], names=["idx", "grade"])
+            for part in text_runs(batch.column(0), TEXT_BYTES):
+                flat, sizes = features(batch.column(0)[part].to_pylist(), hashes)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(offsets, pa.array(flat))
+                yield pa.RecordBatch.from_arrays([lists, batch.column(1)[part]], names=["idx", "grade"])
+        release_memory()
 
     return written(met.mapInArrow(hashed, "idx array<int>, grade int"), "ordinal-rows")
 
@@ -240,9 +249,10 @@ def grade(docs: DataFrame, model: OrdinalModel, keep: float = KEEP, id_col: str
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            tails = shared.value.tails(batch.column(1).to_pylist(), hashes)
+            tails = shared.value.tails_of(batch.column(1), hashes)
             columns = [batch.column(0), pa.array(tails.sum(axis=0)), pa.array(tails[-1]), pa.array(tails[-1] >= keep)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "expected_grade", "p_top", "keep"])
+        release_memory()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(score, "doc_id bigint, expected_grade double, p_top double, keep boolean")
@@ -255,6 +265,7 @@ def select_good(docs: DataFrame, model: OrdinalModel, keep: float = KEEP, text_c
     def keep_good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.tails(batch.column(at).to_pylist(), hashes)[-1] >= keep))
+            yield batch.filter(pa.array(shared.value.tails_of(batch.column(at), hashes)[-1] >= keep))
+        release_memory()
 
     return docs.mapInArrow(keep_good, docs.schema)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import written
+from blockweave.llm.common import release_memory, text_runs, written
 from blockweave.llm.words import WordHashes, hashed, mix, shingles, text_words
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -45,8 +45,10 @@ REGISTERS = BANDS * ROWS
 #: agreeing ones from which a pair is verified: the similarity less six standard errors.
 LONG_REGISTERS = 1024
 NEAR = SIMILARITY - 6 * (SIMILARITY * (1 - SIMILARITY) / LONG_REGISTERS) ** 0.5
-#: Shingles that a task works on at once, and arrivals of a round at least.
-SHINGLES_AT_ONCE, ARRIVALS = 1_500_000, 60_000
+#: Shingles and registers that a task works on at once, and arrivals of a round at least.
+SHINGLES_AT_ONCE, ARRIVALS = 600_000, 60_000
+#: Bytes of text that make a shingle, at least.
+SHINGLE_BYTES = 5
 #: Members of a bucket in a block.
 BLOCK_ROWS = 256
 _SEED = np.uint64(0x51_7C_C1_B7_27_22_0A_95)
@@ -155,23 +157,24 @@ def _signed(texts: list[str | None], hashes: WordHashes, registers: int) -> list
     return columns
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for a, b in _runs([len(t or "") // 5 for t in texts], SHINGLES_AT_ONCE):
-            keys = pa.array([class_key(t) for t in texts[a:b]], pa.binary())
-            columns = [batch.column(0)[a:b], keys, *_signed(texts[a:b], hashes, REGISTERS)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "cls", "signature", "plain"])
+def _signer(registers: int, names: list[str], with_class: bool):
+    """Rows (id, text) to signatures, a bounded number of shingles and registers at once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for part in text_runs(batch.column(1), SHINGLES_AT_ONCE * SHINGLE_BYTES, registers * SHINGLE_BYTES):
+                texts = batch.column(1)[part].to_pylist()
+                keys = [pa.array([class_key(t) for t in texts], pa.binary())] if with_class else []
+                columns = [batch.column(0)[part], *keys, *_signed(texts, hashes, registers)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        release_memory()
 
-def _sign_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for a, b in _runs([len(t or "") // 5 + LONG_REGISTERS for t in texts], SHINGLES_AT_ONCE):
-            columns = [batch.column(0)[a:b], *_signed(texts[a:b], hashes, LONG_REGISTERS)]
-            yield pa.RecordBatch.from_arrays(columns, names=["rep", "signature", "plain"])
+    return run
+
+
+_sign = _signer(REGISTERS, ["doc_id", "cls", "signature", "plain"], True)
+_sign_long = _signer(LONG_REGISTERS, ["rep", "signature", "plain"], False)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +193,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for n, (x, y) in enumerate(codes.T, low):
                 keep[n] = similarity(sets[x], sets[y]) >= SIMILARITY
         yield batch.select([0, 1]).filter(pa.array(keep))
+    release_memory()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:

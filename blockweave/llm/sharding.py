@@ -1,6 +1,6 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-1. Every row gets its source partition; only ``doc_id``, size and checksum go on, written once.
+1. Every row gets its source partition and a number of its own; only these, ``doc_id``, size and checksum go on, written once.
 2. From the row counts of the partitions the matrix "rows of partition p for shard k" is drawn: it has the
    law of a uniform random assignment with fixed shard sizes (multivariate hypergeometric). It is drawn
    on the driver from one count per partition; no row is seen there.
@@ -11,8 +11,8 @@
 
 Law: ``rows``, shard sizes differ by one at most. Everything that touches rows is DataFrame functions.
 
-Defined results: a null text has size 1 and checksum 0, a null id is kept as null. Repeated rows are
-alike, so which of them takes which slot makes no difference to the result. An empty table gives none.
+Defined results: a null text has size 1 and checksum 0, a null id is kept as null. Repeated rows are permuted by
+their own numbers, so copies spread over all shards and buckets. An empty table gives none.
 Only the named columns are read.
 """
 
@@ -95,7 +95,8 @@ def shuffle_into_shards(
             F.col(id_col).cast("bigint").alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-            F.xxhash64(id_col, text_col).alias("row_hash"),
+            # the row's own number, fixed by the write: copies of a row go their own ways
+            F.monotonically_increasing_id().alias("row_no"),
             F.spark_partition_id().alias("source"),
         ),
         "shard-rows",
@@ -107,18 +108,18 @@ def shuffle_into_shards(
     matrix_rows = spark.createDataFrame(ends, "source int, ends array<bigint>")
 
     # Local permutation; the matrix cuts it into shards. Row number and join share one exchange by source.
-    local = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "row_hash"), "doc_id", "text_crc32", "size")
+    local = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "row_no"), "row_no")
     dealt = rows.withColumn("place", F.row_number().over(local) - 1).join(matrix_rows, "source")
     dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("place"))))
 
     # Exchange and second permutation, over buckets of a shard.
     buckets = partitions_for(partitions_for(total, shards), bucket_rows)
-    second = F.xxhash64(F.lit(seed + 1), "row_hash")
+    second = F.xxhash64(F.lit(seed + 1), "row_no")
     dealt = dealt.select(
-        "doc_id", "size", "text_crc32", "shard", second.alias("key"),
+        "doc_id", "size", "text_crc32", "row_no", "shard", second.alias("key"),
         F.floor(F.shiftrightunsigned(second, 32) * F.lit(buckets) / F.lit(2.0**32)).cast("int").alias("bucket"),
     )
-    inside = Window.partitionBy("shard", "bucket").orderBy("key", "doc_id", "text_crc32", "size")
+    inside = Window.partitionBy("shard", "bucket").orderBy("key", "row_no")
     placed = written(dealt.withColumn("inside", F.row_number().over(inside)), "shard-placed")
     filled = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import written
+from blockweave.llm.common import text_runs, written
 from blockweave.session import BROADCAST_BYTES
 
 WIDTH = 13
@@ -100,16 +100,6 @@ def unpack(payload: bytes, n: int, columns: int) -> np.ndarray:
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u8").reshape(columns, n)
 
 
-def _runs(texts: pa.Array, limit: int) -> Iterator[slice]:
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
-    start = 0
-    while start < len(sizes):
-        done = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, done + limit, side="right")))
-        yield slice(start, end)
-        start = end
-
-
 def smallest_of_equal(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the windows by hash, and for each in this order the smallest document among equal windows."""
     order = np.lexsort((doc, c, h))
@@ -139,7 +129,7 @@ def _send(width: int, buckets: int, run_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cut in _runs(batch.column(2), run_bytes):
+            for cut in text_runs(batch.column(2), run_bytes):
                 ids, tags = (batch.column(c)[cut].to_numpy() for c in (0, 1))
                 h, c, of, place = windows(*split_words(batch.column(2)[cut]), width)
                 doc, place = ids[of], tags[of] * TEXT_STEP + place
@@ -255,7 +245,7 @@ def _removed_words(sizes: np.ndarray, tags: np.ndarray, cuts: pa.Array) -> np.nd
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for cut in _runs(batch.column(2), RUN_BYTES):
+        for cut in text_runs(batch.column(2), RUN_BYTES):
             words, sizes = split_words(batch.column(2)[cut])
             removed = _removed_words(sizes, batch.column(1)[cut].to_numpy(), batch.column(3)[cut])
             lost = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[removed], minlength=len(sizes))

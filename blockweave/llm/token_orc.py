@@ -32,12 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from blockweave.llm.common import release_memory, text_runs
 from blockweave.session import scratch_path
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 STRIPE_BYTES, INDEX_ROWS = 64 * 1024 * 1024, 1_000
 #: Words whose ids a worker remembers, and the text a task turns into ids at once.
-KNOWN_WORDS, TEXT_BYTES = 400_000, 8 * 1024 * 1024
+KNOWN_WORDS, TEXT_BYTES = 150_000, 4 * 1024 * 1024
 # The tokenizer's word pattern on lower-case ASCII text without white space.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on.
@@ -123,22 +124,11 @@ class Words:
         return flat[at].astype(np.int32), np.diff(bounds)
 
 
-def _slices(texts: pa.Array, limit: int) -> Iterator[slice]:
-    """Runs of texts of about ``limit`` bytes; a longer text is a run of its own."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
-    start = 0
-    while start < len(sizes):
-        done = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, done + limit, side="right")))
-        yield slice(start, end)
-        start = end
-
-
 def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, before = Words.of(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for cut in _slices(batch.column(1), TEXT_BYTES):
+            for cut in text_runs(batch.column(1), TEXT_BYTES):
                 doc_ids, texts = batch.column(0)[cut], batch.column(1)[cut]
                 ids, sizes = words.encode(texts, end_id)
                 ends = np.cumsum(sizes)
@@ -153,6 +143,7 @@ def _tokenize(path: str, end_id: int):
                     names=["doc_id", "part", "before", "n_tokens", "ids"],
                 )
                 before += int(ends[-1])
+        release_memory()
 
     return run
 

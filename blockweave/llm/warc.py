@@ -55,7 +55,10 @@ def record_id(page_id: int | None, digest: str, copy: int = 0) -> str:
 def encode_record(
     page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, rid: str
 ) -> bytes:
-    """One WARC/1.1 record; a revisit has the HTTP head only, its payload is in the record it refers to."""
+    """One WARC/1.1 record; a revisit has the HTTP head only, its payload is in the record it refers to.
+
+    Escapes of the URL stay as they are; characters that no URI may hold are escaped. All records have one date, since pages have none.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
@@ -68,9 +71,10 @@ def encode_record(
         f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=''':/?#[]@!$&'()*+,;=~-._''')}")
+        head.append(f"WARC-Target-URI: {quote(url, safe=''':/?#[]@!$&'()*+,;=~-._%''')}")
     if revisit:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        head.append(f"WARC-Refers-To: {record_id(refers_to, digest)}")  # the first copy is the response
         head.append(f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}")
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"

@@ -8,8 +8,8 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"\w+")
-#: Words whose hash a worker remembers.
-KNOWN_WORDS = 500_000
+#: Words whose hash a task remembers, about 200 bytes each.
+KNOWN_WORDS = 100_000
 
 
 class WordHashes(dict):

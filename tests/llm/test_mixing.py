@@ -108,3 +108,26 @@ def test_documents_follow_weights_that_do_not_divide_a_frame(spark):
     for t, r in enumerate(sorted(rows, key=lambda r: r["slot"])[:700], 1):
         done[r["source"]] += 1
         assert all(abs(w * t - done[k]) < 1 + 1e-9 for k, w in weights.items())
+
+
+def test_copies_of_a_row_follow_the_schedule(spark, tmp_path):
+    copies = spark.range(500).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("c" * 100).alias("text"), F.lit("a").alias("source"))
+    others = spark.range(500).select((F.col("id") + 10).alias("doc_id"), F.lit("o" * 100).alias("text"), F.lit("b").alias("source"))
+    same = others.select("doc_id", "text", F.lit("a").alias("source")).where("doc_id < 15")  # equal but for the source
+    docs = copies.unionByName(others).unionByName(same).repartition(4)
+    placed = mixing.schedule(docs, {"a": 1.0, "b": 1.0}, block_bytes=1000)
+    most = placed.where("doc_id = 1").groupBy("slot").count().agg(F.max("count")).first()[0]
+    assert most <= 11 and placed.count() == 1005
+    mixing.mix(docs, {"a": 1.0, "b": 1.0}, block_bytes=1000).write.parquet(str(tmp_path / "m"))
+    got = spark.read.parquet(str(tmp_path / "m"))
+    read = [r["source"] for r in got.select("source", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).orderBy("f", "i").collect()]
+    ahead = 0
+    for source in read[:980]:
+        ahead += 1 if source == "a" else -1
+        assert abs(ahead) <= 24  # two blocks of ten rows, and a part of one
+
+
+def test_no_bucket_holds_all_copies(spark):
+    docs = spark.range(8000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("same").alias("text"), F.lit("a").alias("source"))
+    keys = mixing.in_blocks(docs.repartition(4), 100, 7, "doc_id", "text", "source")
+    assert keys.agg(F.countDistinct("key")).first()[0] == 8000

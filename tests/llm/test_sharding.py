@@ -75,3 +75,15 @@ def test_no_python_in_the_plan_and_empty_table(spark):
     assert sharding.shuffle_into_shards(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         sharding.shuffle_into_shards(docs, shards=0)
+
+
+def test_copies_spread_over_all_shards(spark):
+    rows = [(n % 4, f"value {n % 4}") for n in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = shards(sharding.shuffle_into_shards(docs, bucket_rows=64))
+    table, halves = np.zeros((4, 8)), np.zeros((4, 2))
+    for r in got:
+        table[r["doc_id"], r["shard"]] += 1
+        halves[r["doc_id"], r["slot"] // 250] += 1
+    assert ((table - 125) ** 2 / 125).sum() < 60  # 21 degrees of freedom
+    assert ((halves - 500) ** 2 / 500).sum() < 30

@@ -85,3 +85,22 @@ def test_exported_files(spark, tmp_path):
     for r in files:
         with open(r["path"], "rb") as f:
             assert len(f.read()) == r["bytes"]
+
+
+def test_escapes_stay_and_revisits_name_their_response(spark):
+    urls = ["https://a.b/x%20y?q=%E4", "https://a.b/100%", "https://a.b/p q"]
+    rows = [(n, url, "<p>same</p>") for n, url in enumerate(urls)]
+    bundles = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    got = {r["page_id"]: r for r in warc.read_archives(bundles).collect()}
+    assert [got[n]["url"] for n in range(3)] == [urls[0], urls[1], "https://a.b/p%20q"]
+    heads = []
+    for r in bundles.select("data").collect():
+        table = warc.read_seek_table(r["data"])
+        for frame in range(len(table)):
+            text, at = warc.read_frame(r["data"], frame, table), 0
+            while at < len(text):
+                record, at = warc.decode_record(text, at)
+                heads.append(record["head"])
+    response = [h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"]
+    assert len(response) == 1
+    assert {h["WARC-Refers-To"] for h in heads if h["WARC-Type"] == "revisit"} == set(response)
