@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from blockweave.functions import arrow
 from blockweave.functions.columns import hash_uniform
-from blockweave.operators.reduce import SCHEMA, partial_row, tree_sum
+from blockweave.operators.reduce import SCHEMA, partial_rows, tree_sum
 from blockweave.session import shuffle_partitions
 
 #: Up to this rank FᵀF is a generated aggregate, above it numpy on Arrow batches.
@@ -130,10 +130,10 @@ def gram_matrix(factor: DataFrame, rank: int) -> np.ndarray:
             rows = arrow.to_matrix(batch.column(0))
             if len(rows):
                 total += rows.T @ rows
-        yield partial_row(total)
+        yield partial_rows(total)
 
     partials = factor.select("f").mapInArrow(partial, SCHEMA)
-    total = tree_sum(partials, shuffle_partitions(factor.sparkSession))
+    total = tree_sum(partials, shuffle_partitions(factor.sparkSession), rank * rank)
     return np.zeros((rank, rank)) if total is None else total.reshape(rank, rank)
 
 

@@ -19,9 +19,10 @@ from pyspark.storagelevel import StorageLevel
 
 from blockweave.functions import arrow, kernels
 from blockweave.functions.columns import hash_uniform
-from blockweave.operators.reduce import SCHEMA, partial_row, tree_sum
+from blockweave.operators.reduce import SCHEMA, partial_rows, tree_sum
 from blockweave.operators.stack import assign_stacks, pack, unpack, with_share
 from blockweave.plans import network
+from blockweave.plans.search import wolfe_step
 from blockweave.session import BROADCAST_BYTES, cut
 
 #: ``gradient(batch, weights) -> (gradient sum, loss sum, weight of the batch)``. A batch has
@@ -183,10 +184,10 @@ def sum_gradient(
             sums[:size] += g
             sums[size:] += loss, weight
         if sums[-1]:
-            yield partial_row(sums)
+            yield partial_rows(sums)
 
     try:
-        total = tree_sum(rows.mapInArrow(run, SCHEMA), data.parts)
+        total = tree_sum(rows.mapInArrow(run, SCHEMA), data.parts, size + 2)
     finally:
         shared.destroy()
     if total is None:
@@ -309,10 +310,16 @@ def run_lbfgs(
             pairs.clear()
             direction = -slope
         start = 1.0 if pairs else min(1.0, 1.0 / np.linalg.norm(slope))
-        found = _wolfe(cost, weights, value, slope, direction, start)
+
+        def at(step: float, point=weights, direction=direction):
+            moved = point + step * direction
+            result = cost(moved)
+            return result[0], float(result[1] @ direction), moved, result
+
+        found = wolfe_step(at, value, float(slope @ direction), start)
         if found is None:
             break
-        new_weights, (new_value, new_slope, loss, n) = found
+        new_weights, (new_value, new_slope, loss, n) = found[2:]
         moved, bent = new_weights - weights, new_slope - slope
         if moved @ bent > 1e-12 * (bent @ bent):
             pairs = [*pairs, (moved, bent)][-settings.corrections :]
@@ -342,25 +349,6 @@ def _inverse_product(pairs, slope: np.ndarray) -> np.ndarray:
     return result
 
 
-def _wolfe(cost, weights, value, slope, direction, step, trials: int = 25):
-    """A step with enough decrease and enough flattening, by bracketing and bisection."""
-    low, high = 0.0, np.inf
-    descent = slope @ direction
-    best = None
-    for _ in range(trials):
-        point = weights + step * direction
-        result = cost(point)
-        if not np.isfinite(result[0]) or result[0] > value + 1e-4 * step * descent:
-            high = step
-        else:
-            best = (point, result)
-            if result[1] @ direction >= 0.9 * descent:
-                return best
-            low = step
-        step = 2.0 * step if np.isinf(high) else (low + high) / 2.0
-    return best
-
-
 @dataclass
 class MlpModel:
     """A fitted classifier: the layer sizes, the flat weight vector and the losses on the way."""
