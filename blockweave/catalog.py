@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from blockweave.functions import arrow
 from blockweave.functions.columns import argmax, one_hot
-from blockweave.operators import block, entry, factor, sparse_block, stack
-from blockweave.plans import network, nmf, report, scoring, training
+from blockweave.operators import block, entry, factor, gram_tiles, sparse_block, stack
+from blockweave.plans import network, nmf, report, scoring, table_lbfgs, training
 from blockweave.session import cut, scratch_path
 from blockweave.sources import libsvm, ratings as rating_files
 
@@ -164,7 +164,7 @@ def matrix_multiply(spark, folder):
     a = entry.sum_duplicates(rating_rows(spark, folder))
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("id"))
     h = factor.to_entries(start_h(parts, RANK))
-    return rounded(entry.multiply(a, h), "v")
+    return rounded(entry.multiply(a, h, b_cells=parts.count() * RANK), "v")
 
 
 @query
@@ -307,6 +307,23 @@ def block_sparse_project(spark, folder):
     return rounded(cells.select(F.col("i").alias("j"), F.col("j").alias("k"), "v"), "v")
 
 
+def sample_factor(spark, folder) -> DataFrame:
+    return samples(spark, folder).select(F.col("vec_id").alias("id"), F.col("features").cast("array<double>").alias("f"))
+
+
+@query
+def gram_large_rank(spark, folder):
+    """The embeddings' Gram matrix from symmetric tiles."""
+    return rounded(block.to_entries(gram_tiles.gram_blocks(sample_factor(spark, folder), LAYERS[0], 24)), "v")
+
+
+@query
+def gram_apply(spark, folder):
+    """The embeddings times their Gram matrix, tile by tile."""
+    rows = sample_factor(spark, folder)
+    return rounded(factor.to_entries(gram_tiles.apply_gram(rows, gram_tiles.gram_blocks(rows, LAYERS[0], 24))), "v", places=4)
+
+
 @query
 def block_product(spark, folder):
     a, b = (supply_blocks(spark, folder, c) for c in ("l_quantity", "l_discount"))
@@ -676,6 +693,67 @@ def mlp_relational_fit_2iter(spark, folder):
     return rounded(weights, "w")
 
 
+@query
+def mlp_relational_fraction_step(spark, folder):
+    """One step of the blocked weights over about half of the groups, drawn by the same rule."""
+    weights, _ = training.fit_mlp_relational(
+        samples(spark, folder), LAYERS, key="vec_id", settings=training.SgdSettings(STEP, 1, fraction=0.5),
+        averaging="stack", stack_size=STACK, initial=start_table(spark), draw=formula_uniform,
+    )
+    return rounded(weights, "w")
+
+
+def blocked_fit(spark, folder, **options):
+    return training.fit_mlp(
+        samples(spark, folder), LAYERS, layout="blocks", order_by="vec_id", stack_size=STACK,
+        initial_weights=start_weights(), **options,
+    )
+
+
+@query
+def mlp_blocked_sgd_fit(spark, folder):
+    """The same call as for small models, with the weights in blocks: two steps over the stacks' means."""
+    model = blocked_fit(spark, folder, settings=training.SgdSettings(STEP, 2))
+    return rounded(model.weights_table(spark), "w")
+
+
+@query
+def mlp_blocked_predict(spark, folder):
+    """Classes by a model whose weights are blocks."""
+    model = blocked_fit(spark, folder, settings=training.SgdSettings(STEP, 0))
+    return model.predict(samples(spark, folder), "vec_id")
+
+
+#: Values of a vector in one row of its table.
+SLOT = 16
+
+
+@query
+def lbfgs_relational(spark, folder):
+    """The embeddings' mean, found by L-BFGS over tables as the least point of weighted squared distances."""
+    rows = samples(spark, folder).select(F.posexplode("features").alias("f", "x"))
+    # sums of x and of x squared are all that the squared distances need
+    facts = cut(rows.groupBy("f").agg(F.count("*").alias("n"), F.sum(F.col("x").cast("double")).alias("x")))
+    weight = F.col("f") % 3 + 1
+
+    def cost(point: DataFrame):
+        cells = point.select((F.col("slot") * SLOT).alias("first"), F.posexplode("v").alias("k", "w"))
+        met = cells.withColumn("f", F.col("first") + F.col("k")).join(facts, "f")
+        part = cut(met.select(
+            "first", "k", (weight * (F.col("w") - F.col("x") / F.col("n"))).alias("g"),
+            (weight * F.col("w") * (F.col("w") / 2 - F.col("x") / F.col("n"))).alias("c"),
+        ))
+        listed = part.groupBy((F.col("first") / SLOT).cast("bigint").alias("slot")).agg(F.array_sort(F.collect_list(F.struct("k", "g"))).alias("c"))
+        return part.agg(F.sum("c")).first()[0], listed.select("slot", F.col("c.g").alias("v"))
+
+    width = samples(spark, folder).agg(F.max(F.size("features"))).first()[0]
+    ids = spark.range(-(-width // SLOT)).withColumn("n", F.least(F.lit(SLOT), F.lit(width) - F.col("id") * SLOT).cast("int"))
+    start = ids.select(F.col("id").alias("slot"), F.expr("array_repeat(1D, n)").alias("v"))
+    found, _ = table_lbfgs.minimise(start, cost, tol=1e-12, iterations=15)
+    cells = found.select((F.col("slot") * SLOT).alias("first"), F.posexplode("v").alias("k", "w"))
+    return rounded(cells.select((F.col("first") + F.col("k")).alias("f"), "w"), "w", places=4)
+
+
 @query
 def loss_history(spark, folder):
     history = mlp_fit(spark, folder, 2).loss_history(spark)

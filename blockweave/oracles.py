@@ -240,6 +240,10 @@ w as (select i, k, {start_w()} v from (select distinct i from a) cross join ks)
 select a.j, w.k, round(sum(a.v * w.v), 6) v from a join w on a.i = w.i group by 1, 2""",
         "block_gram": f"""with {X}
 select p.j as i, q.j as j, round(sum(p.v * q.v), 6) + 0.0E0 v from x p join x q on p.i = q.i group by 1, 2""",
+        "gram_large_rank": f"""with {X}
+select p.j as i, q.j as j, round(sum(p.v * q.v), 6) + 0.0E0 v from x p join x q on p.i = q.i group by 1, 2""",
+        "gram_apply": f"""with {X}, g as (select p.j as a, q.j as b, sum(p.v * q.v) v from x p join x q on p.i = q.i group by 1, 2)
+select x.i, g.b as j, round(sum(x.v * g.v), 4) + 0.0E0 v from x join g on x.j = g.a group by 1, 2""",
         "block_product": f"""with {small_blocks('l_quantity', 'l_discount')}
 select i, j, round(m0.v * m1.v, 6) v from m0 join m1 using (i, j)""",
         "block_division": f"""with {small_blocks('l_extendedprice', 'l_quantity')}
@@ -347,6 +351,9 @@ select stack_id, cast(place as integer) stack_pos, cast(label as double) label,
         "mlp_sgd_fraction_step": classifier(WEIGHTS, "drawn", 1),
         "mlp_sgd_row_fit_2iter": classifier(WEIGHTS, "row", 2),
         "mlp_relational_fit_2iter": classifier(WEIGHTS, "row", 2),
+        "mlp_relational_fraction_step": classifier(WEIGHTS, "drawn", 1),
+        "mlp_blocked_sgd_fit": classifier(WEIGHTS, "stack", 2),
+        "lbfgs_relational": f"with {X} select j as f, round(avg(v), 4) + 0.0E0 w from x group by 1",
         "loss_history": classifier(
             "select 1 as iteration, round(loss_sum, 6) loss_sum, round(n, 6) n, round(mean_loss, 6) mean_loss from s0l "
             "union all select 2, round(loss_sum, 6), round(n, 6), round(mean_loss, 6) from s1l",
@@ -364,6 +371,10 @@ select stack_id, cast(place as integer) stack_pos, cast(label as double) label,
             "select vec_id, label, cast(o as double) prediction from embeddings join "
             "(select n, o, row_number() over (partition by n order by u desc, o) r from lastu2) q on q.n = vec_id and r = 1"
         ),
+        "mlp_blocked_predict": classifier(
+            "select n as vec_id, cast(o as double) prediction from "
+            "(select n, o, row_number() over (partition by n order by u desc, o) r from lastu2) q where r = 1"
+        ),
         "mlp_predict_relational": classifier(
             "select n as i, cast(o as double) prediction from "
             "(select n, o, row_number() over (partition by n order by u desc, o) r from lastu2) q where r = 1"

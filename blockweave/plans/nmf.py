@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from blockweave.functions.columns import hash_uniform, vector_dot
-from blockweave.operators import entry, factor, numbering, tiled
-from blockweave.session import cut, shuffle_partitions
+from blockweave.operators import entry, factor, gram_tiles, numbering, tiled
+from blockweave.session import BROADCAST_BYTES, cut, shuffle_partitions
 
 #: A key with fewer cells than this is never treated as hot.
 MIN_HOT_CELLS = 100_000
@@ -101,12 +101,19 @@ class Ratings:
 
 def update_h(ratings: Ratings, w: DataFrame, h: DataFrame, rank: int) -> DataFrame:
     """New H from A, W and H; one row per item."""
-    return factor.update(h, ratings.by_row.project(w, rank), factor.gram_matrix(w, rank))
+    return _updated(h, ratings.by_row.project(w, rank), w, rank)
 
 
 def update_w(ratings: Ratings, w: DataFrame, h: DataFrame, rank: int) -> DataFrame:
     """New W from A, W and H; one row per user."""
-    return factor.update(w, ratings.by_col.project(h, rank), factor.gram_matrix(h, rank))
+    return _updated(w, ratings.by_col.project(h, rank), h, rank)
+
+
+def _updated(rows: DataFrame, projected: DataFrame, other: DataFrame, rank: int) -> DataFrame:
+    """The update of one factor; a Gram matrix above the broadcast limit stays a table."""
+    if 8 * rank * rank > BROADCAST_BYTES:
+        return gram_tiles.update(rows, projected, gram_tiles.gram_blocks(other, rank))
+    return factor.update(rows, projected, factor.gram_matrix(other, rank))
 
 
 def objective(ratings: Ratings, w: DataFrame, h: DataFrame, rank: int) -> float:

@@ -21,7 +21,7 @@ from blockweave.functions import arrow, kernels
 from blockweave.functions.columns import hash_uniform
 from blockweave.operators.reduce import SCHEMA, partial_rows, tree_sum
 from blockweave.operators.stack import assign_stacks, pack, unpack, with_share
-from blockweave.plans import network
+from blockweave.plans import network, table_lbfgs, tiled_network
 from blockweave.plans.search import wolfe_step
 from blockweave.session import BROADCAST_BYTES, cut
 
@@ -394,20 +394,42 @@ def fit_mlp(
     initial_weights: np.ndarray | None = None,
     gradient: Gradient | None = None,
     updater: Updater = plain_step,
-) -> MlpModel:
-    """Train a classifier. Give ``initial_weights`` to start from an earlier model."""
+    layout: str = "auto",
+) -> MlpModel | tiled_network.BlockedModel:
+    """Train a classifier. Give ``initial_weights`` (a vector, or a weights table) to start from an earlier model.
+
+    ``layout`` is where the weights live: ``"vector"`` on the driver and in every task, ``"blocks"`` in a table, and
+    ``"auto"`` takes blocks for models above the broadcast limit. Settings are the same for both. Blocks need
+    labels, not targets, and an ``order_by`` that is a number of its own for each sample (one is made if not given).
+    """
     spark = samples.sparkSession
     network.check_layers(layers)
+    if layout not in ("auto", "vector", "blocks"):
+        raise ValueError('layout must be "auto", "vector" or "blocks"')
     if solver not in ("sgd", "l-bfgs"):
         raise ValueError('solver must be "sgd" or "l-bfgs"')
     settings = settings or (SgdSettings() if solver == "sgd" else LbfgsSettings())
     wanted = SgdSettings if solver == "sgd" else LbfgsSettings
     if not isinstance(settings, wanted):
         raise ValueError(f"solver {solver} needs {wanted.__name__}")
+    large = kernels.weight_count(layers) * 8 > BROADCAST_BYTES
+    if layout == "blocks" or (layout == "auto" and (large or isinstance(initial_weights, DataFrame))):
+        if target is not None or gradient is not None:
+            raise ValueError("weights in blocks need labels and the network's own gradient")
+        if initial_weights is not None and not isinstance(initial_weights, DataFrame):
+            initial_weights = network.weights_table(spark, check_weights(initial_weights, layers), layers)
+        if order_by is None:  # written, so that a sample keeps its number
+            samples, order_by = cut(samples.withColumn("_sample_no", F.monotonically_increasing_id())), "_sample_no"
+        return fit_blocked(
+            _as_arrays(samples), layers, settings, key=order_by, features=features, label=label, stack_size=stack_size,
+            averaging=averaging, seed=seed, initial=initial_weights, updater=updater,
+        )
+    if isinstance(initial_weights, DataFrame):
+        initial_weights = network.weights_vector(initial_weights, layers)
     if initial_weights is not None:
         initial_weights = check_weights(initial_weights, layers)
     elif kernels.weight_count(layers) * 8 > BROADCAST_BYTES:
-        raise ValueError("the model exceeds the broadcast limit; use fit_mlp_relational")
+        raise ValueError("the model exceeds the broadcast limit; keep its weights in blocks")
     else:
         initial_weights = network.weights_vector(
             network.initial_weights(spark, layers, seed), layers
@@ -433,66 +455,88 @@ def fit_mlp_relational(
     layers: list[int],
     *,
     key: str,
-    iterations: int,
+    iterations: int | None = None,
     step: float = 1.0,
+    settings: SgdSettings | None = None,
     features: str = "features",
     label: str = "label",
     share: str | None = None,
+    stack_size: int = 128,
+    averaging: str = "row",
     seed: int = 11,
     initial: DataFrame | None = None,
+    updater: Updater = plain_step,
+    draw: Callable[..., Column] = hash_uniform,
+    unit_block: int = tiled_network.UNIT_BLOCK,
 ) -> tuple[DataFrame, list[Step]]:
-    """Gradient descent for a model too large to broadcast: weights stay a table throughout.
+    """Gradient descent for a model too large to broadcast: weights are blocks throughout.
 
-    ``key`` identifies a sample; ``share`` is its weight (1 gives the plain mean over rows, 1 / size
-    of its stack gives the mean of stack means).
+    ``key`` is a number that identifies a sample; samples lie in groups of ``stack_size`` in its order. The settings
+    are those of ``fit_mlp``; ``fraction`` draws whole groups, and an iteration reads only these. An ``updater`` is applied block by
+    block, so it must work value by value. ``share`` is a sample's weight, on top of ``averaging``.
     """
-    spark = samples.sparkSession
-    network.check_layers(layers)
-    SgdSettings(step=step, iterations=iterations)  # checks both
-    weight = F.col(share) if share else F.lit(1.0)
-    held: list[DataFrame] = []
-
-    def hold(df: DataFrame) -> DataFrame:
-        """Keep a layer for the rest of the pass; a filled cache also keeps its partitioning."""
-        held.append(df.persist(StorageLevel.MEMORY_AND_DISK_DESER))
-        held[-1].count()
-        return held[-1]
-
-    inputs = hold(network.feature_entries(samples, key, features, layers[0]))
-    targets = hold(
-        samples.select(
-            F.col(key).cast("bigint").alias("i"), F.col(label).alias("label"), weight.alias("share")
-        ).repartition("i")
-    )
-    if not targets.where(F.col("i").isNull()).isEmpty() or not targets.groupBy("i").count().where("count > 1").isEmpty():
-        for df in held:
-            df.unpersist()
-        raise ValueError("every sample needs a key of its own")
-    kept = len(held)
-    weights = initial if initial is not None else network.initial_weights(spark, layers, seed)
-    weights = weights.select("layer", "out", "in", "w")
-    history: list[Step] = []
+    settings = settings or SgdSettings(step=step, iterations=100 if iterations is None else iterations)
+    model = fit_blocked(
+        samples, layers, settings, key=key, features=features, label=label, share=share, stack_size=stack_size,
+        averaging=averaging, seed=seed, initial=initial, updater=updater, draw=draw, unit_block=unit_block,
+    )
+    return model.weights_table(samples.sparkSession), model.history
+
+
+def fit_blocked(
+    samples: DataFrame, layers: list[int], settings: SgdSettings | LbfgsSettings, *, key: str, features: str = "features",
+    label: str = "label", share: str | None = None, stack_size: int = 128, averaging: str = "row", seed: int = 11,
+    initial: DataFrame | None = None, updater: Updater = plain_step, draw: Callable[..., Column] = hash_uniform,
+    unit_block: int = tiled_network.UNIT_BLOCK,
+) -> tiled_network.BlockedModel:
+    """A fit whose weights stay blocks, by gradient descent or L-BFGS, as the settings say."""
+    if settings.reg and updater is plain_step:
+        raise ValueError("the plain updater has no penalty; give an updater that uses reg")
+    if isinstance(settings, LbfgsSettings) and settings.reg:
+        raise ValueError("L-BFGS on blocks has no penalty")
+    data = tiled_network.prepare(
+        samples, layers, key=key, features=features, label=label, share=share, group=stack_size,
+        averaging=averaging, unit_block=unit_block,
+    )
     try:
-        for iteration in range(1, iterations + 1):
-            chain = network.forward(inputs, weights, layers, hold)
-            result = network.backward(chain, targets, weights, layers, hold)
-            sums = result.losses.agg(F.sum("loss").alias("loss"), F.sum("share").alias("n")).first()
-            if not sums["n"]:
-                break
-            history.append(Step(iteration, sums["loss"], sums["n"], sums["loss"] / sums["n"]))
-            moved = F.col("w") - F.lit(step / sums["n"]) * F.coalesce("g", F.lit(0.0))
-            # The new weights cut the lineage; the layers of this pass are no longer needed.
-            weights = cut(
-                weights.join(result.gradient, ["layer", "out", "in"], "left").select(
-                    "layer", "out", "in", moved.alias("w")
-                )
-            )
-            while len(held) > kept:
-                held.pop().unpersist()
-        return weights, history
+        weights = tiled_network.start_blocks(samples.sparkSession, layers, data.shape, seed, initial)
+        history: list[Step] = []
+        if data.count and isinstance(settings, LbfgsSettings):
+            n = data.targets.agg(F.sum(F.aggregate("shares", F.lit(0.0), lambda s, x: s + x))).first()[0]
+            found, values = table_lbfgs.minimise(
+                tiled_network.as_vector(weights), tiled_network.cost_of(data),
+                corrections=settings.corrections, tol=settings.tol, iterations=settings.iterations,
+            )
+            weights = cut(tiled_network.from_vector(found, data.shape))
+            history = [Step(k, value * n, n, value) for k, value in values]
+        elif data.count and settings.iterations:
+            weights, history = _blocked_sgd(data, weights, updater, settings, draw)
+        return tiled_network.BlockedModel(list(layers), weights, data.shape, history)
     finally:
-        for df in held:
-            df.unpersist()
+        data.release()
+
+
+def _blocked_sgd(
+    data: tiled_network.TiledSamples, weights: DataFrame, updater: Updater, settings: SgdSettings, draw: Callable[..., Column]
+) -> tuple[DataFrame, list[Step]]:
+    history: list[Step] = []
+    nothing = weights.limit(0)
+    penalty = tiled_network.stepped(weights, nothing, 0.0, updater, 0.0, 1, settings.reg)[1] if settings.reg else 0.0
+    for iteration in range(1, settings.iterations + 1):
+        chosen = draw(F.col("bi"), seed=42 + iteration) < settings.fraction if settings.fraction < 1.0 else None
+        result = tiled_network.sum_gradient(data, weights, chosen)
+        try:
+            if not result.weight:
+                continue
+            history.append(Step(iteration, result.loss, result.weight, result.loss / result.weight + penalty))
+            weights, penalty, moved, size = tiled_network.stepped(
+                weights, result.gradient, 1.0 / result.weight, updater, settings.step, iteration, settings.reg
+            )
+        finally:
+            result.release()
+        if settings.tol and moved < settings.tol * max(size, 1.0):
+            break
+    return weights, history
 
 
 def key_sample(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from blockweave.functions import kernels
 from blockweave.plans import network, scoring, training
+from blockweave.session import cut
 from tests.conftest import matrix_of
 
 RNG = np.random.default_rng(21)
@@ -52,7 +53,7 @@ def test_loss_stays_finite_for_extreme_scores():
     assert loss == pytest.approx(2e4)
 
 
-@pytest.mark.parametrize("hold", [lambda df: df, training.cut])
+@pytest.mark.parametrize("hold", [lambda df: df, cut])
 def test_relational_pass_equals_kernel(spark, hold):
     layers = [5, 4, 6, 3]
     x, y = data(11)
