@@ -36,8 +36,8 @@ ASSIGN_LENGTH, ACCESS_LENGTH = 8, 16
 
 #: Credential contexts of the method; the value follows a separator, or white space after "bearer".
 CONTEXT = re.compile(
-    r"""(?i:(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|"""
-    r"""client[_-]?secret|auth|credentials?))["']?[ \t]{0,4}(?::=|=>|->|[:=])[ \t]{0,4}|(?i:(?<![a-z])bearer[ \t]+)""",
+    r"""(?i:(?<![a-z])(?:pass|auth)|pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|"""
+    r"""private[_-]?key|credentials?)["']?[ \t]*(?::=|=>|->|[:=])[ \t]*|(?i:(?<![a-z])bearer[ \t]+)""",
     re.ASCII,
 )
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer")

@@ -78,3 +78,22 @@ def test_table_has_all_whole_passages(spark):
     want = {(d["doc_id"], i) for d in docs.collect() for i, t in items if f" {t} " in f" {' '.join(text_words(d['text']))} "}
     got = {(r["doc_id"], r["item_id"]) for r in decontam.find_overlaps(docs, bench).collect()}
     assert want <= got
+
+
+def test_short_items_are_all_found(spark):
+    rng = random.Random(11)
+    items = [(n, " ".join(f"i{n}_{k}" for k in range(n))) for n in range(1, 13)] + [(20, "same same same same same same same")]
+    docs = [(0, prose(rng, 40)), (1, " ".join(t for _, t in items))]
+    for n, text in items:
+        words = text_words(text)
+        for k in range(len(words)):
+            for j in range(k, len(words)):
+                changed = [w if m not in (k, j) else "changed" for m, w in enumerate(words)]
+                docs.append((len(docs), f"{prose(rng, 5)} {' '.join(changed)} {prose(rng, 5)}"))
+    got = {}
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    for r in decontam.find_overlaps(table, spark.createDataFrame(items, "item_id bigint, text string")).collect():
+        got[r["doc_id"], r["item_id"]] = max(got.get((r["doc_id"], r["item_id"]), 0), r["length"])
+    want = {(d, i): brute(t, b) for d, t in docs for i, b in items}
+    assert got == {k: v for k, v in want.items() if v}
+    assert {(1, i) for i, _ in items} <= set(got) and not any(d == 0 for d, _ in got)

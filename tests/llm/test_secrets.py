@@ -110,3 +110,10 @@ def test_whole_table_equals_plain_search(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in secrets.scan_secrets(docs).collect():
         assert [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] != "guess"] == plain_spans(texts[r["doc_id"]] or "")
+
+
+@pytest.mark.parametrize("context", ["password      = ", "dbPassword=", "accessToken: ", "authToken\t\t:\t", "DBPASSWORD=", "userPwd = ", "my_api_key => "])
+def test_wide_and_prefixed_contexts(context):
+    spans = secrets.find_spans(f"see {context}Qz$7!mK#x2pL, end")
+    assert any("Qz$7!mK#x2pL".startswith(f"see {context}Qz$7!mK#x2pL, end"[s[1] : s[2]][:4]) and s[0] not in ("assign", "hex", "access") for s in spans), spans
+    assert not secrets.find_spans("bypass = 12, author: someone else, compass: Qz$7!mK#x2pL")
