@@ -38,7 +38,7 @@ from blockweave.session import scratch_path
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 STRIPE_BYTES, INDEX_ROWS = 64 * 1024 * 1024, 1_000
 #: Words whose ids a worker remembers, and the text a task turns into ids at once.
-KNOWN_WORDS, TEXT_BYTES = 150_000, 4 * 1024 * 1024
+KNOWN_WORDS, TEXT_BYTES = 300_000, 8 * 1024 * 1024
 # The tokenizer's word pattern on lower-case ASCII text without white space.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on.
