@@ -6,8 +6,11 @@ of empty lines; they end with their own end tag, that of an enclosing element, o
 (paragraphs, list items, table cells and rows, terms, options). Over windows of ``WINDOW`` lines the text lengths are summed, link text not counted. A surge
 is the first window that reaches the threshold, a dive the first empty one after it; the lines between are
 kept, for every surge of the page. Where a page marks its article or main part, the one with more text weighs in:
-its lines count ``MARKED`` times and with their links, and empty lines part it from what lies outside, which is kept
-where it makes a surge of its own. An article inside an element dropped for its class, id or role counts only if
+its lines count ``MARKED`` times, or as often as its longest window needs to surge, and empty lines part it from
+what lies outside. Surges and dives still choose inside: ``WINDOW`` or more lines in a row that are nothing but
+links are empty there (shorter runs and headlines count with their links), and what follows such a list stays only
+if it surges. Lines outside count a ``MARKED``-th if the marked part surges by its plain lengths, so that a
+teaser beside an article falls out. An article inside an element dropped for its class, id or role counts only if
 the page has no other text.
 
 Defined results: a null html gives an empty text; so does a page without text. A null id or url is kept as
@@ -21,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 
 #: Lines summed in a window, and the text length (code points) of a surge where no article is marked.
 WINDOW, SURGE = 3, 80
-#: Weight of a line in the marked article or main part: any text there makes a surge.
-MARKED = SURGE
+#: Weight of a line in the marked article or main part.
+MARKED = 4
 
 # Element names.
 BLOCKS = set(
@@ -53,8 +57,14 @@ MARKS = set(
     "comments respond disqus replies share sharing social related recommended pagination pager toolbar widget search "
     "copyright legal disclaimer".split()
 )
+#: Words that are marks only where a name begins or ends with them: builders of pages put them amid names of any part.
+EDGE_MARKS = {"ad", "ads", "alert", "aside", "header", "search", "social", "widget"}
+#: Parts that have a header of their own; headings and paragraphs named so are no site header either.
+HEADED = {"article", "entry", "page", "post", "story"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that are the article's own inside it, whatever their class.
+OWN = {"h1", "blockquote", "header"}
 #: Elements that a start tag ends though their end tag is left out, and the elements beyond which it does not reach.
-_HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _ROWS = {"td", "th", "tr"}
 _TABLE = {"table", "template"}
 IMPLIED = {
@@ -66,40 +76,50 @@ IMPLIED = {
     **dict.fromkeys(("td", "th"), ({"td", "th", "caption"}, _TABLE)),
     "tr": (_ROWS | {"caption"}, _TABLE),
     **dict.fromkeys(("tbody", "thead", "tfoot"), (_ROWS | {"tbody", "thead", "tfoot", "caption"}, _TABLE)),
-    **dict.fromkeys(_HEADS, (_HEADS, BLOCKS - _HEADS)),
+    **dict.fromkeys(HEADINGS, (HEADINGS, BLOCKS - HEADINGS)),
 }
 #: Starts that do not end an open paragraph, and what hides a paragraph from the others.
 IN_P = {"html", "head", "body", "legend", "caption", "tbody", "thead", "tfoot", "tr"}
 P_SCOPE = {"table", "caption", "td", "th", "button", "object", "template"}
 CELLS = {"table", "caption", "td", "th", "template"}
-STATE_WORDS = {"has", "with", "no", "without", "is", "js"}
+#: Words behind which a name tells a state or topic of something else.
+STATE_WORDS = {"has", "with", "no", "without", "is", "js", "category", "tag"}
 COMMENT_WORDS = {"comment", "comments", "respond", "disqus", "replies"}
 _WORDS = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _marked(attrs: dict[str, str | None], among: set[str]) -> bool:
-    """Whether a class, id or role begins or ends with one of the words, but for state names like has-sidebar."""
+def _marked(attrs: dict[str, str | None], among: set[str], edges: set[str] = EDGE_MARKS) -> bool:
+    """Whether a class, id or role has one of the words, but behind a state word as in has-sidebar.
+
+    The words in ``edges`` count as the first or last word only, a header not as that of a ``HEADED`` part.
+    """
     for key in ("class", "id", "role"):
         for name in (attrs.get(key) or "").lower().split():
             words = _WORDS.findall(name)
-            if words and words[0] not in STATE_WORDS and (words[0] in among or words[-1] in among):
-                return True
+            told = next((n for n, word in enumerate(words) if word in STATE_WORDS), len(words))
+            for place, word in enumerate(words[:told]):
+                if word not in among or word in edges and place not in (0, len(words) - 1):
+                    continue
+                if word != "header" or not HEADED & set(words):
+                    return True
     return False
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines (text, length of text outside links, zone): zone 2 article, 1 main, 0 other.
+    """Cuts a page into lines (text, length of text outside links, zone, whether a headline).
+
+    Zone 2 is an article, 1 the main part, 0 other.
 
     With ``recover`` an article ends the drop of a marked element around it; ``passed`` tells that there is one.
     """
 
     def __init__(self, recover: bool = False) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.words: list[str] = []
         self.linked = self.article = self.main = self.links = 0
-        self.recover, self.passed, self.by_mark = recover, False, False
+        self.recover, self.passed, self.by_mark, self.headline = recover, False, False, False
         self.stack: list[str] = []
         self.open: Counter[str] = Counter()
         # the dropped element and its place in the stack of open elements
@@ -137,8 +157,8 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.words).split())
         if text:
             zone = 2 if self.article else 1 if self.main else 0
-            self.lines.append((text, max(0, len(text) - self.linked), zone))
-        self.words, self.linked = [], 0
+            self.lines.append((text, max(0, len(text) - self.linked), zone, self.headline))
+        self.words, self.linked, self.headline = [], 0, False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         named = dict(attrs)
@@ -165,9 +185,10 @@ class _Lines(HTMLParser):
             self.dropped, self.depth = tag, len(self.stack) - 1
             self.by_mark = _marked(named, MARKS)
             if not (self.article or self.main):
-                self.lines += [("", 0, 0)] * WINDOW
+                self.lines += [("", 0, 0, False)] * WINDOW
             return
         self.links += tag == "a"
+        self.headline |= tag in HEADINGS
 
     def _goes(self, tag: str, named: dict[str, str | None]) -> bool:
         if tag in ("body", "html"):
@@ -176,7 +197,9 @@ class _Lines(HTMLParser):
             return True
         if "hidden" in named or _HIDDEN.search(named.get("style") or ""):
             return True
-        return _marked(named, MARKS) and not (self.article and tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "header"))
+        if self.article and tag in OWN:
+            return False
+        return _marked(named, MARKS - {"header"} if tag in HEADINGS | {"p"} else MARKS)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML ignores the slash
@@ -235,19 +258,42 @@ def between_surges_and_dives(lengths: list[int], threshold: int, window: int = W
     return kept
 
 
+def _inner_lengths(lines: list[tuple[str, int, bool]]) -> list[int]:
+    """Lengths of lines in the marked part: nothing in lists of links, whole texts in headlines and single links."""
+    lengths = [len(text) if headline else n for text, n, headline in lines]
+    if not any(lengths):
+        return [len(text) for text, _, _ in lines]
+    at = 0
+    for filled, run in groupby(list(lengths), bool):
+        size = sum(1 for _ in run)
+        if not filled and size < WINDOW:
+            lengths[at : at + size] = [len(text) for text, _, _ in lines[at : at + size]]
+        at += size
+    return lengths
+
+
+def _peak(lengths: list[int]) -> int:
+    return max((sum(lengths[i : i + WINDOW]) for i in range(len(lengths))), default=0)
+
+
 def _chosen(parser: _Lines) -> str:
-    texts = {z: sum(len(text) for text, _, zone in parser.lines if zone == z) for z in (2, 1)}
+    texts = {z: sum(len(text) for text, _, zone, _ in parser.lines if zone == z) for z in (2, 1)}
     marked = max(texts, key=lambda z: texts[z])
-    lines, before = [], None
-    for text, n, zone in parser.lines:
-        inside = zone == marked
-        if before not in (None, inside):
+    # (whether marked, texts, lengths) of each stretch of lines inside or outside the marked part
+    parts = []
+    for inside, run in groupby(parser.lines, lambda line: line[2] == marked):
+        lines = [(text, n, headline) for text, n, _, headline in run]
+        parts.append((inside, [t for t, _, _ in lines], _inner_lengths(lines) if inside else [n for _, n, _ in lines]))
+    own = max((_peak(lengths) for inside, _, lengths in parts if inside), default=0)
+    weight = max(MARKED, -(-SURGE // own)) if own else 1
+    lines = []
+    for inside, kept_texts, lengths in parts:
+        if lines:
             lines += [("", 0)] * WINDOW
-        lines.append((text, MARKED * len(text) if inside else n))
-        before = inside
+        weighed = [n * weight if inside else -(-n // MARKED) if own >= SURGE else n for n in lengths]
+        lines += zip(kept_texts, weighed, strict=True)
     lengths = [n for _, n in lines]
-    peak = max((sum(lengths[i : i + WINDOW]) for i in range(len(lengths))), default=0)
-    threshold = min(SURGE, peak)
+    threshold = min(SURGE, _peak(lengths))
     if not threshold:
         return ""
     kept = between_surges_and_dives(lengths, threshold)

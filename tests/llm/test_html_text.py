@@ -114,3 +114,63 @@ def test_end_tags_inside_do_not_end_what_is_dropped():
 )
 def test_a_mark_weighs_but_does_not_replace_surges(page, text):
     assert html_text.main_text(page) == text
+
+
+LINKS = "<ul>" + "".join(f"<li><a href=/{n}>Another page number {n}</a>" for n in range(4)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        # a list of links is a dive inside the article, and what follows it has to surge
+        (f"<article><p>{P}</p>{LINKS}<p>Read on</p></article>", P),
+        (f"<article><p>{P}</p>{LINKS}<p>{P}</p><p>End.</p></article>", f"{P}\n{P}\nEnd."),
+        # fewer links, linked headlines and articles of links alone are text
+        (f"<article><h1><a href=/>Head</a></h1><p>{P}</p><p><a href=/>More</a></p></article>", f"Head\n{P}\nMore"),
+        ("<article><p><a href=/1>One</a></p><p><a href=/2>Two</a></p><p><a href=/3>Three</a></p></article>", "One\nTwo\nThree"),
+        # beside an article that surges a teaser falls out, a long text does not
+        (f"<article><p>{P}</p></article><div>{P}</div>", P),
+        (f"<article><p>{P}</p></article><div>{P} {P} {P} {P}</div>", f"{P}\n{P} {P} {P} {P}"),
+        # low text without a list of links before it stays
+        (f"<article><p>By me</p><div class=ad>Buy</div><p>{P}</p><div class=ad>Buy</div><p>End.</p></article>", f"By me\n{P}\nEnd."),
+    ],
+)
+def test_surges_and_dives_choose_inside_and_beside_the_article(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<p class=ad>x</p>", "<p class=notice>x</p>", "<h2 class=share>x</h2>", "<div class=user-comments-area>x</div>",
+                                  "<div class=the-newsletter-box>x</div>", "<div role=navigation>x</div>", "<div class=site-header>x</div>"])
+def test_marked_parts_of_an_article_go(part):
+    assert html_text.main_text(f"<article><p>{P}</p>{part}<p>{P}</p></article>") == f"{P}\n{P}"
+
+
+@pytest.mark.parametrize("part", ["<div class=entry-header><h1>x</h1></div>", "<blockquote class=promo-quote>x</blockquote>", "<h1 class=share-title>x</h1>",
+                                  "<p class=lead-header>x</p>", "<div class='post category-social'>x</div>", "<div class=builder-widget-text>x</div>",
+                                  "<div class='box has-sidebar'>x</div>", "<div class=content-with-sidebar>x</div>"])
+def test_own_parts_of_an_article_stay(part):
+    assert html_text.main_text(f"<article>{part}<p>{P}</p></article>") == f"x\n{P}"
+
+
+FRAMES = [  # what surrounds the text on pages that mark no article
+    "<body><nav><a href=/>Home</a><a href=/a>News</a></nav>{}<footer>All rights reserved</footer></body>",
+    "<div id=top-menu><ul><li><a href=/>Home</a><li><a href=/a>News</a></ul></div><div id=content>{}</div><div class=site-footer>Us</div>",
+    "<table><tr><td class=sidebar>Side text that is long enough to be taken for a part of the text, were it not for its class name.<td>{}</table>",
+    "<div class=header>Name of the site</div>" + LINKS + "{}" + LINKS,
+    "<form><input name=q><button>Go</button></form><div>{}</div><section id=comments><p>" + P + "</p></section>",
+    "<div class=cookie-consent><p>" + P + "</p></div><div><div>{}</div></div><script>var a = 1</script><aside>Side</aside>",
+]
+BODIES = [
+    [P],
+    ["Head", P],
+    ["Head", P, "Of two words", P],
+    [P, "Short."],
+    [P] * 40,
+]
+
+
+@pytest.mark.parametrize("frame", FRAMES)
+@pytest.mark.parametrize("body", BODIES)
+def test_pages_that_mark_no_article(frame, body):
+    blocks = "".join(f"<h2>{b}</h2>" if b == "Head" else f"<p>{b}</p>" for b in body)
+    assert html_text.main_text(frame.format(blocks)) == "\n".join(body)
