@@ -240,10 +240,12 @@ ORACLE_SQL = {
             from embeddings
             where embedding is not null and vec_id is not null and len(embedding) > 0
               and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+        ), queries as (
+            select vec_id, min(c) as c from v where vec_id % {QUERY_STEP} = 0 group by vec_id
         ), scored as (
             select q.vec_id as query_id, p.vec_id,
                    cast(list_sum(list_transform(list_zip(q.c, p.c), lambda z: z[1] * z[2])) as bigint) as score
-            from v q join v p on q.vec_id % {QUERY_STEP} = 0 and p.vec_id <> q.vec_id and len(p.c) = len(q.c)
+            from queries q join v p on p.vec_id <> q.vec_id and len(p.c) = len(q.c)
         ), ranked as (
             select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank,
                    vec_id, score

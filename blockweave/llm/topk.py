@@ -1,18 +1,21 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
 Each dimension of a chunk of candidates is a sorted list, read from the end that serves the sign of the
-query's component. All lists are read in step, deeper in each round. After a round a candidate's score
-has an upper bound (an unread component is at most the last value read) and a lower bound (at least the
-list's far end). Reading stops for a query when nobody outside the survivors can still qualify; survivors
-(upper bound not below the k-th lower bound) get their final scores. Bounds of all queries of a block
-come from a few matrix products per round: a component that has been read is itself, any other is clipped.
+query's component. All lists are read in step, deeper in each round, and each entry once: it raises its
+candidate's lower bound (an unread component is at least the list's far end) by what it is above that end. Candidates
+not yet seen score at most the sum of the last values read; while that reaches the k-th lower bound,
+reading goes on. Then seen candidates get upper bounds (an unread component is at most the last value
+read), and reading stops when few survivors (upper bound not below the k-th lower bound) are left; these get
+their final scores. A chunk whose list heads stay below the k-th score reached before is not read. Where lists are
+read to their end, the lower bounds are the scores.
 
 Vectors become integers by floor(scale * x) first, and all bounds are integers below 2**53 in doubles, so
 they are exact. Larger components are scored in Python integers instead (same result, and scores beyond
 64 bits are clipped).
 
-Queries are a stated set; blocks of bounded size are broadcast and meet every candidate once per block.
-Each task keeps k rows a query; these are merged by score and id.
+Queries are a stated set; blocks of bounded size meet every candidate once per block, and the rows found for a
+block are written before the next one comes to the driver. Each task keeps k rows a query; these are merged by
+score and id.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do
 null ids; lengths must match the query's. A query leaves out the rows with its own id; of rows that repeat
@@ -23,19 +26,22 @@ each count. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import BLOCK_BYTES, query_blocks
+from blockweave.llm.common import BLOCK_BYTES, query_blocks, written
 
 SCALE = 256
 #: Candidates whose lists are sorted together, queries bounded together.
 CHUNK, QUERIES = 4096, 256
-#: First depth of reading; it doubles each round.
-FIRST_DEPTH = 64
+#: First depth of reading, and its growth each round.
+FIRST_DEPTH, DEEPER = 64, 4
+#: Rounds of more than this share of a list are added as a matrix product of the entries read.
+DENSE = 1 / 8
 #: Survivors per wanted row at which reading stops and final scores are resolved.
 RESOLVE = 8
 EXACT = 2.0**53
@@ -65,39 +71,83 @@ def _resolve(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in scores], dtype=np.int64)
 
 
+class SortedLists:
+    """The dimensions of a chunk of candidates as sorted lists."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors
+        self.order = np.argsort(vectors, axis=0)
+        self.values = np.take_along_axis(vectors, self.order, axis=0)  # column d is the list of dimension d
+        self.least, self.most = self.values[0], self.values[-1]
+        self.place = np.empty_like(self.order)
+        np.put_along_axis(self.place, self.order, np.arange(len(vectors))[:, None], axis=0)
+        #: Entries read, over all queries.
+        self.read = 0
+
+    def add(self, lower: np.ndarray, plus: np.ndarray, minus: np.ndarray, start: int, end: int) -> None:
+        """Read all lists from one depth to the next, from the top for ``plus`` and the bottom for ``minus``."""
+        n, dims = self.vectors.shape
+        self.read += (end - start) * dims * lower.shape[1]
+        if end - start > DENSE * n:
+            top = (self.place >= n - end) & (self.place < n - start)
+            bottom = (self.place >= start) & (self.place < end)
+            lower += (self.vectors - self.least) * top @ plus
+            lower += (self.vectors - self.most) * bottom @ minus
+            return
+        for d in range(dims):
+            top, bottom = slice(n - end, n - start), slice(start, end)
+            if plus[d].any():
+                lower[self.order[top, d]] += (self.values[top, d] - self.least[d])[:, None] * plus[d]
+            if minus[d].any():
+                lower[self.order[bottom, d]] += (self.values[bottom, d] - self.most[d])[:, None] * minus[d]
+
+
 def top_of_chunk(
-    queries: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray
-) -> list[tuple[np.ndarray, np.ndarray]]:
+    queries: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray, lists: SortedLists | None = None
+) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the (ids, scores) in a chunk that can still be among its k best.
 
     ``floor`` holds the k-th score each query has reached before; nothing below it needs reading.
     """
-    n, kth = len(ids), floor.astype(float).copy()
-    result: list = [None] * len(queries)
-    if max(np.abs(queries).max(), 1.0) * np.abs(vectors).max() * vectors.shape[1] >= EXACT:
+    n, result = len(ids), [(ids[:0], np.empty(0, np.int64))] * len(queries)
+    # lower bounds and what is added to them stay below four times the largest score
+    if 4 * max(np.abs(queries).max(), 1.0) * max(np.abs(vectors).max(), 1.0) * vectors.shape[1] >= EXACT:
         for j, q in enumerate(queries):
             other = ids != own[j]
             result[j] = ids[other], _resolve(q, vectors[other])
         return result
-    lists = np.sort(vectors, axis=0)  # column d is the sorted list of dimension d
-    least, most = lists[0], lists[-1]
-    todo, depth = np.arange(len(queries)), FIRST_DEPTH
+    lists = lists or SortedLists(vectors)
+    plus, minus = np.maximum(queries, 0).T, np.minimum(queries, 0).T
+    todo = np.flatnonzero(lists.most @ plus + lists.least @ minus >= floor)
+    plus, minus, kth = plus[:, todo], minus[:, todo], floor[todo].astype(float)
+    mine = ids[:, None] == own[todo]
+    lower = np.tile(lists.least @ plus + lists.most @ minus, (n, 1))
+    lower[mine] = -np.inf
+    before, depth = 0, min(FIRST_DEPTH, n)
     while len(todo):
-        depth = min(depth, n)
-        low_end, high_end = lists[depth - 1], lists[n - depth]
-        plus, minus = np.maximum(queries[todo], 0).T, np.minimum(queries[todo], 0).T
-        upper = np.maximum(vectors, high_end) @ plus + np.minimum(vectors, low_end) @ minus
-        lower = np.where(vectors >= high_end, vectors, least) @ plus + np.where(vectors <= low_end, vectors, most) @ minus
-        mine = ids[:, None] == own[todo][None, :]
-        lower[mine], upper[mine] = -np.inf, -np.inf
+        lists.add(lower, plus, minus, before, depth)
         if n > k:
-            kth[todo] = np.maximum(kth[todo], np.partition(lower, n - k, axis=0)[n - k])
-        alive = (upper >= kth[todo][None, :]) & ~mine
-        done = (alive.sum(axis=0) <= RESOLVE * k) | (depth == n)
-        for at in np.flatnonzero(done):
-            rows = np.flatnonzero(alive[:, at])
-            result[todo[at]] = ids[rows], _resolve(queries[todo[at]], vectors[rows])
-        todo, depth = todo[~done], 2 * depth
+            kth = np.maximum(kth, np.partition(lower, n - k, axis=0)[n - k])
+        high, low = lists.values[n - depth], lists.values[depth - 1]
+        unseen = high @ plus + low @ minus
+        done = np.full(len(todo), depth == n)
+        at = np.flatnonzero(done | (unseen < kth))
+        alive = lower[:, at]
+        if depth < n and len(at):
+            alive = alive + ((high - lists.least) * (lists.place < n - depth)) @ plus[:, at]
+            alive += ((low - lists.most) * (lists.place >= depth)) @ minus[:, at]
+        alive = (alive >= kth[at]) & ~mine[:, at]
+        for column, j in enumerate(at):
+            rows = np.flatnonzero(alive[:, column])
+            if depth == n:
+                result[todo[j]] = ids[rows], lower[rows, j].astype(np.int64)
+            elif len(rows) <= RESOLVE * k:
+                result[todo[j]] = ids[rows], _resolve(queries[todo[j]], vectors[rows])
+                done[j] = True
+        go = ~done
+        if not go.all():
+            todo, kth, plus, minus, mine, lower = todo[go], kth[go], plus[:, go], minus[:, go], mine[:, go], lower[:, go]
+        before, depth = depth, min(DEEPER * depth, n)
     return result
 
 
@@ -136,9 +186,10 @@ def _search(block: list[tuple[int, list[float]]], k: int):
                 for a in range(0, len(rows), CHUNK):
                     part = rows[a : a + CHUNK]
                     x = flat[starts[part][:, None] + np.arange(length)]
+                    lists = SortedLists(x) if len(part) else None
                     for b in range(0, len(own), QUERIES):
                         cut = slice(b, b + QUERIES)
-                        found = top_of_chunk(queries[cut], own[cut], ids[part], x, k, best[length].floor[cut])
+                        found = top_of_chunk(queries[cut], own[cut], ids[part], x, k, best[length].floor[cut], lists)
                         for j, (i, s) in enumerate(found):
                             best[length].add(b + j, i, s)
         for length, (own, _) in by_length.items():
@@ -167,11 +218,13 @@ def top_k(
         raise ValueError("k must be positive")
     candidates = integer_vectors(vectors, id_col, vec_col, scale)
     queries = candidates.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    result = None
+    found: list[DataFrame] = []
     for block in query_blocks(queries, F.col("vec_id"), F.size("v") * 8, block_bytes):
+        if found:  # the driver holds one block at a time
+            found[-1] = written(found[-1], "topk_block")
         rows = [(r["vec_id"], r["v"]) for r in block.collect()]
-        found = candidates.mapInArrow(_search(rows, k), SCHEMA)
-        result = found if result is None else result.unionByName(found)
+        found.append(candidates.mapInArrow(_search(rows, k), SCHEMA))
+    result = reduce(DataFrame.unionByName, found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     ranked = result.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -78,3 +78,31 @@ def test_reading_stops_before_the_end_where_scores_differ(monkeypatch):
     monkeypatch.setattr(np, "where", lambda *a: (depths.append(1), where(*a))[1])
     result = topk.top_of_chunk(np.full((1, 8), 100.0), np.array([-1]), np.arange(4096), x, 5, np.array([-np.inf]))
     assert set(range(5)) <= set(result[0][0].tolist()) and len(depths) <= 4 and sort is np.sort
+
+
+def searched(x, queries, k=5, floor=-math.inf):
+    import numpy as np
+
+    lists = topk.SortedLists(x)
+    n = len(queries)
+    found = topk.top_of_chunk(queries, np.full(n, -1), np.arange(len(x)), x, k, np.full(n, floor), lists)
+    for q, (ids, scores) in zip(queries, found, strict=True):
+        whole = x @ q
+        best = [i for i in np.lexsort((np.arange(len(x)), -whole))[:k] if whole[i] >= floor]
+        assert [i for i in ids[np.lexsort((ids, -scores))][:k] if whole[i] >= floor] == best
+        assert (scores == whole[ids]).all()
+    return lists.read / (x.size * n)
+
+
+def test_entries_are_read_once_and_only_as_deep_as_needed():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    skewed = np.floor(256 * rng.normal(0, 1, (4096, 4)) ** 3)
+    positive = np.abs(skewed) * rng.integers(1, 50, (4096, 1))  # lists that agree on their best, far ends at zero
+    assert searched(positive, np.abs(np.floor(rng.normal(0, 100, (20, 4))))) < 0.3
+    assert searched(skewed, np.floor(rng.normal(0, 100, (20, 4)))) < 1
+    assert searched(np.floor(rng.normal(0, 256, (4096, 64))), np.floor(rng.normal(0, 256, (8, 64)))) <= 1
+    assert searched(np.zeros((300, 3)), np.ones((2, 3))) == 1
+    assert searched(skewed, np.ones((3, 4)), floor=1e12) == 0
+    assert searched(skewed[:, :1], np.array([[1.0], [-1.0], [0.0]])) < 0.5
