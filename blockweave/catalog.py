@@ -21,6 +21,8 @@ from blockweave.sources import libsvm, ratings as rating_files
 RANK = 8
 LAYERS = [64, 16, 10]
 STACK = 48
+#: Groups of stacks from which a fit draws.
+GROUPS = 8
 STEP = 0.5
 TALL = (128, 32)
 SMALL = (48, 3)
@@ -679,6 +681,15 @@ def mlp_sgd_fraction_step(spark, folder):
     return rounded(network.weights_table(spark, weights, LAYERS), "w")
 
 
+@query
+def mlp_sgd_fraction_fit(spark, folder):
+    """Three steps, each over about half of the groups of stacks, drawn by a rule that SQL can repeat; others are not read."""
+    settings = training.SgdSettings(STEP, 3, fraction=0.5, groups=GROUPS)
+    data = training.prepare(samples(spark, folder), stack_size=STACK, order_by="vec_id", fraction=settings.fraction, groups=settings.groups)
+    weights, _ = training.run_sgd(data, start_weights(), training.network_gradient(LAYERS), settings=settings, draw=formula_uniform)
+    return rounded(network.weights_table(spark, weights, LAYERS), "w")
+
+
 @query
 def mlp_sgd_row_fit_2iter(spark, folder):
     return rounded(mlp_fit(spark, folder, 2, "row").weights_table(spark), "w")

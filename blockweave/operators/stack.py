@@ -128,11 +128,13 @@ PACK_BYTES = 1 << 20
 SPARSE_BELOW = 0.4
 
 
-def pack(rows: DataFrame, stack_size: int | None) -> DataFrame:
+def pack(rows: DataFrame, stack_size: int | None, by: str | None = None) -> DataFrame:
     """Samples ``(features, label | target [, share])`` as rows of many samples in bytes.
 
     With ``stack_size`` the share of a row is 1 / size of its stack, stacks being formed in arrival
     order inside a partition. Single-precision features stay so; mostly zero features are kept sparse.
+    With ``by``, a column of whole numbers, a packed row holds samples of one number and tells it; rows of one
+    number should lie together.
     """
     kind = rows.schema["features"].dataType.elementType.typeName()
     dtype = np.float32 if kind == "float" else np.float64
@@ -141,11 +143,13 @@ def pack(rows: DataFrame, stack_size: int | None) -> DataFrame:
         "n int, width int, single boolean, places binary, features binary, "
         f"{result} binary, share binary"
     )
+    if by is not None:
+        schema += f", {by} bigint"
 
     def run(batches):
         if stack_size is not None:
             batches = share_by_stack(batches, stack_size)
-        for batch in map(with_share, batches):
+        for batch, number in numbered(map(with_share, batches)):
             lengths = pc.list_value_length(batch.column("features"))
             # Uneven vectors are packed apart; the caller sees the widths and refuses them.
             for width in pc.unique(lengths).to_pylist():
@@ -158,9 +162,18 @@ def pack(rows: DataFrame, stack_size: int | None) -> DataFrame:
                 share = same.column("share").to_numpy()
                 step = max(1, PACK_BYTES // (x.itemsize * max(width, 1)))
                 for a in range(0, len(x), step):
-                    yield _packed(x[a : a + step], y[a : a + step], share[a : a + step])
-
-    def _packed(x, y, share):
+                    yield _packed(x[a : a + step], y[a : a + step], share[a : a + step], number)
+
+    def numbered(batches):
+        for batch in batches:
+            if by is None:
+                yield batch, None
+                continue
+            numbers = batch.column(by)
+            for number in pc.unique(numbers):
+                yield batch.filter(pc.equal(numbers, number)), number.as_py()
+
+    def _packed(x, y, share, number):
         flat = x.reshape(-1)
         places = np.flatnonzero(flat)
         if places.size < SPARSE_BELOW * flat.size:
@@ -171,6 +184,8 @@ def pack(rows: DataFrame, stack_size: int | None) -> DataFrame:
         types = [pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         arrays = [pa.array([c], t) for c, t in zip(cells, types, strict=True)]
         names = ["n", "width", "single", "places", "features", result, "share"]
+        if by is not None:
+            arrays, names = [*arrays, pa.array([number], pa.int64())], [*names, by]
         return pa.RecordBatch.from_arrays(arrays, names)
 
     return rows.mapInArrow(run, schema)

@@ -107,6 +107,8 @@ def small_blocks(*columns: str) -> str:
 # --- classifier: 64-16-10 with formula weights ---------------------------------------------------
 
 STACK = 48
+#: Groups of stacks from which a fit draws.
+GROUPS = 8
 STEP = "0.5E0"
 CELLS = """
 cells as (select 1 as layer, o, f, ((o*31 + f*17) % 97 / 97.0E0 * 4.8E0 - 2.4E0) / sqrt(64.0E0) w
@@ -129,7 +131,15 @@ t as (select n, label, 1.0E0 / count(*) over (partition by s) share,
   1.0E0 * (select count(distinct s) from t0) total from t0)"""
 
 
-def network(name: str, weights: str) -> str:
+def drawn_groups(name: str, iteration: int, groups: int) -> str:
+    """Shares of the samples in the groups of stacks that an iteration draws, about half."""
+    return f"""{name}0 as (select vec_id n, label, (row_number() over (order by vec_id) - 1) // {STACK} s from embeddings),
+{name}1 as (select * from {name}0 where ((s % {groups}) * 386117 + {(42 + iteration) * 104729}) % 1000003 / 1000003.0E0 < 0.5E0),
+{name} as (select n, label, 1.0E0 / count(*) over (partition by s) share,
+  1.0E0 * (select count(distinct s) from {name}1) total from {name}1)"""
+
+
+def network(name: str, weights: str, shares: str = "t") -> str:
     """CTEs of one forward and backward pass; ``{name}g`` is the mean gradient (layer, o, f, g)."""
     p = name
     return f"""
@@ -139,15 +149,15 @@ def network(name: str, weights: str) -> str:
 {p}u2 as (select n, o, sum(w*x) u from {p}x2 b join {weights} c on c.layer = 2 and c.f = b.f group by 1, 2),
 {p}e as (select n, o, u, exp(u - max(u) over (partition by n)) e, max(u) over (partition by n) m from {p}u2),
 {p}p as (select n, o, u, e / sum(e) over (partition by n) p, u - m - ln(sum(e) over (partition by n)) lp from {p}e),
-{p}d2 as (select n, o, (p - case when o = label then 1 else 0 end) * share d from {p}p join t using (n)),
+{p}d2 as (select n, o, (p - case when o = label then 1 else 0 end) * share d from {p}p join {shares} t using (n)),
 {p}l as (select sum(-lp * share) loss_sum, max(total) n, sum(-lp * share) / max(total) mean_loss
-  from {p}p join t using (n) where o = label),
+  from {p}p join {shares} t using (n) where o = label),
 {p}d1 as (select q.n, q.f o, q.d * (1 - z) * z d from
   (select n, f, sum(w*d) d from {p}d2 d join {weights} c on c.layer = 2 and c.o = d.o and c.f >= 0 group by 1, 2) q
   join {p}z1 z on z.n = q.n and z.o = q.f),
-{p}g as (select 1 as layer, d.o, b.f, sum(d*x) / max(total) g from {p}d1 d join x1 b on b.n = d.n join t on t.n = d.n group by 2, 3
+{p}g as (select 1 as layer, d.o, b.f, sum(d*x) / max(total) g from {p}d1 d join x1 b on b.n = d.n join {shares} t on t.n = d.n group by 2, 3
   union all
-  select 2 as layer, d.o, b.f, sum(d*x) / max(total) g from {p}d2 d join {p}x2 b on b.n = d.n join t on t.n = d.n group by 2, 3)"""
+  select 2 as layer, d.o, b.f, sum(d*x) / max(total) g from {p}d2 d join {p}x2 b on b.n = d.n join {shares} t on t.n = d.n group by 2, 3)"""
 
 
 def stepped(name: str, weights: str, gradient: str) -> str:
@@ -155,6 +165,15 @@ def stepped(name: str, weights: str, gradient: str) -> str:
   join {gradient} g on g.layer = c.layer and g.o = c.o and g.f = c.f)"""
 
 
+def group_fit(select: str, steps: int, groups: int) -> str:
+    """Steps that each draw groups of stacks anew."""
+    ctes, weights = [CELLS, INPUTS], "cells"
+    for n in range(steps):
+        ctes += [drawn_groups(f"t{n}_", n + 1, groups), network(f"s{n}", weights, f"t{n}_"), stepped(f"w{n + 1}", weights, f"s{n}g")]
+        weights = f"w{n + 1}"
+    return "with " + ",\n".join([*ctes, f"final_w as (select * from {weights})"]) + "\n" + select
+
+
 def classifier(select: str, share: str = "row", steps: int = 0) -> str:
     """A query over ``steps`` gradient steps and one more pass on the last weights (named ``last``)."""
     ctes = [CELLS, INPUTS, SHARES[share]]
@@ -349,6 +368,7 @@ select stack_id, cast(place as integer) stack_pos, cast(label as double) label,
         "mlp_sgd_step": classifier(WEIGHTS, "stack", 1),
         "mlp_sgd_fit_2iter": classifier(WEIGHTS, "stack", 2),
         "mlp_sgd_fraction_step": classifier(WEIGHTS, "drawn", 1),
+        "mlp_sgd_fraction_fit": group_fit(WEIGHTS, 3, GROUPS),
         "mlp_sgd_row_fit_2iter": classifier(WEIGHTS, "row", 2),
         "mlp_relational_fit_2iter": classifier(WEIGHTS, "row", 2),
         "mlp_relational_fraction_step": classifier(WEIGHTS, "drawn", 1),

@@ -23,7 +23,10 @@ from blockweave.operators.reduce import SCHEMA, partial_rows, tree_sum
 from blockweave.operators.stack import assign_stacks, pack, unpack, with_share
 from blockweave.plans import network, table_lbfgs, tiled_network
 from blockweave.plans.search import wolfe_step
-from blockweave.session import BROADCAST_BYTES, cut
+from blockweave.session import BROADCAST_BYTES, cut, scratch_path, shuffle_partitions
+
+#: Most groups in which a fraction is drawn: the numbers drawn are listed in a condition.
+MOST_GROUPS = 4096
 
 #: ``gradient(batch, weights) -> (gradient sum, loss sum, weight of the batch)``. A batch has
 #: ``features``, ``label`` or ``target``, and ``share``: the weight of each row.
@@ -76,11 +79,25 @@ class TrainingData:
     packed: bool
     #: Width of the feature vectors, 0 without data.
     width: int = 0
+    #: Number of groups that are drawn whole, 0 where stacks or rows are drawn.
+    groups: int = 0
 
     @property
     def empty(self) -> bool:
         return self.count == 0
 
+    def drawn(self, fraction: float, seed: int, draw: Callable[..., Column]) -> DataFrame:
+        """The samples of an iteration; of groups only the files of those drawn are read."""
+        if fraction == 1.0:
+            return self.rows
+        if self.groups:
+            numbers = self.rows.sparkSession.range(self.groups).where(draw(F.col("id"), seed=seed) < fraction)
+            # as many numbers as groups at most
+            return self.rows.where(F.col("_group").isin([r["id"] for r in numbers.collect()]))
+        if self.packed:
+            raise ValueError("prepare the samples with the same fraction")
+        return self.rows.where(draw(F.col("stack_id" if "stack_id" in self.rows.columns else "_draw"), seed=seed) < fraction)
+
     def release(self) -> None:
         self.rows.unpersist()
 
@@ -103,8 +120,16 @@ def prepare(
     averaging: str = "stack",
     order_by: str | None = None,
     fraction: float = 1.0,
+    groups: int = 0,
 ) -> TrainingData:
-    """Choose columns, form stacks, persist, and count once."""
+    """Choose columns, form stacks, persist, and count once.
+
+    With a fraction and ``groups`` the samples are packed into that many groups (stacks by their number, rows by the hash
+    of their key or content) and written to the checkpoint folder, a directory for each group, so that an
+    iteration reads the groups that it draws and no others.
+    """
+    if not 0 <= groups <= MOST_GROUPS:
+        raise ValueError(f"groups must be between 0 and {MOST_GROUPS}")
     if averaging not in ("stack", "row"):
         raise ValueError('averaging must be "stack" or "row"')
     if stack_size < 1:
@@ -128,6 +153,8 @@ def prepare(
             rows = _as_arrays(samples.select(*picked))
             drawn = ["_order"] if order_by is not None else ["features", name]
             rows = rows.withColumn("_draw", F.xxhash64(*drawn)).drop("_order")
+    if fraction < 1.0 and groups:
+        return _in_groups(rows, groups)
     packed = fraction == 1.0
     if packed:
         rows = pack(_as_arrays(rows.drop("stack_id")), stream_size)
@@ -145,6 +172,22 @@ def prepare(
     return TrainingData(rows, facts[0] or 0, facts[1], packed, facts[3] or 0)
 
 
+def _in_groups(rows: DataFrame, groups: int) -> TrainingData:
+    """Samples packed by group. A group may take many tasks, as rows are dealt by ranges of group and place."""
+    place = "stack_id" if "stack_id" in rows.columns else "_draw"
+    rows = _as_arrays(rows).withColumn("_group", F.pmod(place, F.lit(groups)).cast("bigint"))
+    dealt = rows.repartitionByRange("_group", place, F.spark_partition_id()).sortWithinPartitions("_group", place)
+    packed = pack(dealt.drop("stack_id", "_draw"), None, "_group")
+    path, schema = scratch_path(rows.sparkSession, "samples"), packed.schema
+    packed.write.partitionBy("_group").parquet(path)
+    packed = rows.sparkSession.read.schema(schema).parquet(path)
+    facts = packed.agg(F.sum("n"), F.count("*"), F.min("width"), F.max("width")).first()
+    if facts[2] != facts[3]:
+        raise ValueError(f"feature vectors have between {facts[2]} and {facts[3]} values")
+    parts = min(facts[1], shuffle_partitions(rows.sparkSession) + groups)  # files, about
+    return TrainingData(packed, facts[0] or 0, parts, True, facts[3] or 0, groups)
+
+
 def sum_gradient(
     data: TrainingData,
     gradient: Gradient,
@@ -155,19 +198,13 @@ def sum_gradient(
 ) -> tuple[np.ndarray, float, float]:
     """Gradient sum, loss sum and total weight over all samples, or over a sample of the stacks.
 
-    ``draw`` is a number in [0, 1) from the stack (or row) and the seed, by default a hash.
+    ``draw`` is a number in [0, 1) from the stack (or row, or group) and the seed, by default a hash.
     """
     spark = data.rows.sparkSession
     if weights.nbytes > BROADCAST_BYTES:
-        raise ValueError("the weights exceed the broadcast limit; use fit_mlp_relational")
-    rows, packed = data.rows, data.packed
-    if fraction < 1.0:
-        if packed:
-            raise ValueError("prepare the samples with the same fraction")
-        if "stack_id" in rows.columns:
-            rows = rows.where(draw(F.col("stack_id"), seed=seed) < fraction)
-        else:
-            rows = rows.where(draw(F.col("_draw"), seed=seed) < fraction)
+        raise ValueError("the weights exceed the broadcast limit; keep them in blocks")
+    packed = data.packed
+    rows = data.drawn(fraction, seed, draw).drop("_group")
     if not packed:
         rows = _as_arrays(rows.drop("stack_id", "_draw"))
     size = weights.size
@@ -208,6 +245,8 @@ class SgdSettings:
     fraction: float = 1.0
     #: 0 runs all iterations; above 0 the fit stops when the weights settle.
     tol: float = 0.0
+    #: Groups in which a fraction is drawn, so that an iteration reads only these; 0 draws stack by stack from all.
+    groups: int = 0
 
     def __post_init__(self):
         _check(self.step > 0, "step must be positive")
@@ -215,6 +254,7 @@ class SgdSettings:
         _check(self.reg >= 0, "reg must not be negative")
         _check(0 < self.fraction <= 1, "fraction must be above 0 and at most 1")
         _check(0 <= self.tol <= 1, "tol must be between 0 and 1")
+        _check(0 <= self.groups <= MOST_GROUPS, f"groups must be between 0 and {MOST_GROUPS}")
 
 
 @dataclass(frozen=True)
@@ -437,6 +477,7 @@ def fit_mlp(
     data = prepare(
         samples, features=features, label=label, target=target, stack_size=stack_size,
         averaging=averaging, order_by=order_by, fraction=getattr(settings, "fraction", 1.0),
+        groups=getattr(settings, "groups", 0),
     )
     try:
         if gradient is None and not data.empty and data.width != layers[0]:

@@ -207,6 +207,52 @@ def test_sampling_takes_whole_stacks_and_may_take_none(spark):
     assert all(0 < s.n < 60 for s in rows.history)
 
 
+@pytest.mark.parametrize("averaging", ["stack", "row"])
+def test_groups_are_drawn_whole_and_others_not_read(spark, averaging):
+    x, y = data(90)
+    w = weights_of()
+    df = table(spark, x, y)
+    prepared = training.prepare(df, stack_size=4, averaging=averaging, order_by="id", fraction=0.5, groups=6)
+    gradient = training.network_gradient(LAYERS)
+    whole = training.prepare(df, stack_size=4, averaging=averaging, order_by="id")
+    assert (prepared.count, prepared.width) == (90, whole.width)
+    # groups drawn one by one add up to the whole
+    parts = [
+        training.sum_gradient(prepared, gradient, w, 0.5, 0, lambda i, seed, g=g: F.when(i == g, 0.0).otherwise(1.0))
+        for g in range(6)
+    ]
+    total, loss, n = training.sum_gradient(whole, gradient, w)
+    assert np.allclose(sum(p[0] for p in parts), total)
+    assert sum(p[1] for p in parts) == pytest.approx(loss) and sum(p[2] for p in parts) == pytest.approx(n)
+    assert all(p[2] > 0 for p in parts)
+    if averaging == "stack":
+        assert [round(p[2]) for p in parts] == [4, 4, 4, 4, 4, 3]
+    drawn = prepared.drawn(0.5, 43, lambda i, seed: F.when(i < 2, 0.0).otherwise(1.0))
+    files = lambda rows: {r["f"] for r in rows.select(F.input_file_name().alias("f")).collect()}
+    assert files(drawn) < files(prepared.rows) and all("_group=0" in f or "_group=1" in f for f in files(drawn))
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_group" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    whole.release()
+
+
+def test_fit_by_groups(spark):
+    x, y = data(60)
+    df = table(spark, x, y)
+    settings = SgdSettings(0.1, 6, fraction=0.5, groups=5)
+    a = training.fit_mlp(df, LAYERS, settings=settings, stack_size=4, order_by="id", seed=2)
+    b = training.fit_mlp(df.repartition(5), LAYERS, settings=settings, stack_size=4, order_by="id", seed=2)
+    assert np.allclose(a.weights, b.weights) and all(s.n < 15.5 for s in a.history)
+    # copies of a row lie in one group; nothing is lost
+    copies = df.limit(1).crossJoin(spark.range(50).select(F.lit(1).alias("copy"))).drop("copy")
+    prepared = training.prepare(copies, averaging="row", fraction=0.5, groups=5)
+    assert prepared.count == 50
+    w = weights_of()
+    nothing = training.fit_mlp(df.limit(0), LAYERS, settings=settings, stack_size=4, initial_weights=w)
+    assert nothing.history == [] and np.allclose(nothing.weights, w)
+    with pytest.raises(ValueError):
+        SgdSettings(fraction=0.5, groups=10**6)
+
+
 def test_key_sample(spark):
     df = spark.range(20_000)
     got = training.key_sample(df, "id", 0.3, 5)
