@@ -92,3 +92,61 @@ def test_sample_is_bounded_and_no_labels_keep_all(spark):
     assert ordinal.training_rows(docs, labels, 40).count() == 40
     model = ordinal.fit(docs, labels.limit(0))
     assert {r["keep"] for r in ordinal.grade(docs, model).collect()} == {True}
+
+
+def brute_fit(x, grades, penalty, rounds=60):
+    """Newton's method on the penalised likelihood of dense features, derivatives by complex steps and differences."""
+
+    def loss(params):
+        cut = params[-2] + np.array([0, np.exp(params[-1])])
+        score = x @ params[:-2]
+        at_most = [1 / (1 + np.exp(score - c)) for c in cut]
+        p = np.choose(grades, [at_most[0], at_most[1] - at_most[0], 1 - at_most[1]])
+        return -np.log(p).sum() + 0.5 * penalty * (params[:-2] ** 2).sum()
+
+    def slope(params):
+        steps = 1e-20j * np.eye(len(params))
+        return np.array([loss(params + s).imag for s in steps]) / 1e-20
+
+    params = np.zeros(x.shape[1] + 2)
+    for _ in range(rounds):
+        g = slope(params)
+        if np.abs(g).max() < 1e-8:
+            break
+        bend = np.array([slope(params + s) - slope(params - s) for s in 1e-5 * np.eye(len(params))]) / 2e-5
+        values, axes = np.linalg.eigh((bend + bend.T) / 2)
+        move = -axes @ ((axes.T @ g) / np.maximum(np.abs(values), 1e-3))
+        step = 1.0
+        while loss(params + step * move) > loss(params) and step > 1e-9:
+            step /= 2
+        params = params + step * move
+    return params, loss
+
+
+def test_fit_is_that_of_newtons_method_on_dense_features(spark):
+    rng = random.Random(8)
+    words = {0: ["foul", "vile", "red", "blue"], 1: ["meh", "red", "blue", "green"], 2: ["fine", "neat", "blue", "green"]}
+    rows = []
+    for k in range(120):
+        grade = rng.choice([0, 1, 2])
+        source = words[grade if rng.random() < 0.8 else rng.choice([0, 1, 2])]
+        rows.append((k, " ".join(rng.choices(source, k=rng.randint(1, 5))), grade))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(g == 2), int(g == 0)) for k, _, g in rows], "doc_id bigint, quality int, toxic int")
+    flat, sizes = ordinal.features([t for _, t, _ in rows], WordHashes())
+    dense = np.zeros((len(rows), ordinal.FEATURES), bool)
+    dense[np.repeat(np.arange(len(rows)), sizes), flat] = True
+    kept = np.flatnonzero(dense.sum(axis=0) >= 2)
+    x, grades = dense[:, kept].astype(float), np.array([g for *_, g in rows])
+    best, loss = brute_fit(x, grades, ordinal.PENALTY)
+    model = ordinal.fit(docs, labels)
+    gap = np.log(np.diff(model.limits))
+    found = np.concatenate([model.weights[kept].astype(float), model.limits[:1], gap])
+    assert loss(found) <= loss(best) + 1e-3 * abs(loss(best))
+    assert set(np.flatnonzero(model.weights)) <= set(kept)
+    p_top = 1 / (1 + np.exp(best[-2] + np.exp(best[-1]) - x @ best[:-2]))
+    got = {r["doc_id"]: r for r in ordinal.grade(docs, model).collect()}
+    assert np.allclose([got[k]["p_top"] for k in range(120)], p_top, atol=0.03)
+    clear = np.abs(p_top - ordinal.KEEP) > 0.03
+    assert clear.mean() > 0.8
+    assert all(got[k]["keep"] == (p_top[k] >= ordinal.KEEP) for k in np.flatnonzero(clear))
