@@ -19,8 +19,10 @@ connected component. Hot exact classes and buckets are never gathered: minima ar
 shuffle, joins back are splittable by adaptive execution, and blocks of a bucket are bounded.
 
 Defined results: rows without an id take no part. Null texts are empty; texts without words are in one class
-if their characters are equal. Shorter texts than five words are one shingle. Rows with the same id are the
-same document and have the same class. An empty table gives none. Only the two named columns are read.
+if their characters are equal. Shorter texts than five words are one shingle. Each row gives a row: rows with the
+same id and the same words have the same class, rows with one id and different texts that of their own text, so an
+id may then have several (``keep_one`` keeps one row of such an id if it stands for a class, whichever comes first).
+An empty table gives none. Only the two named columns are read.
 """
 
 from __future__ import annotations

@@ -23,6 +23,7 @@ import hashlib
 import os
 import struct
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -206,13 +207,29 @@ def index(bundles: DataFrame) -> DataFrame:
     )
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of bundles, frame by frame; payload digests of responses are computed again."""
+def _row(record: dict) -> tuple:
+    """A record as a row of ``RECORDS``; the payload digest of a response is computed again."""
+    number = lambda x: int(x) if x else None
+    head, payload = record["head"], record["payload"]
+    revisit = head["WARC-Type"] == "revisit"
+    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+    if not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+        raise ValueError(f"payload of {head['WARC-Record-ID']} does not have its digest")
+    return (number(head["X-Page-ID"]), head.get("WARC-Target-URI"), None if revisit else payload, record["stated"],
+            digest, head["WARC-Type"], number(head.get("X-Refers-To-Page-ID")))
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
     schema = pa.schema(
         [("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()),
          ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
     )
-    number = lambda x: int(x) if x else None
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of bundles, frame by frame."""
     for batch in batches:
         for data in batch.column(0):
             bundle = data.as_py()
@@ -221,17 +238,21 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text, at, rows = read_frame(bundle, frame, table), 0, []
                 while at < len(text):
                     record, at = decode_record(text, at)
-                    head, payload = record["head"], record["payload"]
-                    revisit = head["WARC-Type"] == "revisit"
-                    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                        raise ValueError(f"payload of {head['WARC-Record-ID']} does not have its digest")
-                    rows.append(
-                        (number(head["X-Page-ID"]), head.get("WARC-Target-URI"), None if revisit else payload, record["stated"],
-                         digest, head["WARC-Type"], number(head.get("X-Refers-To-Page-ID")))
-                    )
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    rows.append(_row(record))
+                yield _rows(rows)
+
+
+def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of bundles at given places (frame, offset); only the frames that hold one are decompressed."""
+    for batch in batches:
+        for data, places in zip(batch.column(0), batch.column(1), strict=True):
+            bundle, offsets = data.as_py(), defaultdict(list)
+            for place in places.as_py():
+                offsets[place["frame"]].append(place["offset"])
+            table = read_seek_table(bundle)
+            for frame in sorted(offsets):
+                text = read_frame(bundle, frame, table)
+                yield _rows([_row(decode_record(text, at)[0]) for at in sorted(offsets[frame])])
 
 
 def read_archives(bundles: DataFrame) -> DataFrame:
@@ -239,6 +260,18 @@ def read_archives(bundles: DataFrame) -> DataFrame:
     return bundles.select("data").mapInArrow(_unpack, RECORDS)
 
 
+def read_records(bundles: DataFrame, wanted: DataFrame, id_col: str = "record_id") -> DataFrame:
+    """The records with the wanted ids, as ``read_archives`` gives them; unknown, null and repeated ids add nothing.
+
+    The index maps ids to places by a join; bundles without a wanted record are not opened, and of the others
+    only the frames that hold one. A bundle's list of places is bounded by its records.
+    """
+    ids = wanted.select(F.col(id_col).alias("record_id")).distinct()
+    places = index(bundles).join(ids, "record_id", "left_semi")
+    lists = places.groupBy("bundle").agg(F.collect_list(F.struct("frame", "offset")).alias("places"))
+    return bundles.join(lists, "bundle").select("data", "places").mapInArrow(_pick, RECORDS)
+
+
 def read_record(bundle: bytes, frame: int, offset: int) -> dict:
     """One record by its place: decompresses a single frame."""
     return decode_record(read_frame(bundle, frame), offset)[0]

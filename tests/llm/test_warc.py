@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -104,3 +105,28 @@ def test_escapes_stay_and_revisits_name_their_response(spark):
     response = [h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"]
     assert len(response) == 1
     assert {h["WARC-Refers-To"] for h in heads if h["WARC-Type"] == "revisit"} == set(response)
+
+
+def test_wanted_records_are_read_through_the_index(spark, monkeypatch):
+    rows = [(n, f"u{n}", f"<p>page {n % 40}</p>" + "x" * 3000) for n in range(60)]
+    bundles = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    whole = {r["page_id"]: r for r in warc.read_archives(bundles).collect()}
+    ids = {n: warc.record_id(n, whole[n]["payload_digest"], 0) for n in range(60)}
+    wanted = [3, 17, 43, 59]
+    table_of = [(ids[n], 1) for n in wanted] + [(ids[3], 2), ("<unknown>", 3), (None, 4)]
+    asked = spark.createDataFrame(table_of, "record_id string, frame int")
+    got = {r["page_id"]: r for r in warc.read_records(bundles, asked).collect()}
+    assert sorted(got) == wanted and all(got[n] == whole[n] for n in wanted)
+    assert warc.read_records(bundles, asked.limit(0)).count() == 0
+    # of a bundle only the frames with a wanted record are decompressed
+    monkeypatch.setattr(warc, "FRAME_BYTES", 5000)
+    bundle = warc._Bundle("b")
+    for n in range(10):
+        bundle.add(f"<{n}>", warc.encode_record(n, "u", b"y" * 3000, digest("y" * 3000), None, False, f"<{n}>"))
+    row = bundle.row().to_pylist()[0]
+    read, plain = [], warc.read_frame
+    monkeypatch.setattr(warc, "read_frame", lambda data, frame, table=None: (read.append(frame), plain(data, frame, table))[1])
+    places = [{"frame": row["frames"][n], "offset": row["offsets"][n]} for n in (7, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array([row["data"]]), pa.array([places])], names=["data", "places"])
+    assert [r["page_id"] for part in warc._pick(iter([batch])) for r in part.to_pylist()] == [0, 7]
+    assert read == [row["frames"][0], row["frames"][7]] and max(row["frames"]) > 3
