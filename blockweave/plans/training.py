@@ -246,6 +246,7 @@ class SgdSettings:
     #: 0 runs all iterations; above 0 the fit stops when the weights settle.
     tol: float = 0.0
     #: Groups in which a fraction is drawn, so that an iteration reads only these; 0 draws stack by stack from all.
+    #: Weights in blocks always draw groups of the stack size.
     groups: int = 0
 
     def __post_init__(self):

@@ -249,6 +249,8 @@ def test_fit_by_groups(spark):
     w = weights_of()
     nothing = training.fit_mlp(df.limit(0), LAYERS, settings=settings, stack_size=4, initial_weights=w)
     assert nothing.history == [] and np.allclose(nothing.weights, w)
+    rare = training.fit_mlp(df, LAYERS, settings=SgdSettings(0.1, 2, fraction=1e-6, groups=5), stack_size=4)
+    assert rare.history == []
     with pytest.raises(ValueError):
         SgdSettings(fraction=0.5, groups=10**6)
 
