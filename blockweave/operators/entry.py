@@ -106,6 +106,9 @@ def multiply(
     ``hot_pairs`` pairs, is split: each side gets its own salt and is repeated over the other side's salts.
     The table of such indices is made once and broadcast only if it is small. Pass ``hot=None`` when no inner
     index can hold many entries on either side.
+
+    A side of unknown size asks for a merge join: Spark's estimate of exploded factor rows leaves the explosion out, and
+    adaptive execution would broadcast them through the driver once the table of split indices turns out empty.
     """
     left, right = a.alias("a"), b.alias("b")
     on = F.col("a.j") == F.col("b.i")
@@ -114,11 +117,13 @@ def multiply(
     elif _fits(a_cells):
         pairs = F.broadcast(left).join(right, on)
     elif hot is None:
-        pairs = left.join(right, on)
+        pairs = left.join(right.hint("merge"), on)
     else:
         keys = cut(_hot_inner_keys(a, b, hot, hot_pairs))
         if _fits(keys.count()):
             keys = F.broadcast(keys)
+        else:
+            keys = keys.hint("merge")
 
         def other(name: str) -> Column:
             return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(name), F.lit(1)) - 1))
@@ -137,7 +142,7 @@ def multiply(
             .alias("b")
         )
         on = on & (F.col("a.sa") == F.col("b.sa")) & (F.col("a.sb") == F.col("b.sb"))
-        pairs = left.join(right, on)
+        pairs = left.join(right.hint("merge"), on)
     return (
         pairs.select(
             F.col("a.i").alias("i"), F.col("b.j").alias("j"), (F.col("a.v") * F.col("b.v")).alias("v")

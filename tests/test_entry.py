@@ -127,3 +127,16 @@ def test_square_of_any_matrix(spark, cells):
     df = spark.createDataFrame([(i, j, float(v)) for i, j, v in cells], "i bigint, j bigint, v double")
     e = entry.sum_duplicates(df)
     assert np.array_equal(matrix_of(entry.multiply(e, e, hot=4), m.shape), m @ m)
+
+
+def test_exploded_rows_of_unknown_size_are_not_broadcast(spark):
+    """No index is split, so the table of split ones is empty and the side's estimate leaves its explosion out."""
+    a = spark.range(2000).select(F.col("id").alias("i"), (F.col("id") % 500).alias("j"), F.lit(1.0).alias("v")).repartition(3)
+    ids = spark.range(500).select("id", F.array_repeat(F.lit(2.0), 8).alias("f"))
+    b = ids.select(F.col("id").alias("i"), F.posexplode("f").alias("j", "v")).withColumn("j", F.col("j").cast("bigint"))
+    for options in ({}, {"hot": None}):
+        got = entry.multiply(a, b, **options)
+        assert len(got.collect()) == 16_000
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "SortMergeJoin" in plan
+        assert "BroadcastHashJoin [j#" not in plan
