@@ -434,8 +434,9 @@ def start_factors(spark, folder, rank: int) -> dict[str, DataFrame]:
     return {"w": start_w(spark.range(size["rows"]), rank), "h": start_h(spark.range(size["cols"]), rank)}
 
 
-def ratings_fit(spark, folder, iterations: int, rank: int = RANK, **options) -> nmf.Factors:
-    return nmf.fit(rating_rows(spark, folder), rank, iterations, **start_factors(spark, folder, rank), **options)
+def ratings_fit(entries: DataFrame, iterations: int, rank: int = RANK, **options) -> nmf.Factors:
+    """A fit from repeatable factors for all ids up to the largest one that is rated."""
+    return nmf.fit(entries, rank, iterations, w=lambda ids: start_w(ids, rank), h=lambda ids: start_h(ids, rank), **options)
 
 
 def both_factors(fitted: nmf.Factors) -> DataFrame:
@@ -449,27 +450,30 @@ def both_factors(fitted: nmf.Factors) -> DataFrame:
 @query
 def nmf_fit_2iter(spark, folder):
     """Both factors of the ratings after two passes; ids without ratings have zero rows."""
-    return both_factors(ratings_fit(spark, folder, 2))
+    return both_factors(ratings_fit(rating_rows(spark, folder), 2))
 
 
 @query
 def nmf_fit_rank16(spark, folder):
     """One pass at a rank whose Gram matrices are summed by batch kernels."""
-    return both_factors(ratings_fit(spark, folder, 1, 16))
+    return both_factors(ratings_fit(rating_rows(spark, folder), 1, 16))
 
 
 @query
 def nmf_fit_hot(spark, folder):
     """One pass with every id of more than a few cells dealt over its whole stripe."""
-    return both_factors(ratings_fit(spark, folder, 1, hot=60))
+    return both_factors(ratings_fit(rating_rows(spark, folder), 1, hot=60))
 
 
 @query
 def nmf_fit_resumed(spark, folder):
     """A fit that is stopped after its first pass and taken up again."""
-    record = scratch_path(spark, "passes")
-    ratings_fit(spark, folder, 1, record=record)
-    return both_factors(ratings_fit(spark, folder, 2, record=record))
+    record, cells = scratch_path(spark, "passes"), scratch_path(spark, "cells")
+    # both runs read the summed ratings from one table
+    entry.sum_duplicates(rating_rows(spark, folder)).write.parquet(cells)
+    summed = spark.read.parquet(cells)
+    ratings_fit(summed, 1, unique=True, record=record)
+    return both_factors(ratings_fit(summed, 2, unique=True, record=record))
 
 
 @query
@@ -494,7 +498,7 @@ def nmf_objective(spark, folder):
 
 @query
 def fit_summary(spark, folder):
-    return report.fit_summary(rating_rows(spark, folder), ratings_fit(spark, folder, 1), *RATINGS)
+    return report.fit_summary(rating_rows(spark, folder), ratings_fit(rating_rows(spark, folder), 1), *RATINGS)
 
 
 # --- classifier: coding, layout, stacks ---------------------------------------------------------

@@ -6,7 +6,9 @@ factor row to the tiles of its stripe, adds inside the tile, and adds the tiles'
 tiles a factor row is copied and a sum is sent about sqrt(T) times, where a layout by one index sends T sums of it.
 
 An id that holds more than an even share of the cells is hot: its cells are dealt over its stripe's whole length by their other id,
-and its factor row goes to every tile. There are at most as many such ids as partitions.
+and its factor row goes to every tile that holds cells of it; these tiles are kept as a table. By the default share there are
+at most as many such ids as partitions; where a caller asks for a low share there may be many, and a row still goes to no
+more tiles than its id has cells.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.storagelevel import StorageLevel
 
 from blockweave.functions import arrow
 from blockweave.operators import block, factor, product
+from blockweave.session import BROADCAST_BYTES, ENTRY_BYTES, cut
 
 #: Cells a tile should hold at most, and cells a task packs at once.
 TILE_CELLS, PACK_CELLS = 4_000_000, 1_000_000
@@ -70,8 +73,15 @@ def _group(index: str, groups: int, other: bool = False) -> Column:
     return F.pmod(place, F.lit(groups)).cast("int")
 
 
-def _among(index: str, hot: list[int]) -> Column:
-    return F.col(index).isin(hot) if hot else F.lit(False)
+def _marked(df: DataFrame, index: str, hot: list[int], name: str) -> DataFrame:
+    """``df`` with a column that says whether an id is hot."""
+    if not hot:
+        return df.withColumn(name, F.lit(False))
+    ids = pa.table({"hot_id": pa.array(hot, pa.int64()), name: pa.array([True] * len(hot))})
+    table = df.sparkSession.createDataFrame(ids)
+    table = F.broadcast(table) if len(hot) * ENTRY_BYTES <= BROADCAST_BYTES else table.hint("merge")
+    found = df.join(table, F.col(index) == F.col("hot_id"), "left").drop("hot_id")
+    return found.withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 class TiledMatrix:
@@ -82,27 +92,34 @@ class TiledMatrix:
     ):
         self.tiling, self.partitions = tiling, partitions
         grid = tiling.grid
-        hot_i, hot_j = _among("i", hot_rows), _among("j", hot_cols)
+        marked = _marked(_marked(cells, "i", hot_rows, "hot_i"), "j", hot_cols, "hot_j")
         # the stripe of a hot id is open: the other id decides
-        bi = F.when(hot_i, _group("j", grid.row_blocks, True)).otherwise(_group("i", grid.row_blocks))
-        bj = F.when(hot_j, _group("i", grid.col_blocks, True)).otherwise(_group("j", grid.col_blocks))
-        placed = cells.select(bi.alias("bi"), bj.alias("bj"), "i", "j", "v").select(
-            block.tile_number(grid, tiling.sides).alias("tile"), "i", "j", "v"
+        bi = F.when(F.col("hot_i"), _group("j", grid.row_blocks, True)).otherwise(_group("i", grid.row_blocks))
+        bj = F.when(F.col("hot_j"), _group("i", grid.col_blocks, True)).otherwise(_group("j", grid.col_blocks))
+        placed = marked.select(bi.alias("bi"), bj.alias("bj"), "i", "j", "v", "hot_i", "hot_j").select(
+            block.tile_number(grid, tiling.sides).alias("tile"), "i", "j", "v", "hot_i", "hot_j"
         )
-        packs = placed.mapInArrow(_pack, PACKED).repartition(partitions, "tile")
+        packs = placed.select("tile", "i", "j", "v").mapInArrow(_pack, PACKED).repartition(partitions, "tile")
         if reuse:
             packs = packs.persist(StorageLevel.MEMORY_AND_DISK)
             # a filled cache tells later plans how it is partitioned
             packs.count()
         self.packs, self._reuse = packs, reuse
-        self.by_row = Side(self, "i", "j", hot_rows)
-        self.by_col = Side(self, "j", "i", hot_cols)
+        self.by_row = Side(self, "i", "j", hot_rows, _places(placed, "i", hot_rows))
+        self.by_col = Side(self, "j", "i", hot_cols, _places(placed, "j", hot_cols))
 
     def release(self) -> None:
         if self._reuse:
             self.packs.unpersist()
 
 
+def _places(placed: DataFrame, index: str, hot: list[int]) -> DataFrame | None:
+    """``tile, id``: the tiles that hold cells of each hot id."""
+    if not hot:
+        return None
+    return cut(placed.where(F.col(f"hot_{index}")).select("tile", F.col(index).alias("id")).distinct())
+
+
 @dataclass
 class Side:
     """The product with factor rows of ``key``: sums for each id of ``other``."""
@@ -111,6 +128,7 @@ class Side:
     key: str
     other: str
     hot_keys: list[int]
+    hot_places: DataFrame | None = None
 
     def routed(self, factor_rows: DataFrame) -> DataFrame:
         """``tile, id, f``: factor rows in every tile that may hold their cells."""
@@ -123,9 +141,13 @@ class Side:
             first, step, count = F.expr(f"cast(g div {width} * {down} as int)"), 1, down
             groups = grid.col_blocks
         stripe = F.sequence(first, first + F.lit(step * (count - 1)), F.lit(step))
-        every = F.sequence(F.lit(0), F.lit(tiling.tiles - 1))
-        tiles = F.when(_among("id", self.hot_keys), every).otherwise(stripe) if self.hot_keys else stripe
-        return factor_rows.select("id", "f", _group("id", groups).alias("g")).select(F.explode(tiles).alias("tile"), "id", "f")
+        marked = _marked(factor_rows.select("id", "f"), "id", self.hot_keys, "hot")
+        plain = marked.where(~F.col("hot")).select("id", "f", _group("id", groups).alias("g"))
+        plain = plain.select(F.explode(stripe).alias("tile"), "id", "f")
+        if self.hot_places is None:
+            return plain
+        spread = marked.where("hot").select("id", "f").join(self.hot_places.hint("merge"), "id")
+        return plain.unionAll(spread.select("tile", "id", "f"))
 
     def partial_sums(self, factor_rows: DataFrame, rank: int) -> DataFrame:
         """``id, f``: for each tile, the sum of v·f over its cells of each other id."""

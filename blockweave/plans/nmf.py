@@ -23,6 +23,8 @@ from blockweave.session import BROADCAST_BYTES, cut, shuffle_partitions
 
 #: A key with fewer cells than this is never treated as hot.
 MIN_HOT_CELLS = 100_000
+#: Cells for each partition of the tiles, unless the caller sets their number: fewer tiles copy fewer factor rows.
+PARTITION_CELLS = 2_000_000
 
 
 class Ratings:
@@ -41,7 +43,6 @@ class Ratings:
         reuse: bool = True,
         unique: bool = False,
     ):
-        self._parts = partitions or shuffle_partitions(entries.sparkSession)
         self._hot = hot
         self._reuse = reuse
         cells = entries.select("i", "j", "v") if unique else entry.sum_duplicates(entries)
@@ -56,6 +57,10 @@ class Ratings:
             self.release()
             raise ValueError(f"{facts[3]} ratings have a null or negative id, or no value")
         self.count = facts[0]
+        # enough partitions for the cells and for all cores, and no more than the session's
+        spark = entries.sparkSession
+        wanted = max(-(-self.count // PARTITION_CELLS), 2 * spark.sparkContext.defaultParallelism)
+        self._parts = partitions or min(wanted, shuffle_partitions(spark))
         #: ‖A‖², needed by every objective.
         self.square = facts[4]
         self.rows = 0 if facts[1] is None else facts[1] + 1
@@ -217,8 +222,8 @@ def fit(
     iterations: int,
     *,
     seed: int = 11,
-    w: DataFrame | None = None,
-    h: DataFrame | None = None,
+    w: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
+    h: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     partitions: int | None = None,
     track_objective: bool = False,
     hot: int | None = None,
@@ -233,7 +238,8 @@ def fit(
     an earlier one and a lost executor costs at most that pass. ``ids="all"`` gives a row to every id from 0 to the
     largest, ``"occurring"`` only to those that have ratings, whatever numbers they are. With ``record``, a shared folder,
     every pass is written there and a fit that was stopped goes on behind its last whole pass; the factors
-    returned are read from that folder. ``uniform`` gives the start values from place, rank index and seed.
+    returned are read from that folder. ``w`` and ``h`` are start factors, or functions that make them from all ids up to
+    the largest rated one. ``uniform`` gives the start values from place, rank index and seed.
     """
     if rank < 1:
         raise ValueError("rank must be at least 1")
@@ -245,9 +251,10 @@ def fit(
     try:
         rows, cols = ratings.rows, ratings.cols
         for index, given in (("i", w), ("j", h)):
-            if given is not None:
+            if given is not None and not callable(given):
                 _check_covered(ratings.cells, index, given)
         spark = entries.sparkSession
+        w, h = (f(spark.range(size)) if callable(f) else f for f, size in ((w, rows), (h, cols)))
         own = {"rank": rank, "seed": seed, "cells": ratings.count, "square": float(ratings.square), "rows": rows, "cols": cols, "ids": ids}
         written = PassRecord(spark, record, own) if record else None
         before = written.last() if written else None

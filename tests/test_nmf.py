@@ -208,3 +208,34 @@ def test_a_supplied_factor_must_cover_the_ratings(spark):
     e = spark.createDataFrame([(1, 1, 2.0), (5, 1, 2.0)], "i bigint, j bigint, v double")
     with pytest.raises(ValueError, match="no row for i"):
         nmf.fit(e, 2, 1, w=factor_of(spark, RNG.random((3, 2))))
+
+
+def test_rows_of_many_hot_ids_go_only_where_their_cells_are(spark):
+    a = np.zeros((60, 40))
+    for i in range(60):
+        a[i, [(i * 7 + k * 11) % 40 for k in range(4)]] = 1.0 + i
+    layout = nmf.Ratings(entries_of(spark, a), hot=2, partitions=32)
+    w = RNG.random((60, 3))
+    assert len(layout.by_row.hot_keys) == 60 and layout.tiled.tiling.tiles > 40
+    assert layout.by_row.routed(factor_of(spark, w)).count() <= np.count_nonzero(a)
+    assert np.allclose(matrix_of_factor(layout.by_row.project(factor_of(spark, w), 3), 40), a.T @ w)
+    layout.release()
+
+
+def test_tiles_follow_the_cells_and_not_the_sessions_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        layout = nmf.Ratings(entries_of(spark, np.ones((30, 30))))
+        assert layout.tiled.tiling.tiles <= 4 * spark.sparkContext.defaultParallelism
+        layout.release()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_start_factors_may_be_made_from_the_ids(spark):
+    e = entries_of(spark, ratings())
+    start = factor.random_factor(spark.range(14), 3, 1), factor.random_factor(spark.range(9), 3, 2)
+    given = nmf.fit(e, 3, 1, w=start[0], h=start[1])
+    made = nmf.fit(e, 3, 1, w=lambda ids: factor.random_factor(ids, 3, 1), h=lambda ids: factor.random_factor(ids, 3, 2))
+    assert np.allclose(matrix_of_factor(given.w, 14), matrix_of_factor(made.w, 14))
