@@ -6,7 +6,7 @@ DataFrame. A block that is not there is zero.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ from blockweave.session import BROADCAST_BYTES, MAX_BLOCK_CELLS, shuffle_partiti
 
 SCHEMA = "bi int, bj int, nr int, nc int, data array<double>"
 #: Dense blocks a task holds before it passes them on, in bytes.
-HELD_BYTES = 128 * 1024 * 1024
+HELD_BYTES = 16 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -137,21 +137,45 @@ def grid_of(entries: DataFrame, block_rows: int, block_cols: int, rows: int | No
 
 
 def cells_by_block(entries: DataFrame, grid: Grid, unique: bool = False) -> DataFrame:
-    """``bi, bj, nr, nc, cells``: the entries of each block as (place in the block, value), column after column."""
-    bi, bj = F.expr(f"i div {grid.block_rows}L"), F.expr(f"j div {grid.block_cols}L")
+    """``block, pos, v``: the entries with the number of their block and their place in it, column after column.
+
+    A block's cells are in one partition and follow each other; ``each_block`` gathers them.
+    """
     inside = (F.col("i") >= 0) & (F.col("i") < grid.rows) & (F.col("j") >= 0) & (F.col("j") < grid.cols)
+    bi, bj = F.expr(f"i div {grid.block_rows}L"), F.expr(f"j div {grid.block_cols}L")
     position = F.when(
-        inside, (F.col("j") % grid.block_cols) * F.col("nr") + F.col("i") % grid.block_rows
+        inside, (F.col("j") % grid.block_cols) * grid.height(bi) + F.col("i") % grid.block_rows
     ).otherwise(F.raise_error(F.lit("entry outside the matrix")).cast("bigint"))
-    cells = (
-        (entries if unique else entry.sum_duplicates(entries))
-        .withColumn("bi", bi.cast("int"))
-        .withColumn("bj", bj.cast("int"))
-        .withColumn("nr", grid.height(F.col("bi")))
-        .withColumn("nc", grid.width(F.col("bj")))
-        .select("bi", "bj", "nr", "nc", position.cast("int").alias("pos"), "v")
+    cells = (entries if unique else entry.sum_duplicates(entries)).select(
+        (bi * max(grid.col_blocks, 1) + bj).alias("block"), position.cast("int").alias("pos"), "v"
     )
-    return cells.groupBy("bi", "bj", "nr", "nc").agg(F.collect_list(F.struct("pos", "v")).alias("cells"))
+    return cells.repartition("block").sortWithinPartitions("block")
+
+
+def each_block(
+    batches: Iterator[pa.RecordBatch], grid: Grid
+) -> Iterator[tuple[int, int, int, int, np.ndarray, np.ndarray]]:
+    """(bi, bj, nr, nc, places, values) of every block of ``cells_by_block``, one at a time."""
+    number, pos, values = None, [], []
+
+    def whole():
+        bi, bj = divmod(number, max(grid.col_blocks, 1))
+        nr = min(grid.block_rows, grid.rows - bi * grid.block_rows)
+        nc = min(grid.block_cols, grid.cols - bj * grid.block_cols)
+        return bi, bj, nr, nc, np.concatenate(pos), np.concatenate(values)
+
+    for batch in batches:
+        blocks, places, cells = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+        first = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1))
+        for start, end in zip(first, np.append(first[1:], len(blocks)), strict=True):
+            if blocks[start] != number:
+                if number is not None:
+                    yield whole()
+                number, pos, values = int(blocks[start]), [], []
+            pos.append(places[start:end])
+            values.append(cells[start:end])
+    if number is not None:
+        yield whole()
 
 
 def to_blocks(
@@ -168,30 +192,19 @@ def to_blocks(
     ``unique=True`` to save that shuffle when there is one entry per cell.
     """
     grid = grid_of(entries, block_rows, block_cols, rows, cols)
-    listed = cells_by_block(entries, grid, unique)
 
     def scatter(batches):
-        for batch in batches:
-            nr, nc = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            lists = batch.column(4)
-            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            flat = lists.flatten()
-            pos = flat.field("pos").to_numpy(zero_copy_only=False)
-            val = flat.field("v").to_numpy(zero_copy_only=False)
-            # a dense block may be far larger than its cells: hand on a few at a time
-            first, data, size = 0, [], 0
-            for n, cells in enumerate(nr.astype(np.int64) * nc):
-                span = slice(starts[n], starts[n + 1])
-                data.append(np.bincount(pos[span], weights=val[span], minlength=cells))
-                size += 8 * int(cells)
-                if size > HELD_BYTES or n + 1 == batch.num_rows:
-                    keys = [c.slice(first, len(data)) for c in batch.columns[:4]]
-                    yield pa.RecordBatch.from_arrays(
-                        [*keys, arrow.vector_rows(data)], ["bi", "bj", "nr", "nc", "data"]
-                    )
-                    first, data, size = n + 1, [], 0
-
-    return BlockMatrix(listed.mapInArrow(scatter, SCHEMA), grid)
+        # a dense block may be far larger than its cells: hand on a few at a time
+        held, size = {}, 0
+        for bi, bj, nr, nc, pos, values in each_block(batches, grid):
+            held[bi, bj] = np.bincount(pos, weights=values, minlength=nr * nc).reshape(nr, nc, order="F")
+            size += held[bi, bj].nbytes
+            if size > HELD_BYTES:
+                yield from product.block_rows(held)
+                size = 0
+        yield from product.block_rows(held)
+
+    return BlockMatrix(cells_by_block(entries, grid, unique).mapInArrow(scatter, SCHEMA), grid)
 
 
 def to_entries(matrix: BlockMatrix) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockweave.functions import arrow
-from blockweave.operators import block
+from blockweave.operators import block, product
 from blockweave.operators.block import BlockMatrix, Grid
 
 SCHEMA = "bi int, bj int, nr int, nc int, starts array<int>, places array<int>, data array<double>"
@@ -31,11 +31,25 @@ def _integer_lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
 
 
-def _rows(keys: list[pa.Array], starts: list, places: list, values: list) -> pa.RecordBatch:
-    cells = [_integer_lists(starts), _integer_lists(places), arrow.vector_rows(values)]
+def _rows(made: list[tuple]) -> pa.RecordBatch:
+    keys = [pa.array([m[c] for m in made], pa.int32()) for c in range(4)]
+    cells = [_integer_lists([m[4] for m in made]), _integer_lists([m[5] for m in made]), arrow.vector_rows([m[6] for m in made])]
     return pa.RecordBatch.from_arrays([*keys, *cells], ["bi", "bj", "nr", "nc", "starts", "places", "data"])
 
 
+def _pieces(blocks: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Blocks (bi, bj, nr, nc, starts, places, values) as rows, handed on by size and not by number."""
+    made, size = [], 0
+    for *key, starts, places, values in blocks:
+        made.append((*key, starts.astype(np.int32), places.astype(np.int32), values))
+        size += sum(cells.nbytes for cells in made[-1][4:])
+        if size > product.PIECE_BYTES:
+            yield _rows(made)
+            made, size = [], 0
+    if made:
+        yield _rows(made)
+
+
 def _compressed(pos: np.ndarray, values: np.ndarray, nr: int, nc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells at ``pos`` (column after column) by columns; repeated places are added up."""
     order = np.argsort(pos, kind="stable")
@@ -57,16 +71,8 @@ def to_sparse_blocks(
     grid = block.grid_of(entries, block_rows, block_cols, rows, cols)
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nr, nc = (batch.column(c).to_pylist() for c in (2, 3))
-            lists = batch.column(4)
-            bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            flat = lists.flatten()
-            pos = flat.field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
-            values = flat.field("v").to_numpy(zero_copy_only=False)
-            spans = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            made = [_compressed(pos[s], values[s], h, w) for s, h, w in zip(spans, nr, nc, strict=True)]
-            yield _rows(list(batch.columns[:4]), *(map(list, zip(*made, strict=True)) if made else ([], [], [])))
+        blocks = block.each_block(batches, grid)
+        yield from _pieces((bi, bj, nr, nc, *_compressed(pos, values, nr, nc)) for bi, bj, nr, nc, pos, values in blocks)
 
     return BlockMatrix(block.cells_by_block(entries, grid, unique).mapInArrow(compress, SCHEMA), grid, stored)
 
@@ -95,14 +101,14 @@ def to_entries(matrix: BlockMatrix) -> DataFrame:
 def transpose(matrix: BlockMatrix) -> BlockMatrix:
     """Swap the keys and compress every block by its rows, without a shuffle."""
 
-    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            made = []
-            for _, _, nr, nc, starts, places, values in _each(batch):
+            for bi, bj, nr, nc, starts, places, values in _each(batch):
                 columns = np.repeat(np.arange(nc, dtype=np.int64), np.diff(starts))
-                made.append(_compressed(places.astype(np.int64) * nc + columns, values, nc, nr))
-            bi, bj, nr, nc = batch.columns[:4]
-            yield _rows([bj, bi, nc, nr], *(map(list, zip(*made, strict=True)) if made else ([], [], [])))
+                yield (bj, bi, nc, nr, *_compressed(places.astype(np.int64) * nc + columns, values, nc, nr))
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _pieces(turned(batches))
 
     return BlockMatrix(matrix.blocks.mapInArrow(turn, SCHEMA), matrix.grid.transposed(), matrix.cells)
 
@@ -111,13 +117,11 @@ def to_dense(matrix: BlockMatrix) -> BlockMatrix:
     """Sparse blocks as dense ones, a few at a time."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from blockweave.operators.product import block_rows
-
         for batch in batches:
             for bi, bj, nr, nc, starts, places, values in _each(batch):
                 cells = np.zeros((nr, nc), order="F")
                 cells[places, np.repeat(np.arange(nc), np.diff(starts))] = values
-                yield from block_rows({(bi, bj): cells})
+                yield from product.block_rows({(bi, bj): cells})
 
     return BlockMatrix(matrix.blocks.mapInArrow(fill, block.SCHEMA), matrix.grid)
 
@@ -125,18 +129,17 @@ def to_dense(matrix: BlockMatrix) -> BlockMatrix:
 def to_sparse(matrix: BlockMatrix) -> BlockMatrix:
     """Dense blocks without their zeros; a block without cells is left out."""
 
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            some, made = [], []
-            keys = zip(*(batch.column(c).to_pylist() for c in (2, 3)), batch.column(4), strict=True)
-            for n, (nr, nc, data) in enumerate(keys):
+            keys = zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True)
+            for bi, bj, nr, nc, data in keys:
                 values = data.values.to_numpy()
                 pos = np.flatnonzero(values)
                 if len(pos):
-                    some.append(n)
-                    made.append((np.searchsorted(pos, np.arange(nc + 1) * nr), pos % nr, values[pos]))
-            if some:
-                yield _rows([c.take(pa.array(some)) for c in batch.columns[:4]], *map(list, zip(*made, strict=True)))
+                    yield bi, bj, nr, nc, np.searchsorted(pos, np.arange(nc + 1) * nr), pos % nr, values[pos]
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _pieces(stored(batches))
 
     return BlockMatrix(matrix.blocks.mapInArrow(drop, SCHEMA), matrix.grid)
 

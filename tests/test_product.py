@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from blockweave.operators import block, product, sparse_block
@@ -171,3 +172,19 @@ def test_a_sparse_product_in_small_pieces(monkeypatch):
             total = np.ones((9, 6), order="F")
             product.add_product(total, x, y)
             assert np.allclose(total, a @ b + 1)
+
+
+def test_blocks_are_gathered_one_at_a_time_from_small_batches(spark):
+    """No row holds a list of cells on the way to Python, and a block may go over many batches."""
+    grid = block.Grid(5, 7, 2, 3)
+    batch = lambda *rows: pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64())],
+        ["block", "pos", "v"],
+    )
+    found = list(block.each_block(iter([batch((0, 1, 1.0)), batch(), batch((0, 3, 2.0), (5, 0, 3.0)), batch((8, 0, 4.0))]), grid))
+    assert [f[:4] for f in found] == [(0, 0, 2, 3), (1, 2, 2, 1), (2, 2, 1, 1)]
+    assert [f[4].tolist() for f in found] == [[1, 3], [0], [0]]
+    assert [f[5].tolist() for f in found] == [[1.0, 2.0], [3.0], [4.0]]
+    m = np.arange(35.0).reshape(5, 7)
+    for made in (sparse_block.to_sparse_blocks(entries_of(spark, m), 2, 3, 5, 7), block.to_blocks(entries_of(spark, m), 2, 3, 5, 7)):
+        assert "collect_list" not in made.blocks._jdf.queryExecution().toString()
