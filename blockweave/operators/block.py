@@ -165,6 +165,8 @@ def each_block(
         return bi, bj, nr, nc, np.concatenate(pos), np.concatenate(values)
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         blocks, places, cells = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
         first = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1))
         for start, end in zip(first, np.append(first[1:], len(blocks)), strict=True):
